@@ -41,7 +41,7 @@ def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order: Sequence[Co
     w1 = Window.partitionBy(*group, F.col("_salt")).orderBy(*order)
     stage1 = salted.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k)
     w2 = Window.partitionBy(*group).orderBy(*order)
-    return (stage1.withColumn(rank_col, F.row_number().over(w2))
+    return (stage1.withColumn(rank_col, F.row_number().over(w2).cast("long"))
             .where(F.col(rank_col) <= k).drop("_salt", "_r"))
 
 

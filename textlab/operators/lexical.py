@@ -74,10 +74,18 @@ def distinctive_terms(lo: DataFrame, k: int = 20) -> DataFrame:
 def class_ngrams(df: DataFrame, n: int, text: str = "text", label: str = "label",
                  words=ENGLISH_STOP_WORDS) -> DataFrame:
     """``(binary_label, ngram)`` rows over each document's content tokens
-    (n-grams stay inside a document)."""
-    toks = content_tokens(tokenize(text), words)
-    return (df.where(F.col(text).isNotNull())
-            .select(binarise(label).alias("binary_label"), F.explode_outer(ngrams(toks, n)).alias("ngram"))
+    (n-grams stay inside a document).
+
+    The token array is projected as its own column first: inside the n-gram
+    lambda a reference to a column is a lookup, while an inlined tokeniser
+    expression would be re-run for every element (quadratic regex work).
+    Catalyst keeps the two projections apart because the array is used more
+    than once and is not cheap.
+    """
+    toks = (df.where(F.col(text).isNotNull())
+            .select(binarise(label).alias("binary_label"),
+                    content_tokens(tokenize(text), words).alias("toks")))
+    return (toks.select("binary_label", F.explode_outer(ngrams(F.col("toks"), n)).alias("ngram"))
             .where(F.col("ngram").isNotNull()))
 
 
@@ -130,9 +138,9 @@ def top_bigrams(df: DataFrame, k: int = 15, cross_doc: bool = False, **kw) -> Da
 def corpus_ngrams(df: DataFrame, n: int, text: str = "text") -> DataFrame:
     """``(ngram)`` rows over word tokens with stop words kept (punctuation-only
     tokens removed), inside each document."""
-    toks = F.filter(tokenize(text), lambda t: t.rlike(r"[\p{L}\p{N}]"))
-    return (df.where(F.col(text).isNotNull())
-            .select(F.explode_outer(ngrams(toks, n)).alias("ngram"))
+    toks = (df.where(F.col(text).isNotNull())
+            .select(F.filter(tokenize(text), lambda t: t.rlike(r"[\p{L}\p{N}]")).alias("toks")))
+    return (toks.select(F.explode_outer(ngrams(F.col("toks"), n)).alias("ngram"))
             .where(F.col("ngram").isNotNull()))
 
 

@@ -52,14 +52,14 @@ def clean_of(text: str) -> str:
 
 
 def content_of(tokens: str) -> str:
-    return (f"list_filter({tokens}, t -> regexp_matches(t, {ALPHA}) "
+    return (f"list_filter({tokens}, lambda t: regexp_matches(t, {ALPHA}) "
             f"AND NOT list_contains({STOP_LIST}, t))")
 
 
 def ngrams_of(tokens: str, n: int) -> str:
     """Space-joined n-grams of a list, inside one row."""
     return (f"CASE WHEN len({tokens}) >= {n} THEN list_transform(range(1, len({tokens}) - {n - 1} + 1), "
-            f"i -> array_to_string({tokens}[i:i + {n - 1}], ' ')) ELSE [] END")
+            f"lambda i: array_to_string({tokens}[i:i + {n - 1}], ' ')) ELSE [] END")
 
 
 SENT = lit(SENTENCE_PATTERN)
