@@ -1 +1,126 @@
-"""Queries."""
+"""Source / sink queries: driver rows written as the corpus' file formats to
+the shared scratch folder, read back with the corpus readers and returned;
+plus the report tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..constants import ENSEMBLE_WEIGHTS
+from ..operators import lengths as LN
+from ..operators import lexical as L
+from ..operators import metrics as M
+from ..operators import profile as P
+from ..operators import report as R
+from ..sources import delimited as IO
+from ..sources import driver as D
+from ..session import scratch_path
+from .registry import ORACLE, query
+from .sqlparts import DEV, PARA, UNLAB
+from . import scoring_queries as SQ  # noqa: F401  (registers the metric queries first)
+from . import lexical_queries as LQ  # noqa: F401
+from . import length_queries as LNQ  # noqa: F401
+from . import profile_queries as PQ  # noqa: F401
+
+
+@query("scan_paragraphs", f"WITH {PARA}\nSELECT par_id, art_id, keyword, country_code, text, label FROM para")
+def q_scan_paragraphs(spark, sf):
+    path = scratch_path(spark, "paragraphs-tsv")
+    IO.write_delimited(D.paragraphs(spark, sf), path)
+    return IO.read_paragraph_tsv(spark, path, multi_line=True)
+
+
+@query("scan_spans", f"""
+WITH {PARA}, {PQ._SPANS}
+SELECT par_id, art_id, text, keyword, country_code, span_start, span_finish, span_text, pcl_category,
+       num_annotators FROM spans""")
+def q_scan_spans(spark, sf):
+    path = scratch_path(spark, "spans-tsv")
+    IO.write_delimited(D.spans(spark, sf), path)
+    return IO.read_span_tsv(spark, path, multi_line=True)
+
+
+@query("scan_dev_labels", f"WITH {DEV}\nSELECT par_id, label FROM dev")
+def q_scan_dev_labels(spark, sf):
+    path = scratch_path(spark, "dev-csv")
+    IO.write_delimited(D.dev_labels(spark, sf).select("par_id", "label"), path, sep=",", header=True)
+    return IO.read_dev_labels_csv(spark, path)
+
+
+@query("scan_unlabelled", f"WITH {UNLAB}\nSELECT id, art_id, keyword, country_code, text FROM unlab")
+def q_scan_unlabelled(spark, sf):
+    path = scratch_path(spark, "unlabelled-tsv")
+    IO.write_delimited(D.unlabelled(spark, sf).drop("pos"), path)
+    return IO.read_unlabelled_tsv(spark, path, multi_line=True)
+
+
+@query("submission_rows", f"""
+WITH {SQ._BASE}, {DEV}
+SELECT CAST(row_number() OVER (ORDER BY dev.pos) - 1 AS BIGINT) AS line_no, vote.pred
+FROM dev JOIN vote USING (par_id)""")
+def q_submission_rows(spark, sf):
+    vote = SQ._vote(spark, sf)
+    preds = D.dev_labels(spark, sf).join(vote, "par_id").select("pos", "pred")
+    path = scratch_path(spark, "dev-predictions")
+    IO.write_predictions(preds, path)
+    return IO.read_predictions(spark, path)
+
+
+@query("misclassified_csv", f"""
+WITH {SQ._BASE}
+SELECT p.text, ev.y AS true_label, ev.pred AS predicted_label, ev.ensemble_score
+FROM ev JOIN para p USING (par_id) WHERE ev.pred <> ev.y""")
+def q_misclassified_csv(spark, sf):
+    path = scratch_path(spark, "misclassified-csv")
+    IO.write_misclassified(SQ.q_misclassified(spark, sf), path)
+    return IO.read_misclassified(spark, path)
+
+
+def _melt_sql(sql: str, section: str, cols, id_col: str | None = None, section_expr: str | None = None) -> str:
+    parts = []
+    for c in cols:
+        item = f"'{c}'" if id_col is None else f"CAST({id_col} AS VARCHAR) || ':{c}'"
+        sec = section_expr or f"'{section}'"
+        parts.append(f"SELECT {sec} AS section, {item} AS item, CAST({c} AS DOUBLE) AS value FROM ({sql}) AS s_{c}")
+    return "\nUNION ALL ".join(parts)
+
+
+def _eval_report_sql() -> str:
+    conf = [f"SELECT 'configuration' AS section, 'weight:{m}' AS item, {w}::DOUBLE AS value"
+            for m, w in ENSEMBLE_WEIGHTS.items()]
+    conf += ["SELECT 'configuration', 'threshold', 1.38::DOUBLE",
+             "SELECT 'configuration', 'class_weight_pos', 9.0::DOUBLE",
+             "SELECT 'configuration', 'max_length', 128.0::DOUBLE",
+             f"SELECT 'configuration', 'eval_samples', CAST(count(*) AS DOUBLE) FROM (WITH {SQ._BASE} SELECT * FROM ev)"]
+    models = _melt_sql(ORACLE["binary_metrics"], "", ["accuracy", "precision", "recall", "f1"], id_col="model",
+                       section_expr="CASE WHEN model = 'Ensemble' THEN 'ensemble' ELSE 'model' END")
+    errs = _melt_sql(ORACLE["error_rate"], "summary", ["n_errors", "error_pct"])
+    return "\nUNION ALL ".join(conf + [models, errs])
+
+
+@query("evaluation_report", _eval_report_sql())
+def q_evaluation_report(spark, sf):
+    preds = SQ._all_preds(spark, sf)
+    ens = SQ._ens_preds(spark, sf)
+    return R.evaluation_report(M.binary_metrics(preds, "model"),
+                               ens.agg(F.count(F.lit(1)).alias("n")), M.error_rate(ens))
+
+
+def _eda_report_sql() -> str:
+    return "\nUNION ALL ".join([
+        _melt_sql(ORACLE["class_imbalance"], "class_balance",
+                  ["n_total", "n_non_pcl", "n_pcl", "pct_non_pcl", "pct_pcl", "imbalance_ratio"]),
+        _melt_sql(ORACLE["length_summary"], "lengths",
+                  ["median_tokens", "mean_tokens", "p95_all", "p95_pcl", "max_tokens"]),
+        _melt_sql(ORACLE["class_vocab_stats"], "lexical", ["vocab_size", "n_tokens"], id_col="binary_label"),
+        _melt_sql(ORACLE["length_percentiles"], "percentiles", ["all_docs", "pcl", "non_pcl"],
+                  id_col="percentile"),
+    ])
+
+
+@query("eda_report", _eda_report_sql())
+def q_eda_report(spark, sf):
+    lt = LNQ._lt(spark, sf)
+    return R.eda_report(P.class_imbalance(D.paragraphs(spark, sf, with_text=False)),
+                        LN.length_summary(lt), L.class_vocab_stats(LQ._term_freq(spark, sf)),
+                        LN.length_percentiles(lt))
