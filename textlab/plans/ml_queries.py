@@ -1 +1,82 @@
-"""Queries."""
+"""Spark ML queries (rows-only checks: model fitting has no SQL oracle)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import metrics as M
+from ..operators import ml as ML
+from ..operators import prep as PR
+from ..operators import scoring as S
+from ..sources import driver as D
+from ..session import scratch_path
+from .registry import query
+
+
+def _official(spark, sf):
+    split = PR.official_split(D.paragraphs(spark, sf), D.dev_labels(spark, sf))
+    train = ML.training_frame(split.where(F.col("split") == "train"))
+    dev = ML.training_frame(split.where(F.col("split") == "dev"))
+    return train, dev
+
+
+@query("train_members")
+def q_train_members(spark, sf):
+    """Fit the three class-weighted members on the official train part and
+    report their dev metrics plus the soft-vote ensemble's."""
+    train, dev = _official(spark, sf)
+    models = ML.train_members(train)
+    probs = ML.score_members(models, dev)
+    vote = S.soft_vote(S.align_scores(probs, tuple(ML.MEMBER_WEIGHTS)), ML.MEMBER_WEIGHTS)
+    gold = dev.select("par_id", F.col("label").cast("int").alias("y"))
+    return M.binary_metrics(S.predictions_long(probs, vote, gold), "model")
+
+
+@query("best_by_f1")
+def q_best_by_f1(spark, sf):
+    train, _ = _official(spark, sf)
+    _, table = ML.best_by_f1(train)
+    return table
+
+
+@query("param_search")
+def q_param_search(spark, sf):
+    train, _ = _official(spark, sf)
+    return ML.param_search(train)
+
+
+@query("model_roundtrip")
+def q_model_roundtrip(spark, sf):
+    train, dev = _official(spark, sf)
+    model = ML.member_pipelines()["tfidf_logreg"].fit(train)
+    return ML.roundtrip_check(spark, model, dev, scratch_path(spark, "model"))
+
+
+@query("score_unlabelled")
+def q_score_unlabelled(spark, sf):
+    """Train on every labelled row, score the unlabelled documents, vote."""
+    labelled = ML.training_frame(D.paragraphs(spark, sf).withColumn(
+        "label", (F.col("label") >= 2).cast("int")))
+    models = ML.train_members(labelled)
+    unl = D.unlabelled(spark, sf).select(F.col("id").alias("par_id"), "text")
+    probs = ML.score_members(models, unl)
+    return S.soft_vote(S.align_scores(probs, tuple(ML.MEMBER_WEIGHTS)), ML.MEMBER_WEIGHTS)
+
+
+@query("class_weighted_members")
+def q_class_weighted_members(spark, sf):
+    """Per-member weighted log loss on dev from the fitted models' logits."""
+    train, dev = _official(spark, sf)
+    models = ML.train_members(train)
+    frames = []
+    for name, m in models.items():
+        out = m.transform(dev.select("par_id", "text"))
+        raw = F.col("rawPrediction")
+        from pyspark.ml.functions import vector_to_array
+        frames.append(out.select("par_id", F.lit(name).alias("model"),
+                                 vector_to_array(raw)[0].alias("z0"), vector_to_array(raw)[1].alias("z1")))
+    logits = frames[0]
+    for f in frames[1:]:
+        logits = logits.unionByName(f)
+    gold = dev.select("par_id", F.col("label").cast("int").alias("y"))
+    return S.weighted_log_loss(logits, gold)
