@@ -16,7 +16,7 @@ from ..sources import delimited as IO
 from ..sources import driver as D
 from ..session import scratch_path
 from .registry import ORACLE, query
-from .sqlparts import DEV, PARA, UNLAB
+from .sqlparts import DEV, PARA, TOK, UNLAB, clean_of
 from . import scoring_queries as SQ  # noqa: F401  (registers the metric queries first)
 from . import lexical_queries as LQ  # noqa: F401
 from . import length_queries as LNQ  # noqa: F401
@@ -124,3 +124,16 @@ def q_eda_report(spark, sf):
     return R.eda_report(P.class_imbalance(D.paragraphs(spark, sf, with_text=False)),
                         LN.length_summary(lt), L.class_vocab_stats(LQ._term_freq(spark, sf)),
                         LN.length_percentiles(lt))
+
+
+@query("stream_clean_pages", f"""
+SELECT page_id, {clean_of('html')} AS clean, CAST(len(regexp_extract_all(lower({clean_of('html')}), {TOK})) AS BIGINT) AS n_tokens
+FROM pages""")
+def q_stream_clean_pages(spark, sf):
+    """The page cleaner run as a Structured Streaming job (file source ->
+    stateless transform -> parquet sink with checkpoint), result read back."""
+    from ..streaming import pipeline as SP
+    out = scratch_path(spark, "stream-out")
+    SP.run_to_parquet(SP.clean_pages(SP.read_table_stream(spark, sf, "pages", SP.PAGES_SCHEMA)),
+                      out, scratch_path(spark, "stream-ckpt"))
+    return spark.read.parquet(out)
