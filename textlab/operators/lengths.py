@@ -19,9 +19,10 @@ from .common import attach, r6, union_all
 
 
 def length_table(df: DataFrame, n_tokens: str = "n_tokens", label: str = "label") -> DataFrame:
-    """``(binary_label, n_tokens, cnt)`` via partial + final hash aggregation."""
-    return (df.where(F.col(n_tokens).isNotNull())
-            .groupBy(binarise(label).alias("binary_label"), F.col(n_tokens).cast("long").alias("n_tokens"))
+    """``(binary_label, n_tokens, cnt)`` via partial + final hash aggregation.
+    Rows must carry a non-null ``n_tokens`` (drop null texts upstream with a
+    cheap predicate rather than filtering the derived count)."""
+    return (df.groupBy(binarise(label).alias("binary_label"), F.col(n_tokens).cast("long").alias("n_tokens"))
             .agg(F.count(F.lit(1)).alias("cnt")))
 
 

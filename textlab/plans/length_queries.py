@@ -120,5 +120,5 @@ SELECT count(*) AS n_docs, CAST(sum(CASE WHEN n > {MAX_LENGTH} THEN 1 ELSE 0 END
 FROM dl""")
 def q_truncate_tokens(spark, sf):
     p = D.paragraphs(spark, sf, derive={"n_tokens": F.size(tokenize("text")).cast("long")},
-                     with_text=False).where(F.col("n_tokens").isNotNull())
+                     with_text=False)
     return LN.truncation_profile(p, MAX_LENGTH)

@@ -99,7 +99,7 @@ SELECT count(*) AS n_docs, round(avg(n), 6) AS avg_tokens, min(n) AS min_tokens,
        max(n) AS max_tokens, round(quantile_cont(n, 0.5), 6) AS median_tokens,
        round(stddev_samp(n), 6) AS std_tokens FROM t""")
 def q_token_stats(spark, sf):
-    return P.token_stats(_lengths(spark, sf).where(F.col("n_tokens").isNotNull()))
+    return P.token_stats(_lengths(spark, sf))
 
 
 @query("char_stats", f"""
@@ -184,7 +184,7 @@ WITH {PARA}, t AS (SELECT {_NTOK} AS n FROM para WHERE text IS NOT NULL)
 SELECT CAST(sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_empty,
        CAST(sum(CASE WHEN n <= 3 THEN 1 ELSE 0 END) AS BIGINT) AS n_very_short FROM t""")
 def q_short_texts(spark, sf):
-    return P.short_texts(_lengths(spark, sf).where(F.col("n_tokens").isNotNull()))
+    return P.short_texts(_lengths(spark, sf))
 
 
 @query("duplicate_profile", f"""

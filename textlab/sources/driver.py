@@ -16,8 +16,31 @@ from ..constants import ENSEMBLE_WEIGHTS, PCL_CATEGORIES
 from ..functions.text import SENTENCE_PATTERN
 
 
+# Text-heavy tables and their keys: per-row regex work on them is the cost.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in TEXT_TABLES:
+        df = spread(df, TEXT_TABLES[name])
+    return df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Parallelism floor for text scans.
+
+    A file with one row group is read by one task, which would then run all
+    tokenisation alone.  When the scan yields fewer partitions than the
+    session's default parallelism, rows are hash-spread by ``key`` first.
+    At cluster scale a table has far more splits than cores, so this is a
+    no-op there and never adds a shuffle of the full table.  The partition
+    count comes from planning only (no job runs).
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key)
 
 
 def paragraphs(spark: SparkSession, sf_dir: str, derive: dict | None = None,
@@ -31,8 +54,14 @@ def paragraphs(spark: SparkSession, sf_dir: str, derive: dict | None = None,
     ``text``; they are computed on the document side *before* the label join,
     and with ``with_text=False`` the text itself never crosses the shuffle
     (per-document work is done where the data sits, only narrow rows move).
+    With ``derive`` the rows with a null text are dropped first (text
+    statistics skip null texts); the cheap ``IS NOT NULL`` reaches the scan,
+    and no filter ever references the expensive derived columns (Catalyst
+    would push such a filter below the parallelism floor and tokenise twice).
     """
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    if derive:
+        d = d.where(F.col("text").isNotNull())
     extra = list((derive or {}).keys())
     if derive:
         d = d.select("*", *[expr.alias(name) for name, expr in derive.items()])
