@@ -35,8 +35,8 @@ def _probs(spark, sf):
     return S.member_probs(D.member_logits(spark, sf))
 
 
-def _vote(spark, sf):
-    return S.soft_vote(S.align_scores(_probs(spark, sf)))
+def _vote(spark, sf, probs=None):
+    return S.soft_vote(S.align_scores(probs if probs is not None else _probs(spark, sf)))
 
 
 def _ens_preds(spark, sf):
@@ -45,7 +45,8 @@ def _ens_preds(spark, sf):
 
 
 def _all_preds(spark, sf):
-    return S.predictions_long(_probs(spark, sf), _vote(spark, sf), D.gold_labels(spark, sf))
+    probs = _probs(spark, sf)
+    return S.predictions_long(probs, _vote(spark, sf, probs), D.gold_labels(spark, sf))
 
 
 @query("softmax_prob", f"WITH {_BASE}\nSELECT par_id, model, round(p, 6) AS p FROM probs")

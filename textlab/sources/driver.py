@@ -20,14 +20,28 @@ from ..functions.text import SENTENCE_PATTERN
 TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
 
 
+_READS: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if name in TEXT_TABLES:
-        df = spread(df, TEXT_TABLES[name])
+    """The parquet scan of one driver table.  The (immutable, lazy) scan
+    DataFrame is built once per session and path: listing files and reading
+    the footer is the costly part of building a query."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    memo = (spark.sparkContext.applicationId, path)
+    df = _READS.get(memo)
+    if df is None:
+        df = spark.read.parquet(path)
+        if name in TEXT_TABLES:
+            df = spread(df, TEXT_TABLES[name], cache_key=path)
+        _READS[memo] = df
     return df
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+_SPLITS: dict = {}
+
+
+def spread(df: DataFrame, key: str, cache_key: str | None = None) -> DataFrame:
     """Parallelism floor for text scans.
 
     A file with one row group is read by one task, which would then run all
@@ -37,8 +51,16 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     no-op there and never adds a shuffle of the full table.  The partition
     count comes from planning only (no job runs).
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    sc = df.sparkSession.sparkContext
+    target = sc.defaultParallelism
+    memo = (sc.applicationId, cache_key) if cache_key else None
+    splits = _SPLITS.get(memo) if memo else None
+    if splits is None:
+        # planning only: the scan's input partitions, no job is run
+        splits = df._jdf.queryExecution().executedPlan().execute().getNumPartitions()
+        if memo:
+            _SPLITS[memo] = splits
+    if splits >= target:
         return df
     return df.repartition(target, key)
 
