@@ -145,12 +145,21 @@ def corpus_ngrams(df: DataFrame, n: int, text: str = "text") -> DataFrame:
 
 
 def top_ngrams(df: DataFrame, sizes=(2, 3), k: int = 25, text: str = "text") -> DataFrame:
-    frames = []
-    for n in sizes:
-        counts = corpus_ngrams(df, n, text).groupBy("ngram").agg(F.count(F.lit(1)).alias("freq"))
-        frames.append(counts.orderBy(F.desc("freq"), F.asc("ngram")).limit(k)
-                      .select(F.lit(n).cast("long").alias("n"), "ngram", "freq"))
-    return union_all(frames)
+    """Top k corpus n-grams for each size.  The text is tokenised once: every
+    size's n-grams are exploded from the same token array as ``(n, ngram)``
+    rows, counted in one aggregation, and each size's top k is a TakeOrdered
+    over that (reused) aggregate."""
+    toks = (df.where(F.col(text).isNotNull())
+            .select(F.filter(tokenize(text), lambda t: t.rlike(r"[\p{L}\p{N}]")).alias("toks")))
+    def tag(n):  # one-argument lambda: transform passes (element[, index])
+        return lambda g: F.struct(F.lit(n).cast("long").alias("n"), g.alias("ngram"))
+
+    tagged = F.concat(*[F.transform(ngrams(F.col("toks"), n), tag(n)) for n in sizes])
+    grams = toks.select(F.explode_outer(tagged).alias("g")).where(F.col("g").isNotNull()) \
+        .select("g.n", "g.ngram")
+    counts = grams.groupBy("n", "ngram").agg(F.count(F.lit(1)).alias("freq"))
+    return union_all([counts.where(F.col("n") == n).orderBy(F.desc("freq"), F.asc("ngram")).limit(k)
+                      for n in sizes])
 
 
 def cloud_terms(freq: DataFrame, k: int = 150) -> DataFrame:

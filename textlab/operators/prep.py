@@ -50,7 +50,8 @@ def official_dev(dev: DataFrame, paragraphs: DataFrame, key: str = "par_id") ->
     """Dev rows in list order with their cleaned text ('' when the id is
     unknown) and binary label parsed from the multi-label string.  Duplicate
     list entries stay."""
-    texts = text_by_id(paragraphs, key)
+    # only ids on the dev list are cleaned and de-duplicated (semi join first)
+    texts = text_by_id(paragraphs.join(dev.select(key), key, "left_semi"), key)
     return dev.join(texts, key, "left").select(
         "pos", key, F.coalesce(F.col("text"), F.lit("")).alias("text"),
         parse_multilabel("label").alias("label"))
@@ -58,7 +59,8 @@ def official_dev(dev: DataFrame, paragraphs: DataFrame, key: str = "par_id") ->
 
 def strict_lookup(dev: DataFrame, paragraphs: DataFrame, key: str = "par_id") -> DataFrame:
     """Dev rows joined to their text; an id without text raises an error."""
-    texts = paragraphs.where(F.col("text").isNotNull()).select(key, clean_text("text").alias("text"))
+    texts = (paragraphs.where(F.col("text").isNotNull()).join(dev.select(key), key, "left_semi")
+             .select(key, clean_text("text").alias("text")))
     texts = dedup_by_key(texts.withColumn("_o", F.col(key)), key, "_o", "last").drop("_o")
     j = dev.join(texts, key, "left")
     checked = F.when(F.col("text").isNull(),

@@ -184,9 +184,11 @@ def short_texts(df: DataFrame, n_tokens: str = "n_tokens", very_short: int = 3)
 
 
 def duplicate_profile(df: DataFrame, key: str = "par_id", text: str = "text") -> DataFrame:
-    """Exact duplicate texts and duplicate ids, as counts and shares."""
+    """Exact duplicate texts and duplicate ids, as counts and shares.  Texts
+    are compared by SHA-256, so the distinct-count shuffle carries 64-byte
+    keys instead of whole documents."""
     agg = df.agg(F.count(F.lit(1)).alias("n_docs"),
-                 F.countDistinct(F.col(text)).alias("_dt"),
+                 F.countDistinct(F.sha2(F.col(text), 256)).alias("_dt"),
                  F.count(F.col(text)).alias("_nt"),
                  F.countDistinct(F.col(key)).alias("_dk"),
                  F.count(F.col(key)).alias("_nk"))
