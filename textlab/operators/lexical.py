@@ -147,8 +147,8 @@ def corpus_ngrams(df: DataFrame, n: int, text: str = "text") -> DataFrame:
 def top_ngrams(df: DataFrame, sizes=(2, 3), k: int = 25, text: str = "text") -> DataFrame:
     """Top k corpus n-grams for each size.  The text is tokenised once: every
     size's n-grams are exploded from the same token array as ``(n, ngram)``
-    rows, counted in one aggregation, and each size's top k is a TakeOrdered
-    over that (reused) aggregate."""
+    rows, counted in one aggregation, and ranked per size with the salted
+    two-stage top-k."""
     toks = (df.where(F.col(text).isNotNull())
             .select(F.filter(tokenize(text), lambda t: t.rlike(r"[\p{L}\p{N}]")).alias("toks")))
     def tag(n):  # one-argument lambda: transform passes (element[, index])
@@ -158,8 +158,11 @@ def top_ngrams(df: DataFrame, sizes=(2, 3), k: int = 25, text: str = "text") ->
     grams = toks.select(F.explode_outer(tagged).alias("g")).where(F.col("g").isNotNull()) \
         .select("g.n", "g.ngram")
     counts = grams.groupBy("n", "ngram").agg(F.count(F.lit(1)).alias("freq"))
-    return union_all([counts.where(F.col("n") == n).orderBy(F.desc("freq"), F.asc("ngram")).limit(k)
-                      for n in sizes])
+    # a per-size filter here would be pushed below the aggregate and split
+    # the plan into one tokenising branch per size; rank per size instead
+    top = top_k_per_group(counts, ["n"], [F.desc("freq"), F.asc("ngram")], k,
+                          salt_key=F.xxhash64("ngram"))
+    return top.select("n", "ngram", "freq")
 
 
 def cloud_terms(freq: DataFrame, k: int = 150) -> DataFrame:
