@@ -136,3 +136,25 @@ def test_dedup_keep_first_and_last(spark):
     first = {r.k: r.v for r in PR.dedup_by_key(df, "k", "pos", "first").collect()}
     last = {r.k: r.v for r in PR.dedup_by_key(df, "k", "pos", "last").collect()}
     assert first == {1: "a", 2: "c"} and last == {1: "b", 2: "c"}
+
+
+def test_stratified_split_with_hot_duplicate_id(spark):
+    # one id copied 3000 times next to 600 distinct ids: counts per part must
+    # equal a plain row_number split, and copies are split by rank ranges
+    rows = [(7, 3)] * 3000 + [(i, (i % 5)) for i in range(100, 700)]
+    df = spark.createDataFrame(rows, "par_id long, label int")
+    fast = PR.stratified_split(df, hex_digits=1)
+    h = F.md5(F.concat(F.lit("42:"), F.col("par_id").cast("string")))
+    w = Window.partitionBy("y").orderBy(h, "par_id")
+    b = (df.select("par_id", (F.col("label") >= 2).cast("int").alias("y"))
+         .withColumn("rk", F.row_number().over(w))
+         .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("y"))))
+    ref = {}
+    for r in b.collect():
+        hq = math.floor(r.n * 0.2 + 0.5)
+        part = "val" if r.rk <= hq // 2 else ("test" if r.rk <= hq else "train")
+        ref[(r.par_id, part)] = ref.get((r.par_id, part), 0) + 1
+    got = {}
+    for r in fast.collect():
+        got[(r.par_id, r.split)] = got.get((r.par_id, r.split), 0) + 1
+    assert got == ref

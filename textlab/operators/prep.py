@@ -92,7 +92,8 @@ def stratified_split(df: DataFrame, key: str = "par_id", label: str = "label",
        rows; running sums on it give every bucket's first rank;
     3. buckets wholly inside one part are assigned through a broadcast join
        with that bounded table; only the at most two buckets per class that
-       straddle a cut are ranked row by row.
+       straddle a cut are ranked, per distinct id (copies of an id are
+       collapsed to a count first, then split by rank ranges).
     """
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     rows = df.select(key, binarise(label).alias("binary_label"), h.alias("_h"),
@@ -111,13 +112,32 @@ def stratified_split(df: DataFrame, key: str = "par_id", label: str = "label",
     bt = bt.select("binary_label", "_b", "_lo", "_vq", "_hq", status.alias("_st"))
     j = rows.join(F.broadcast(bt), ["binary_label", "_b"])
     whole = j.where(F.col("_st") != "mixed").select(key, "binary_label", F.col("_st").alias("split"))
-    wr = Window.partitionBy("binary_label", "_b").orderBy("_h", key)
-    rank = F.col("_lo") + F.row_number().over(wr)
-    mixed = j.where(F.col("_st") == "mixed").withColumn("_r", rank).select(
-        key, "binary_label",
-        F.when(F.col("_r") <= F.col("_vq"), "val").when(F.col("_r") <= F.col("_hq"), "test")
-         .otherwise("train").alias("split"))
-    return whole.unionByName(mixed)
+    # Straddling buckets: copies of one id share a hash, so first collapse
+    # them to (hash, id, count) with a partial aggregate -- a group of copies
+    # holding a third of all rows becomes one row per task, never one task's
+    # worth of sorting.  Ranks are then handed out as ranges per distinct id.
+    mixed = j.where(F.col("_st") == "mixed")
+    ids = mixed.groupBy("binary_label", "_b", "_lo", "_vq", "_hq", "_h", key) \
+        .agg(F.count(F.lit(1)).alias("_c"))
+    wr = Window.partitionBy("binary_label", "_b").orderBy("_h", key) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    ids = ids.withColumn("_from", F.col("_lo") + F.coalesce(F.sum("_c").over(wr), F.lit(0)))
+    # copies of one id take ranks _from+1 .. _from+_c; count how many fall in each part
+    lo, hi = F.col("_from"), F.col("_from") + F.col("_c")
+    n_val = F.greatest(F.least(hi, F.col("_vq")) - lo, F.lit(0))
+    n_test = F.greatest(F.least(hi, F.col("_hq")) - F.greatest(lo, F.col("_vq")), F.lit(0))
+    n_train = F.col("_c") - n_val - n_test
+    parts = F.array(
+        F.struct(F.lit("val").alias("split"), n_val.cast("int").alias("k")),
+        F.struct(F.lit("test").alias("split"), n_test.cast("int").alias("k")),
+        F.struct(F.lit("train").alias("split"), n_train.cast("int").alias("k")))
+    # one output row per copy (explode streams; nothing is gathered)
+    ranked = (ids.select(key, "binary_label", F.explode(parts).alias("_p"))
+              .where(F.col("_p.k") > 0)
+              .select(key, "binary_label", F.col("_p.split").alias("split"),
+                      F.explode(F.array_repeat(F.lit(1), F.col("_p.k"))).alias("_one"))
+              .drop("_one"))
+    return whole.unionByName(ranked)
 
 
 def sample_docs(df: DataFrame, n: int = 1000, key: str = "par_id", seed: int = SPLIT_SEED) -> DataFrame:
