@@ -28,6 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     DataFrame is built once per session and path: listing files and reading
     the footer is the costly part of building a query."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    database = spark.conf.get("textlab.catalog.database", None)
+    if database and name in ("documents", "labels", "pages"):
+        # bucketed layout (see textlab.sources.layout): no spread, no memo
+        return spark.table(f"{database}.{name}")
     memo = (spark.sparkContext.applicationId, path)
     df = _READS.get(memo)
     if df is None:
