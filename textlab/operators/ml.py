@@ -65,12 +65,28 @@ def member_pipelines() -> dict[str, Pipeline]:
     return {name: Pipeline(stages=_front(n) + [clf]) for name, (n, clf) in _classifiers().items()}
 
 
+ROWS_PER_PARTITION = 100_000
+
+
 def featurize(train: DataFrame, ngram: int = 1):
     """Fit the text front (tokens, cut, hashing, IDF) once and return it with
     the persisted feature rows, so classifier fits and tuning folds never
-    re-run the tokenizer."""
+    re-run the tokenizer.
+
+    Every optimizer iteration tree-aggregates one gradient per partition, so
+    the cached table is sized by its row count (about ``ROWS_PER_PARTITION``
+    rows each): a small training set is not spread over idle partitions, a
+    large one keeps all of its parallelism.  The coalesce reads the cache.
+    """
     front = Pipeline(stages=_front(ngram)).fit(train)
     feats = front.transform(train).select("par_id", "label", "weight", "tf", "features").persist()
+    n = feats.count()
+    want = max(1, -(-n // ROWS_PER_PARTITION))
+    if want < feats.rdd.getNumPartitions():
+        small = feats.coalesce(want).persist()
+        small.count()
+        feats.unpersist()
+        feats = small
     return front, feats
 
 
