@@ -58,13 +58,18 @@ def length_summary(lt: DataFrame) -> DataFrame:
         r6(F.sum(F.col("n_tokens") * F.col("cnt")) / F.sum("cnt")).alias("mean_tokens"),
         _trunc(_pct(0.95)).alias("p95_all"),
         _trunc(_pct(0.95, pos)).alias("p95_pcl"),
-        F.max("n_tokens").alias("max_tokens"))
+        F.max(F.when(F.col("cnt") > 0, F.col("n_tokens"))).alias("max_tokens"))
 
 
 def _histogram(lt: DataFrame, bins: int, density: bool) -> DataFrame:
     """numpy-style equal-width histogram of one class's lengths: ``bins``
     bins over [min, max], last bin closed; all bins emitted, empty ones as 0."""
-    rng = lt.agg(F.min("n_tokens").alias("_mn"), F.max("n_tokens").alias("_mx"),
+    # min/max reference ``cnt`` on purpose: a bare min/max over the grouped
+    # table lets Catalyst drop the grouping (RemoveRedundantAggregates) and
+    # re-read the raw rows in a second branch, re-running the tokenizer.
+    present = F.col("cnt") > 0
+    rng = lt.agg(F.min(F.when(present, F.col("n_tokens"))).alias("_mn"),
+                 F.max(F.when(present, F.col("n_tokens"))).alias("_mx"),
                  F.sum("cnt").alias("_n"))
     lo = F.when(F.col("_mx") == F.col("_mn"), F.col("_mn") - 0.5).otherwise(F.col("_mn").cast("double"))
     hi = F.when(F.col("_mx") == F.col("_mn"), F.col("_mx") + 0.5).otherwise(F.col("_mx").cast("double"))
