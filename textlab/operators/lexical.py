@@ -181,11 +181,17 @@ def cloud_terms(freq: DataFrame, k: int = 150) -> DataFrame:
 
 def vocab_contrast(tokens: DataFrame) -> DataFrame:
     """Term table as a full outer join of the two class vocabularies, missing
-    side filled with 0 (the set-union form of ``term_freq``)."""
-    pos = (tokens.where(F.col("binary_label") == 1).groupBy("term")
-           .agg(F.count(F.lit(1)).alias("pcl_freq")))
-    neg = (tokens.where(F.col("binary_label") == 0).groupBy("term")
-           .agg(F.count(F.lit(1)).alias("non_pcl_freq")))
+    side filled with 0 (the set-union form of ``term_freq``).
+
+    Both vocabularies are cut from one term aggregate with filters on its
+    *outputs*, which Catalyst cannot push below it, so the tokens are produced
+    once and both join sides arrive hash-partitioned by term."""
+    freq = term_freq(tokens)
+    f1, f0 = F.col("pcl_freq"), F.col("non_pcl_freq")
+    # each side's filter reads both counts (the second test always holds):
+    # column pruning then leaves the two aggregates identical -> one exchange
+    pos = freq.where((f1 > 0) & (f0 >= 0)).select("term", "pcl_freq")
+    neg = freq.where((f0 > 0) & (f1 >= 0)).select("term", "non_pcl_freq")
     return pos.join(neg, "term", "full_outer").select(
         "term", F.coalesce("pcl_freq", F.lit(0)).cast("long").alias("pcl_freq"),
         F.coalesce("non_pcl_freq", F.lit(0)).cast("long").alias("non_pcl_freq"))

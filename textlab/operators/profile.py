@@ -154,14 +154,18 @@ def top_stopwords(tokens: DataFrame, k: int = 15, words=ENGLISH_STOP_WORDS) -> D
 
 
 def top_words(tokens: DataFrame, k: int = 30, words=ENGLISH_STOP_WORDS) -> DataFrame:
-    """Most common words, once over all tokens and once without stop words."""
+    """Most common words, once over all tokens and once without stop words.
+
+    One term aggregate feeds both lists: each term row is tagged with the
+    scopes it belongs to and ranked per scope (a stop-word filter on the
+    grouping key would be pushed below the aggregate and split the plan)."""
     counts = term_counts(tokens)
-    every = counts.orderBy(F.desc("freq"), F.asc("token")).limit(k) \
-        .withColumn("scope", F.lit("all"))
-    content = counts.where(~is_stop_word("token", words)) \
-        .orderBy(F.desc("freq"), F.asc("token")).limit(k) \
-        .withColumn("scope", F.lit("content"))
-    return every.unionByName(content).select("scope", "token", "freq")
+    scopes = F.when(is_stop_word("token", words), F.array(F.lit("all"))) \
+        .otherwise(F.array(F.lit("all"), F.lit("content")))
+    tagged = counts.select("token", "freq", F.explode(scopes).alias("scope"))
+    top = top_k_per_group(tagged, ["scope"], [F.desc("freq"), F.asc("token")], k,
+                          salt_key=F.xxhash64("token"))
+    return top.select("scope", "token", "freq")
 
 
 def word_length_distribution(tokens: DataFrame) -> DataFrame:
@@ -289,11 +293,15 @@ def table_shapes(named: dict[str, DataFrame]) -> DataFrame:
 
 def extreme_lengths(df: DataFrame, k: int = 5, cut: int = 100, key: str = "par_id",
                     text: str = "text", n_tokens: str = "n_tokens") -> DataFrame:
-    """Shortest and longest k documents (TakeOrdered each), text cut to ``cut``."""
-    cols = [F.col(key), F.col(n_tokens), F.substring(F.col(text), 1, cut).alias("text_head")]
-    short = df.orderBy(F.asc(n_tokens), F.asc(key)).limit(k).select(F.lit("shortest").alias("side"), *cols)
-    long_ = df.orderBy(F.desc(n_tokens), F.asc(key)).limit(k).select(F.lit("longest").alias("side"), *cols)
-    return short.unionByName(long_)
+    """Shortest and longest k documents, text cut to ``cut``.  Every document
+    is tagged for both ends (longest ranks by the negated length) and ranked
+    per end with the salted top-k, so the text is tokenised once."""
+    ends = F.array(F.struct(F.lit("shortest").alias("side"), F.col(n_tokens).alias("_o")),
+                   F.struct(F.lit("longest").alias("side"), (-F.col(n_tokens)).alias("_o")))
+    x = df.select(F.col(key), F.col(n_tokens), F.substring(F.col(text), 1, cut).alias("text_head"),
+                  F.explode(ends).alias("_e")).select(key, n_tokens, "text_head", "_e.side", "_e._o")
+    top = top_k_per_group(x, ["side"], [F.col("_o"), F.col(key)], k, salt_key=F.xxhash64(key))
+    return top.select("side", key, n_tokens, "text_head")
 
 
 def class_slice(df: DataFrame, cls: int, key: str = "par_id", text: str = "text",

@@ -38,18 +38,18 @@ WITH {PARA}
 SELECT par_id, CAST(len({tokens_of()}) AS BIGINT) AS n_tokens,
        array_to_string({tokens_of()}, ' ') AS tokens FROM para WHERE text IS NOT NULL""")
 def q_tokenize(spark, sf):
-    t = tokenize("text")
-    return D.paragraphs(spark, sf).where(F.col("text").isNotNull()).select(
-        "par_id", F.size(t).cast("long").alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
+    # the array is projected once and read twice (size, join)
+    t = D.paragraphs(spark, sf).where(F.col("text").isNotNull()).select("par_id", tokenize("text").alias("t"))
+    return t.select("par_id", F.size("t").cast("long").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
 @query("content_tokens", f"""
 WITH {PARA}, {_CT}
 SELECT par_id, CAST(len(toks) AS BIGINT) AS n_content, array_to_string(toks, ' ') AS tokens FROM ctl""")
 def q_content_tokens(spark, sf):
-    t = content_tokens(tokenize("text"))
-    return D.paragraphs(spark, sf).where(F.col("text").isNotNull()).select(
-        "par_id", F.size(t).cast("long").alias("n_content"), F.array_join(t, " ").alias("tokens"))
+    t = D.paragraphs(spark, sf).where(F.col("text").isNotNull()).select(
+        "par_id", content_tokens(tokenize("text")).alias("t"))
+    return t.select("par_id", F.size("t").cast("long").alias("n_content"), F.array_join("t", " ").alias("tokens"))
 
 
 @query("clean_text", f"""
