@@ -151,13 +151,12 @@ def top_ngrams(df: DataFrame, sizes=(2, 3), k: int = 25, text: str = "text") ->
     two-stage top-k."""
     toks = (df.where(F.col(text).isNotNull())
             .select(F.filter(tokenize(text), lambda t: t.rlike(r"[\p{L}\p{N}]")).alias("toks")))
-    def tag(n):  # one-argument lambda: transform passes (element[, index])
-        return lambda g: F.struct(F.lit(n).cast("long").alias("n"), g.alias("ngram"))
-
-    tagged = F.concat(*[F.transform(ngrams(F.col("toks"), n), tag(n)) for n in sizes])
-    grams = toks.select(F.explode_outer(tagged).alias("g")).where(F.col("g").isNotNull()) \
-        .select("g.n", "g.ngram")
-    counts = grams.groupBy("n", "ngram").agg(F.count(F.lit(1)).alias("freq"))
+    # tokens hold no spaces, so an n-gram's size is its word count: plain
+    # strings are exploded and ``n`` is recovered after the aggregate
+    grams = toks.select(F.explode_outer(F.concat(*[ngrams(F.col("toks"), n) for n in sizes])).alias("ngram")) \
+        .where(F.col("ngram").isNotNull())
+    counts = grams.groupBy("ngram").agg(F.count(F.lit(1)).alias("freq")) \
+        .withColumn("n", F.size(F.split("ngram", " ")).cast("long"))
     # a per-size filter here would be pushed below the aggregate and split
     # the plan into one tokenising branch per size; rank per size instead
     top = top_k_per_group(counts, ["n"], [F.desc("freq"), F.asc("ngram")], k,
