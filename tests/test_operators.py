@@ -158,3 +158,11 @@ def test_stratified_split_with_hot_duplicate_id(spark):
     for r in fast.collect():
         got[(r.par_id, r.split)] = got.get((r.par_id, r.split), 0) + 1
     assert got == ref
+
+
+def test_external_batch_scorer_agrees_with_spark(spark):
+    import __spark_entry__ as E
+    rows = E.queries()["external_batch_scores"](spark, SF001).collect()
+    assert len(rows) > 0
+    agree = sum(r.pred_external == r.pred_spark for r in rows)
+    assert agree == len(rows)

@@ -29,7 +29,7 @@ def test_every_query_has_oracle_or_is_ml():
     q, o = E.queries(), E.oracle_sql()
     rows_only = set(q) - set(o)
     assert rows_only == {"train_members", "best_by_f1", "param_search", "model_roundtrip",
-                         "score_unlabelled", "class_weighted_members"}
+                         "score_unlabelled", "class_weighted_members", "external_batch_scores"}
 
 
 def test_entry_runs(spark):

@@ -170,3 +170,40 @@ def roundtrip_check(spark: SparkSession, model: PipelineModel, df: DataFrame, pa
     b = again.transform(df).select("par_id", F.col("prediction").alias("b"))
     return a.join(b, "par_id").agg(F.count(F.lit(1)).alias("n"),
                                    F.sum((F.col("a") == F.col("b")).cast("long")).alias("n_equal"))
+
+
+# ---------------------------------------------------------------- external models
+
+def fit_k_class(rows: DataFrame, vec: str = "embedding", label: str = "label"):
+    """Multinomial logistic regression on fixed-size vectors (Spark ML)."""
+    from pyspark.ml.functions import array_to_vector
+    data = rows.select(array_to_vector(F.transform(vec, lambda v: v.cast("double"))).alias("features"),
+                       F.col(label).cast("double").alias("label"))
+    return LogisticRegression(family="multinomial", maxIter=50, regParam=0.001).fit(data)
+
+
+def external_scorer(coef, intercept, dim: int, batch_size: int = 1024):
+    """An Arrow-batched scorer for an external model given as numpy weights.
+
+    This is the hook for models that live outside Spark (a numpy / ONNX /
+    torch model): ``predict_batch_udf`` ships the weights once per Python
+    worker and scores whole Arrow batches; no row-at-a-time Python.  The
+    weight matrix is classes x dim, a fixed size, never data-sized.
+    """
+    import numpy as np
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import ArrayType, DoubleType
+
+    w = np.asarray(coef, dtype=np.float64)
+    b = np.asarray(intercept, dtype=np.float64)
+
+    def make_predict_fn():
+        def predict(x):
+            z = x.astype(np.float64) @ w.T + b
+            z -= z.max(axis=1, keepdims=True)
+            e = np.exp(z)
+            return e / e.sum(axis=1, keepdims=True)
+        return predict
+
+    return predict_batch_udf(make_predict_fn, return_type=ArrayType(DoubleType()),
+                             batch_size=batch_size, input_tensor_shapes=[[dim]])

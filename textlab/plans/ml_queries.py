@@ -80,3 +80,23 @@ def q_class_weighted_members(spark, sf):
         logits = logits.unionByName(f)
     gold = dev.select("par_id", F.col("label").cast("int").alias("y"))
     return S.weighted_log_loss(logits, gold)
+
+
+@query("external_batch_scores")
+def q_external_batch_scores(spark, sf):
+    """K-class scoring through the external-model hook: a model fitted by
+    Spark ML on the embeddings is exported as numpy weights and applied with
+    ``predict_batch_udf``; its prediction is reported next to Spark's own."""
+    emb = D.table(spark, sf, "embeddings")
+    model = ML.fit_k_class(emb)
+    dim = len(emb.select("embedding").first()[0])
+    scorer = ML.external_scorer(model.coefficientMatrix.toArray(), model.interceptVector.toArray(), dim)
+    from pyspark.ml.functions import array_to_vector
+    scored = emb.select("vec_id", F.col("label").alias("y"), "embedding",
+                        scorer(F.col("embedding")).alias("probs"))
+    ext = scored.select("vec_id", "y", "embedding",
+                        (F.array_position("probs", F.array_max("probs")) - 1).cast("int").alias("pred_external"))
+    spark_pred = model.transform(ext.select(
+        "vec_id", "y", "pred_external",
+        array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("features")))
+    return spark_pred.select("vec_id", "y", "pred_external", F.col("prediction").cast("int").alias("pred_spark"))
