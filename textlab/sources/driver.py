@@ -176,20 +176,16 @@ def member_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     and disagree like real classifiers do.  Rows of real models trained with
     ``textlab.operators.ml`` have the same shape.
     """
-    p = paragraphs(spark, sf_dir).select("par_id", "label")
+    p = paragraphs(spark, sf_dir, with_text=False).select("par_id", "label")
     y = (F.col("label") >= 2).cast("double")
-    frames = []
+    members = []
     for i, model in enumerate(ENSEMBLE_WEIGHTS):
         strength, mult = _MEMBER_SHAPE[i]
         noise = ((F.col("par_id") * mult) % 97 - 48).cast("double") / 24.0
-        frames.append(p.select(
-            "par_id", F.lit(model).alias("model"),
-            F.lit(0.0).alias("z0"),
-            ((y * 2.0 - 1.0) * strength + noise).alias("z1")))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+        members.append(F.struct(F.lit(model).alias("model"), F.lit(0.0).alias("z0"),
+                                ((y * 2.0 - 1.0) * strength + noise).alias("z1")))
+    # one pass over the labelled rows, one output row per member
+    return p.select("par_id", F.inline(F.array(*members)))
 
 
 # (label strength, id multiplier) per catalogue position.
