@@ -75,37 +75,32 @@ def confusion_matrix_norm(cm: DataFrame) -> DataFrame:
 
 def classification_report(preds: DataFrame, names=LABEL_NAMES) -> DataFrame:
     """Per-class precision / recall / F1 / support, then accuracy, macro and
-    support-weighted averages (binary labels 0/1)."""
+    support-weighted averages (binary labels 0/1).
+
+    One aggregate pass gives six counts; every report cell is column
+    arithmetic on that single row, emitted as five rows with ``inline``."""
     y, p = F.col("y"), F.col("pred")
-    one = preds.agg(*[
-        F.sum(((y == c) & (p == c)).cast("long")).alias(f"tp{c}") for c in (0, 1)],
-        *[F.sum((p == c).cast("long")).alias(f"pp{c}") for c in (0, 1)],
-        *[F.sum((y == c).cast("long")).alias(f"s{c}") for c in (0, 1)])
-    rows = []
-    for c in (0, 1):
-        pr = _safe_div(F.col(f"tp{c}"), F.col(f"pp{c}"))
-        rc = _safe_div(F.col(f"tp{c}"), F.col(f"s{c}"))
-        f1 = _safe_div(2 * F.col(f"tp{c}"), F.col(f"pp{c}") + F.col(f"s{c}"))
-        rows.append(one.select(F.lit(names[c]).alias("item"), pr.alias("precision"), rc.alias("recall"),
-                               f1.alias("f1"), F.col(f"s{c}").alias("support")))
-    per = union_all(rows)
-    n = F.sum("support")
-    avgs = per.agg(
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        (F.sum(F.col("precision") * F.col("support")) / n).alias("wp"),
-        (F.sum(F.col("recall") * F.col("support")) / n).alias("wr"),
-        (F.sum(F.col("f1") * F.col("support")) / n).alias("wf"), n.alias("n"))
-    acc = one.select(F.lit("accuracy").alias("item"), F.lit(None).cast("double").alias("precision"),
-                     F.lit(None).cast("double").alias("recall"),
-                     _safe_div(F.col("tp0") + F.col("tp1"), F.col("s0") + F.col("s1")).alias("f1"),
-                     (F.col("s0") + F.col("s1")).alias("support"))
-    macro = avgs.select(F.lit("macro avg").alias("item"), F.col("mp").alias("precision"),
-                        F.col("mr").alias("recall"), F.col("mf").alias("f1"), F.col("n").alias("support"))
-    weighted = avgs.select(F.lit("weighted avg").alias("item"), F.col("wp").alias("precision"),
-                           F.col("wr").alias("recall"), F.col("wf").alias("f1"), F.col("n").alias("support"))
-    out = union_all([per, acc, macro, weighted])
-    return out.select("item", r6(F.col("precision")).alias("precision"), r6(F.col("recall")).alias("recall"),
-                      r6(F.col("f1")).alias("f1"), F.col("support").cast("long").alias("support"))
+    one = preds.agg(*[F.sum(((y == c) & (p == c)).cast("long")).alias(f"tp{c}") for c in (0, 1)],
+                    *[F.sum((p == c).cast("long")).alias(f"pp{c}") for c in (0, 1)],
+                    *[F.sum((y == c).cast("long")).alias(f"s{c}") for c in (0, 1)])
+    pr = {c: _safe_div(F.col(f"tp{c}"), F.col(f"pp{c}")) for c in (0, 1)}
+    rc = {c: _safe_div(F.col(f"tp{c}"), F.col(f"s{c}")) for c in (0, 1)}
+    f1 = {c: _safe_div(2 * F.col(f"tp{c}"), F.col(f"pp{c}") + F.col(f"s{c}")) for c in (0, 1)}
+    n = F.col("s0") + F.col("s1")
+
+    def wavg(m):
+        return (m[0] * F.col("s0") + m[1] * F.col("s1")) / n
+
+    def row(item, prec, rec, f, sup):
+        return F.struct(F.lit(item).alias("item"), r6(prec).alias("precision"), r6(rec).alias("recall"),
+                        r6(f).alias("f1"), sup.cast("long").alias("support"))
+
+    none = F.lit(None).cast("double")
+    rows = [row(names[c], pr[c], rc[c], f1[c], F.col(f"s{c}")) for c in (0, 1)]
+    rows += [row("accuracy", none, none, _safe_div(F.col("tp0") + F.col("tp1"), n), n),
+             row("macro avg", (pr[0] + pr[1]) / 2, (rc[0] + rc[1]) / 2, (f1[0] + f1[1]) / 2, n),
+             row("weighted avg", wavg(pr), wavg(rc), wavg(f1), n)]
+    return one.select(F.inline(F.array(*rows)))
 
 
 def error_rate(preds: DataFrame) -> DataFrame:
