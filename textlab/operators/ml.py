@@ -130,7 +130,7 @@ def best_by_f1(train: DataFrame, reg_params=(0.0, 0.01, 0.1)) -> tuple[object, D
     lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=30)
     grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).build()
     tvs = TrainValidationSplit(estimator=lr, estimatorParamMaps=grid, evaluator=f1_evaluator(),
-                               trainRatio=0.8, seed=SPLIT_SEED, parallelism=2)
+                               trainRatio=0.8, seed=SPLIT_SEED, parallelism=len(grid))
     try:
         model = tvs.fit(feats)
     finally:
@@ -143,11 +143,12 @@ def best_by_f1(train: DataFrame, reg_params=(0.0, 0.01, 0.1)) -> tuple[object, D
 def param_search(train: DataFrame, folds: int = 3) -> DataFrame:
     """Cross-validated grid search; one row per candidate with its mean F1."""
     _, feats = featurize(train)
-    lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=30)
+    lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=20)
     grid = (ParamGridBuilder().addGrid(lr.regParam, [0.01, 0.1])
             .addGrid(lr.elasticNetParam, [0.0, 0.5]).build())
+    # candidate fits are independent Spark jobs: run them side by side
     cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=f1_evaluator(),
-                        numFolds=folds, seed=SPLIT_SEED, parallelism=2)
+                        numFolds=folds, seed=SPLIT_SEED, parallelism=len(grid))
     try:
         model = cv.fit(feats)
     finally:
