@@ -227,14 +227,18 @@ PATTERN_CHECKS = (
 
 def _flag_profile(df: DataFrame, patterns, key: str, text: str, example_len: int | None) -> DataFrame:
     """All patterns in one scan and one aggregate, then one row per pattern."""
-    base = df.where(F.col(text).isNotNull())
+    # flags are projected once; the aggregate reads them twice (count, example)
+    flags = [F.col(text).rlike(pat).alias(f"f_{name}") for name, pat in patterns]
+    cols = [F.col(key), *flags]
+    if example_len:
+        cols.append(F.substring(F.col(text), 1, example_len).alias("_head"))
+    base = df.where(F.col(text).isNotNull()).select(*cols)
     aggs = [F.count(F.lit(1)).alias("_n")]
-    for name, pat in patterns:
-        hit = F.col(text).rlike(pat)
+    for name, _ in patterns:
+        hit = F.col(f"f_{name}")
         aggs.append(F.sum(hit.cast("long")).alias(f"n_{name}"))
         if example_len:
-            aggs.append(F.min_by(F.substring(F.col(text), 1, example_len),
-                                 F.when(hit, F.col(key))).alias(f"e_{name}"))
+            aggs.append(F.min_by(F.col("_head"), F.when(hit, F.col(key))).alias(f"e_{name}"))
     one = base.agg(*aggs)
     structs = []
     for name, _ in patterns:
