@@ -58,5 +58,9 @@ def single_row_stats(df: DataFrame, *aggs: Column) -> DataFrame:
 
 
 def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach a one-row table to every row: broadcast nested-loop of 1 row."""
-    return df.crossJoin(F.broadcast(one_row))
+    """Add the columns of a one-row aggregate to every row.
+
+    Each column is a scalar subquery (``DataFrame.scalar()``); Catalyst merges
+    the sibling subqueries into one, runs it once and inlines the values, so
+    there is no join at all, let alone a cross join."""
+    return df.select("*", *[one_row.select(c).scalar().alias(c) for c in one_row.columns])
