@@ -32,6 +32,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.files.maxPartitionBytes", str(32 * 1024 * 1024))
+        # local runs only: catalog tables (bucketed layout tests) go to a temp folder
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="textlab-warehouse-"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
