@@ -9,7 +9,8 @@ from ..functions.text import tokenize
 from ..operators import lengths as LN
 from ..sources import driver as D
 from .registry import query
-from .sqlparts import PARA, tokens_of, y_of
+from .sqlparts import PARA, lit, tokens_of, y_of
+from ..functions.text import WHITESPACE_TOKEN
 
 _DL = f"""dl AS (SELECT par_id, {y_of()} AS y, CAST(len({tokens_of()}) AS BIGINT) AS n
        FROM para WHERE text IS NOT NULL)"""
@@ -122,3 +123,17 @@ def q_truncate_tokens(spark, sf):
     p = D.paragraphs(spark, sf, derive={"n_tokens": F.size(tokenize("text")).cast("long")},
                      with_text=False)
     return LN.truncation_profile(p, MAX_LENGTH)
+
+
+# Whitespace tokens: the labelled corpus is already space-tokenised, so this
+# mode counts lengths the way its own tokenizer sees them.
+_DL_WS = f"""dl AS (SELECT par_id, {y_of()} AS y,
+       CAST(len(regexp_extract_all(text, {lit(WHITESPACE_TOKEN)})) AS BIGINT) AS n
+       FROM para WHERE text IS NOT NULL)"""
+
+
+@query("length_percentiles_ws", f"WITH {PARA}, {_DL_WS}\n" + _pct_rows())
+def q_length_percentiles_ws(spark, sf):
+    p = D.paragraphs(spark, sf, derive={"n_tokens": F.size(tokenize("text", mode="whitespace")).cast("long")},
+                     with_text=False)
+    return LN.length_percentiles(LN.length_table(p))
