@@ -7,7 +7,7 @@ runs on one machine.
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -42,24 +42,26 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the cluster.
+    """Return the shared checkpoint folder of the session.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is
-    used as is.  Only when it is unset (local tests) a folder is made here.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a single-machine
+    master (``local[..]``: tests, bench) may fall back to a local folder; any
+    other session without the setting is refused, because its executors would
+    each write to a disk of their own.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if not current:
-        current = spark.conf.get(CHECKPOINT_CONF, None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="textlab-ckpt-")
-        spark.conf.set(CHECKPOINT_CONF, current)
-    sc.setCheckpointDir(current)
-    return current
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    folder = spark.conf.get(CHECKPOINT_CONF, None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="textlab-ckpt-")
+    sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    # getCheckpointDir returns a sub-folder Spark made; stay beside it.
-    return os.path.join(base, "textlab-io", f"{name}-{uuid.uuid4().hex}")
+    return "/".join((ensure_checkpoint_dir(spark).rstrip("/"), "textlab-io", f"{name}-{uuid.uuid4().hex}"))
