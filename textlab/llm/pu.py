@@ -127,12 +127,15 @@ def _widest_gap(w: np.ndarray, b: float, rows: _Rows, prior: float) -> float:
     scores where a share of positives near the prior lies above it."""
     row, idx, val = rows.part(np.arange(len(rows.size)))
     z = np.sort(np.bincount(row, weights=w[idx] * val, minlength=len(rows.size)) + b)[::-1]
-    lo, hi = max(1, int(0.85 * prior * len(z))), min(len(z) - 1, int(1.1 * prior * len(z)) + 1)
-    if lo >= hi:
+    lo, hi = max(1, int(0.85 * prior * len(z))), min(len(z) - 1, int(prior * len(z)) + 1)
+    gaps = z[:-1] - z[1:]
+    at = lo - 1 + int(gaps[lo - 1:hi].argmax()) if lo <= hi else 0
+    if len(gaps) and gaps[at] <= 1e-6:  # texts without any mark start above: the last gap before them
+        above = np.flatnonzero(gaps[:lo] > 1e-6)
+        at = int(above[-1]) if len(above) else -1
+    if not len(gaps) or at < 0:
         return b
-    gaps = z[lo - 1:hi - 1] - z[lo:hi]
-    at = lo + int(gaps.argmax())
-    return b - (z[at - 1] + z[at]) / 2
+    return b - (z[at] + z[at + 1]) / 2
 
 
 def remainder(col: str, of: int) -> Column:
@@ -186,17 +189,21 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, learn_fold: Column, fe
     return fit_rows(*rows, prior=share, how=how), share
 
 
-def _scorer(model: Linear, features: Features):
-    def run(batches):
+def row_wise(docs: DataFrame, run, keep: tuple[str, ...], added: str) -> DataFrame:
+    """``keep`` columns of ``docs`` and the ``added`` ones that ``run(texts)`` gives
+    as Arrow columns; ``run`` sees every whole text, null as empty."""
+    rows = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
+    names = [*keep, *(part.split()[0] for part in added.split(", "))]
+
+    def each(batches):
         for batch in batches:
-            scores = [float(model.score(*features(t))) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())],
-                                             names=[*batch.schema.names[:-1], "score"])
-    return run
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *run(texts)], names=names)
+    return rows.mapInArrow(each, f"{kinds}, {added}")
 
 
-def scored(docs: DataFrame, model: Linear, features: Features, *keep: str) -> DataFrame:
+def scored(docs: DataFrame, model: Linear, features: Features, *keep: str, name: str = "score") -> DataFrame:
     """``keep`` columns and the model's score of every whole text."""
-    rows = docs.select(*keep, text_or_empty().alias("text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_scorer(model, features), f"{kinds}, score double")
+    return row_wise(docs, lambda texts: [pa.array([float(model.score(*features(t))) for t in texts], pa.float64())],
+                    keep, f"{name} double")

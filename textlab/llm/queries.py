@@ -83,3 +83,23 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_scores
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query()
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import line_report
+    return line_report(read_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .crf import learn_chain, quality_verdicts
+    docs = read_table(spark, sf_dir, "documents")
+    return quality_verdicts(docs, learn_chain(docs, read_table(spark, sf_dir, "labels")), "doc_id").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query()
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract_pages
+    return extract_pages(read_table(spark, sf_dir, "pages"))

@@ -131,3 +131,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     lowest = group.groupBy("root").agg(F.min("low").alias("component_id"))
     return (rows.join(group.join(lowest, "root").select("fp", "component_id"), "fp")
             .select("doc_id", "fp", "component_id"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the smallest doc_id (null last).
+
+    Rows that repeat a doc_id are told apart by their text, and rows that repeat
+    both are one document, of which one row stays.
+    """
+    text = F.xxhash64(text_or_empty())
+    rows = durable(fingerprints(docs.select(F.col("doc_id").alias("id"), text.alias("doc"), "text"),
+                                "id", "doc", shingle=shingle))
+    first = F.struct(F.col("id").isNull().alias("no_id"), "id", "doc")
+    keys = rows.join(near_groups(rows, max_bits), "fp").select("root", "id", "doc")
+    best = keys.groupBy("root").agg(F.min(first).alias("best"))
+    judged = (keys.groupBy("root", "id", "doc").agg(F.count(F.lit(1)).alias("n")).join(best, "root")
+              .select(F.col("id").alias("__id"), F.col("doc").alias("__doc"), "n",
+                      (F.col("best.id").eqNullSafe(F.col("id")) & (F.col("best.doc") == F.col("doc"))).alias("stays")))
+    marked = docs.withColumn("__key", text)
+    same = marked["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__doc"))
+    judged = durable(judged.where("not stays or n > 1"))
+    out = marked.join(judged, same, "left_anti")
+    again = marked.join(judged.where("stays"), same, "left_semi").dropDuplicates(["doc_id", "__key"])
+    return out.unionByName(again).select(*docs.columns)
