@@ -1,22 +1,26 @@
-"""Bucketed layout: documents ⋈ labels without an exchange on either side."""
+"""Bucketed layout: joins on the bucket key need no exchange; a table belongs to its source."""
 
-from textlab.sources import driver as D
-from textlab.sources.layout import lay_out
+import pytest
 
-from conftest import SF001
+from textlab.sources import layout as L
 
+SF001 = "/root/testdata/sf0.001"
 
-def test_bucketed_join_has_no_exchange(spark, tmp_dir):
-    lay_out(spark, SF001, "textlab_bkt", 4, base_path=f"{tmp_dir}/bkt")
+
+def test_bucketed_layout_joins_without_exchange(spark):
+    L.lay_out(spark, SF001, "textlab_bkt", 4)
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("textlab.catalog.database", "textlab_bkt")
     try:
-        p = D.paragraphs(spark, SF001)
-        plan = p._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin" in plan
-        assert "Exchange" not in plan
-        assert p.count() == D.table(spark, SF001, "labels").count()
+        d = L.laid_out(spark, SF001, "textlab_bkt", "documents")
+        joined = d.join(L.laid_out(spark, SF001, "textlab_bkt", "labels"), "doc_id")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == spark.read.parquet(f"{SF001}/labels.parquet").count()
     finally:
-        spark.conf.unset("textlab.catalog.database")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_layout_of_another_folder_is_refused(spark):
+    L.lay_out(spark, SF001, "textlab_bkt", 4)
+    with pytest.raises(ValueError):
+        L.laid_out(spark, "/another/folder", "textlab_bkt", "documents")

@@ -3,6 +3,8 @@ and brute-force comparisons for the scale-oriented rewrites."""
 
 import math
 
+import pytest
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -72,26 +74,27 @@ def test_stratified_split_matches_row_number(spark):
     assert len(fast) == p.count()
 
 
-def test_boundary_bigrams_match_stream(spark):
-    p = D.paragraphs(spark, SF001)
-    got = sorted(tuple(r) for r in L.boundary_bigrams(p, block=7).collect())
-    grams_in = sorted(tuple(r) for r in L.class_ngrams(p, 2).collect())
-    # brute force: whole token stream per class, in id order
+def test_stream_bigrams_match_the_whole_stream(spark):
+    p = D.paragraphs(spark, SF001).withColumn("par_id", F.col("par_id") * 1_000_003 + 10**15)  # sparse ids
     from textlab.functions.text import content_tokens, tokenize
     rows = (p.where(F.col("text").isNotNull())
             .select("par_id", (F.col("label") >= 2).cast("int").alias("y"),
                     content_tokens(tokenize("text")).alias("t")).collect())
-    streams = {}
+    streams, brute = {}, {}
     for r in sorted(rows, key=lambda r: r.par_id):
         streams.setdefault(r.y, []).extend(r.t)
-    brute = sorted((y, f"{a} {b}") for y, s in streams.items() for a, b in zip(s, s[1:]))
-    assert sorted(grams_in + got) == brute
+    for y, s in streams.items():
+        for a, b in zip(s, s[1:]):
+            brute[y, f"{a} {b}"] = brute.get((y, f"{a} {b}"), 0) + 1
+    for blocks in (2, 64):
+        got = {(r.binary_label, r.ngram): r.freq for r in L.stream_bigram_counts(p, blocks=blocks).collect()}
+        assert got == brute
 
 
 def test_top_k_per_group_matches_window(spark):
     df = spark.range(0, 5000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 1000).alias("v"),
                                      F.col("id"))
-    got = top_k_per_group(df, ["g"], [F.desc("v"), F.asc("id")], 5, salt_buckets=16)
+    got = top_k_per_group(df, ["g"], [F.desc("v"), F.asc("id")], 5)
     w = Window.partitionBy("g").orderBy(F.desc("v"), F.asc("id"))
     ref = df.withColumn("rank", F.row_number().over(w)).where("rank <= 5")
     assert sorted(map(tuple, got.select("g", "v", "id", "rank").collect())) == \
@@ -138,6 +141,65 @@ def test_dedup_keep_first_and_last(spark):
     assert first == {1: "a", 2: "c"} and last == {1: "b", 2: "c"}
 
 
+def test_dedup_needs_a_position(spark):
+    with pytest.raises(ValueError):
+        PR.dedup_by_key(spark.range(3), "id", "id")
+
+
+def test_repeated_id_gives_first_or_last_text(spark):
+    rows = [(1, "B", 5), (1, "A", 2), (2, "C", 9)]
+    p = spark.createDataFrame(rows, "par_id long, text string, pos long").repartition(3)
+    assert {r.par_id: r.text for r in PR.text_by_id(p, keep="first").collect()} == {1: "A", 2: "C"}
+    assert {r.par_id: r.text for r in PR.text_by_id(p, keep="last").collect()} == {1: "B", 2: "C"}
+
+
+def test_unknown_id_raises_in_strict_lookup(spark):
+    dev = spark.createDataFrame([(0, 7, "[1]")], "pos long, par_id long, label string")
+    p = spark.createDataFrame([(1, "a", 0)], "par_id long, text string, pos long")
+    with pytest.raises(Exception, match="unknown id"):
+        PR.strict_lookup(dev, p).collect()
+
+
+def test_strict_cast_raises_on_a_bad_value(spark):
+    from textlab.functions.labels import strict_cast
+    df = spark.createDataFrame([("12",), ("x",)], "v string")
+    with pytest.raises(Exception, match="cannot cast value"):
+        df.select(strict_cast("v", "bigint")).collect()
+
+
+def test_ids_keep_their_digits(spark):
+    from textlab.functions.labels import coerce_id
+    values = ["9007199254740993", " 12 ", "12.0", "12d", "1e2", "x", "", None, "-3", "99999999999999999999"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    assert [r[0] for r in df.select(coerce_id("v")).collect()] == [9007199254740993, 12, 12, None, 100, None, None, None, -3, None]
+
+
+def test_leakage_makes_no_pairs_of_a_repeated_id(spark):
+    rows = [(7, 0, "same")] * 200 + [(i, 0, f"text {i}") for i in range(100, 300)]
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "par_id long, label int, text_key string, pos long")
+    parts = PR.stratified_split(df, carry=("text_key",), copies="pos")
+    train = parts.where(F.col("split") == "train").count()
+    assert PR.split_leakage(parts).count() <= train and parts.count() == 400
+
+
+def test_span_offsets_are_linear_in_sentences(spark):
+    text = "One sentence. " * 20_000
+    df = spark.createDataFrame([(1, text)], "par_id long, text string")
+    rows = D.span_rows(df).collect()
+    assert len(rows) == 20_001 or len(rows) == 20_000
+    assert all(text[r.span_start:r.span_finish] == r.span_text for r in rows)
+
+
+def test_log_odds_tokenises_once(spark):
+    from textlab.plans import QUERIES, load_all
+    load_all()
+    df = QUERIES["log_odds"](spark, SF001)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # the totals read the exchange that the term table wrote
+    assert "ReusedExchange [term" in plan
+
+
 def test_stratified_split_with_hot_duplicate_id(spark):
     # one id copied 3000 times next to 600 distinct ids: counts per part must
     # equal a plain row_number split, and copies are split by rank ranges

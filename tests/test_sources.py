@@ -41,15 +41,35 @@ def test_unlabelled_scan_fails_on_bad_row(spark, tmp_dir):
         IO.read_unlabelled_tsv(spark, f"{tmp_dir}/u").collect()
 
 
+def test_over_long_rows_with_an_empty_spare_field_go(spark, tmp_dir):
+    body = "1\t@@1\tk\tgb\tfine\t0\n2\ta\tk\tgb\tmany\t1\t\textra\n3\ta\tk\tgb\ttrailing\t1\t\n4\ta\tk\tgb\t\t1\n"
+    write(f"{tmp_dir}/p/a.tsv", body)
+    for multi_line in (False, True):
+        rows = {r.par_id: r.text for r in IO.read_paragraph_tsv(spark, f"{tmp_dir}/p", multi_line).collect()}
+        assert rows == {1: "fine", 4: None}
+
+
+def test_large_ids_keep_every_digit(spark, tmp_dir):
+    write(f"{tmp_dir}/d/dev.csv", 'par_id,label\n9007199254740993,"[0]"\n12d,"[0]"\n1.2e1,"[1]"\n')
+    assert [r.par_id for r in IO.read_dev_labels_csv(spark, f"{tmp_dir}/d").collect()] == [9007199254740993, 12]
+
+
 def test_prediction_sink_keeps_order(spark, tmp_dir):
     df = spark.range(0, 5000).select(F_pos(), ((F_id() * 7) % 2).cast("int").alias("pred"))
-    IO.write_predictions(df.repartition(7), f"{tmp_dir}/preds", partitions=4, records_per_file=900)
+    IO.write_predictions(df.repartition(7), f"{tmp_dir}/preds", lines_per_file=900)
     back = sorted((r.line_no, r.pred) for r in IO.read_predictions(spark, f"{tmp_dir}/preds").collect())
     assert back == [(i, (i * 7) % 2) for i in range(5000)]
     with open(sorted(p for p in _files(f"{tmp_dir}/preds"))[0]) as fh:
         assert fh.readline().strip() == "0"
 
 
+def test_prediction_files_are_read_in_number_order(spark, tmp_dir):
+    for n in range(1100):  # names sorted as text would put c1000 before c101
+        write(f"{tmp_dir}/many/part-00000-x-c{n:03d}.txt", f"{n % 2}\n{n // 2 % 2}\n")
+    back = [r.pred for r in IO.read_predictions(spark, f"{tmp_dir}/many").orderBy("line_no").collect()]
+    assert back == [v for n in range(1100) for v in (n % 2, n // 2 % 2)]
+
+
 def F_pos():
     from pyspark.sql import functions as F
     return F.col("id").alias("pos")

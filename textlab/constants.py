@@ -68,3 +68,7 @@ PCL_CATEGORIES = (
     "Authority_voice", "Metaphors", "Shallow_solution",
     "The_poorer_the_merrier",
 )
+
+# Shape of the derived member scores: (label strength, id multiplier) per
+# catalogue position.
+MEMBER_SHAPE = ((1.5, 31), (1.0, 53), (0.5, 71))

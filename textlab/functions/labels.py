@@ -26,9 +26,19 @@ def parse_multilabel(col: Column | str) -> Column:
     return F.coalesce(_c(col).rlike("[1-9]"), F.lit(False)).cast("int")
 
 
+#: A number as pandas reads one: digits with an optional point and exponent, nothing after them.
+NUMBER_PATTERN = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def coerce_id(col: Column | str) -> Column:
-    """Lenient numeric id: ``"12"`` and ``"12.0"`` -> 12, junk -> null."""
-    return F.trim(_c(col)).try_cast("double").try_cast("bigint")
+    """Lenient numeric id: ``"12"`` and ``"12.0"`` -> 12, junk -> null.
+
+    Whole numbers are cast as such, so ids above 2^53 keep every digit; only
+    other number formats go through a double.
+    """
+    c = F.trim(_c(col))
+    by_double = F.when(c.rlike(NUMBER_PATTERN), c.try_cast("double")).try_cast("bigint")
+    return F.coalesce(F.when(c.rlike(r"^[+-]?[0-9]+$"), c.try_cast("bigint")), by_double)
 
 
 def strict_cast(col: Column | str, to: str = "bigint") -> Column:

@@ -26,23 +26,15 @@ def with_share(counts: DataFrame, count_col: str = "n", out: str = "pct") -> Dat
 
 
 def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column],
-                    k: int, rank_col: str = "rank", salt_key: Column | None = None,
-                    salt_buckets: int = 64) -> DataFrame:
-    """Top-k rows per group without putting a whole group into one task.
+                    k: int, rank_col: str = "rank") -> DataFrame:
+    """Top-k rows per group by one ranked window.
 
-    Stage 1 ranks inside (group, salt) sub-groups and keeps k rows of each;
-    stage 2 ranks the at most ``salt_buckets * k`` survivors per group.  A hot
-    group is spread over ``salt_buckets`` tasks in stage 1.
+    Spark limits the groups before the shuffle (``WindowGroupLimit``): every
+    task sends at most k rows a group, so a hot group costs k rows a task.
     """
-    group = [F.col(c) for c in group_cols]
-    if salt_key is None:
-        salt_key = F.xxhash64(*[c for c in df.columns if c not in group_cols])
-    salted = df.withColumn("_salt", F.pmod(salt_key, F.lit(salt_buckets)))
-    w1 = Window.partitionBy(*group, F.col("_salt")).orderBy(*order)
-    stage1 = salted.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k)
-    w2 = Window.partitionBy(*group).orderBy(*order)
-    return (stage1.withColumn(rank_col, F.row_number().over(w2).cast("long"))
-            .where(F.col(rank_col) <= k).drop("_salt", "_r"))
+    w = Window.partitionBy(*group_cols).orderBy(*order)
+    return (df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
+            .withColumn(rank_col, F.col(rank_col).cast("long")))
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
@@ -52,15 +44,12 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def single_row_stats(df: DataFrame, *aggs: Column) -> DataFrame:
-    """One-row aggregate, meant to be broadcast back (size is one row)."""
-    return df.agg(*aggs)
-
-
 def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a one-row aggregate to every row.
 
-    Each column is a scalar subquery (``DataFrame.scalar()``); Catalyst merges
-    the sibling subqueries into one, runs it once and inlines the values, so
-    there is no join at all, let alone a cross join."""
-    return df.select("*", *[one_row.select(c).scalar().alias(c) for c in one_row.columns])
+    The row travels as one struct-valued scalar subquery, so the aggregate is
+    planned once with all of its columns: there is no join, and a table that
+    feeds both sides is computed once."""
+    row = one_row.select(F.struct(*[F.col(c) for c in one_row.columns]).alias("_one")).scalar()
+    return df.withColumn("_one", row).select(
+        *df.columns, *[F.col(f"_one.{c}").alias(c) for c in one_row.columns])

@@ -9,7 +9,7 @@ table, broadcast back as one row; the only shuffle over raw tokens is the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import binarise
@@ -89,35 +89,43 @@ def class_ngrams(df: DataFrame, n: int, text: str = "text", label: str = "label"
             .where(F.col("ngram").isNotNull()))
 
 
-def boundary_bigrams(df: DataFrame, key: str = "par_id", text: str = "text", label: str = "label",
-                     words=ENGLISH_STOP_WORDS, block: int = 100_000) -> DataFrame:
-    """Bigrams that cross document edges when each class's documents are read
-    as one token stream in ``key`` order (parity mode).
+def stream_bigram_counts(df: DataFrame, key: str = "par_id", text: str = "text", label: str = "label",
+                         words=ENGLISH_STOP_WORDS, blocks: int = 256) -> DataFrame:
+    """Bigram counts when each class's documents are read as one token stream in
+    ``key`` order, so that bigrams cross document edges.
 
-    For every non-empty document: (last token of the previous non-empty
-    document of the same class, first token of this one).  Documents are cut
-    into blocks of ``block`` consecutive keys; ``lag`` runs inside each block
-    and a block's last token is carried to the next non-empty block through a
-    per-block table (one row per block), so no window spans the corpus.
+    The text is tokenised once: every document yields its inner bigrams and one
+    edge row (key, first and last token), and both kinds go through the same
+    count.  Edges are cut into blocks at quantiles of the keys that occur, so
+    sparse ids make no more blocks than dense ones; ``lag`` runs inside a block
+    and a block's last token is carried over a table of one row a block.
     """
-    toks = content_tokens(tokenize(text), words)
-    ends = (df.where(F.col(text).isNotNull())
-            .select(F.col(key).alias("k"), binarise(label).alias("binary_label"), toks.alias("t"))
-            .where(F.size("t") > 0)
-            .select("k", "binary_label", F.col("t")[0].alias("first"),
-                    F.element_at("t", -1).alias("last"),
-                    F.floor(F.col("k") / block).alias("blk")))
-    from pyspark.sql import Window as W
-    w = W.partitionBy("binary_label", "blk").orderBy("k")
-    inner = ends.withColumn("prev_last", F.lag("last").over(w))
-    # last token per (class, block), then the previous non-empty block's one
-    blocks = ends.groupBy("binary_label", "blk").agg(F.max_by("last", "k").alias("blk_last"))
-    wb = W.partitionBy("binary_label").orderBy("blk")
-    carry = blocks.withColumn("carry", F.lag("blk_last").over(wb)).select("binary_label", "blk", "carry")
-    joined = inner.join(carry, ["binary_label", "blk"], "left")
-    prev = F.coalesce(F.col("prev_last"), F.col("carry"))
-    return joined.where(prev.isNotNull()).select(
-        "binary_label", F.concat_ws(" ", prev, F.col("first")).alias("ngram"))
+    toks = df.where(F.col(text).isNotNull()).select(
+        F.col(key).alias("k"), binarise(label).alias("binary_label"), content_tokens(tokenize(text), words).alias("t"))
+    none = F.lit(None)
+    edge = F.struct(none.cast("string").alias("ngram"), F.col("k").alias("k"), F.element_at("t", 1).alias("first"),
+                    F.element_at("t", -1).alias("last"))
+    inner = F.transform(ngrams(F.col("t"), 2), lambda g: F.struct(
+        g.alias("ngram"), none.cast("long").alias("k"), none.cast("string").alias("first"),
+        none.cast("string").alias("last")))
+    rows = toks.select("binary_label", F.inline(F.when(F.size("t") > 0, F.concat(inner, F.array(edge)))))
+    # the flag is an aggregate's output, so no filter on it is pushed below the count
+    counted = rows.groupBy("binary_label", "ngram", "k", "first", "last").agg(
+        F.count(F.lit(1)).alias("freq"), F.max(F.col("ngram").isNull()).alias("is_edge"))
+    ends = counted.where("is_edge").select("binary_label", "k", "first", "last")
+    bounds = df.agg(F.percentile_approx(key, [i / blocks for i in range(1, blocks)], 10_000).alias("_bounds"))
+    ends = attach(ends, bounds).select(
+        "binary_label", "k", "first", "last", F.size(F.filter("_bounds", lambda x: x < F.col("k"))).alias("blk"))
+    w = Window.partitionBy("binary_label", "blk").orderBy("k")
+    inside = ends.withColumn("prev", F.lag("last").over(w)).withColumn("next", F.lead("k").over(w))
+    carry = (inside.where(F.col("next").isNull()).select("binary_label", "blk", "last")
+             .withColumn("carry", F.lag("last").over(Window.partitionBy("binary_label").orderBy("blk")))
+             .select("binary_label", "blk", "carry"))
+    prev = F.coalesce("prev", "carry")
+    crossing = (inside.join(carry, ["binary_label", "blk"]).where(prev.isNotNull())
+                .select("binary_label", F.concat_ws(" ", prev, "first").alias("ngram"), F.lit(1).cast("long").alias("freq")))
+    return (counted.where("not is_edge").select("binary_label", "ngram", "freq").unionByName(crossing)
+            .groupBy("binary_label", "ngram").agg(F.sum("freq").alias("freq")))
 
 
 def ngram_counts(grams: DataFrame) -> DataFrame:
@@ -126,29 +134,15 @@ def ngram_counts(grams: DataFrame) -> DataFrame:
 
 def top_bigrams(df: DataFrame, k: int = 15, cross_doc: bool = False, **kw) -> DataFrame:
     """Most common content bigrams per class (top k, ties by n-gram)."""
-    grams = class_ngrams(df, 2, **kw)
-    if cross_doc:
-        grams = grams.unionByName(boundary_bigrams(df, **kw))
-    counts = ngram_counts(grams)
-    return top_k_per_group(counts, ["binary_label"], [F.desc("freq"), F.asc("ngram")], k,
-                           salt_key=F.xxhash64("ngram")) \
+    counts = stream_bigram_counts(df, **kw) if cross_doc else ngram_counts(class_ngrams(df, 2, **kw))
+    return top_k_per_group(counts, ["binary_label"], [F.desc("freq"), F.asc("ngram")], k) \
         .select("binary_label", "rank", "ngram", "freq")
 
 
-def corpus_ngrams(df: DataFrame, n: int, text: str = "text") -> DataFrame:
-    """``(ngram)`` rows over word tokens with stop words kept (punctuation-only
-    tokens removed), inside each document."""
-    toks = (df.where(F.col(text).isNotNull())
-            .select(F.filter(tokenize(text), lambda t: t.rlike(r"[\p{L}\p{N}]")).alias("toks")))
-    return (toks.select(F.explode_outer(ngrams(F.col("toks"), n)).alias("ngram"))
-            .where(F.col("ngram").isNotNull()))
-
-
 def top_ngrams(df: DataFrame, sizes=(2, 3), k: int = 25, text: str = "text") -> DataFrame:
     """Top k corpus n-grams for each size.  The text is tokenised once: every
     size's n-grams are exploded from the same token array as ``(n, ngram)``
-    rows, counted in one aggregation, and ranked per size with the salted
-    two-stage top-k."""
+    rows, counted in one aggregation, and ranked per size."""
     toks = (df.where(F.col(text).isNotNull())
             .select(F.filter(tokenize(text), lambda t: t.rlike(r"[\p{L}\p{N}]")).alias("toks")))
     # tokens hold no spaces, so an n-gram's size is its word count: plain
@@ -159,8 +153,7 @@ def top_ngrams(df: DataFrame, sizes=(2, 3), k: int = 25, text: str = "text") ->
         .withColumn("n", F.size(F.split("ngram", " ")).cast("long"))
     # a per-size filter here would be pushed below the aggregate and split
     # the plan into one tokenising branch per size; rank per size instead
-    top = top_k_per_group(counts, ["n"], [F.desc("freq"), F.asc("ngram")], k,
-                          salt_key=F.xxhash64("ngram"))
+    top = top_k_per_group(counts, ["n"], [F.desc("freq"), F.asc("ngram")], k)
     return top.select("n", "ngram", "freq")
 
 
@@ -170,8 +163,7 @@ def cloud_terms(freq: DataFrame, k: int = 150) -> DataFrame:
         F.struct(F.lit(1).alias("binary_label"), F.col("pcl_freq").alias("freq")),
         F.struct(F.lit(0).alias("binary_label"), F.col("non_pcl_freq").alias("freq")),
     ))).where(F.col("freq") > 0)
-    top = top_k_per_group(long, ["binary_label"], [F.desc("freq"), F.asc("term")], k,
-                          salt_key=F.xxhash64("term"))
+    top = top_k_per_group(long, ["binary_label"], [F.desc("freq"), F.asc("term")], k)
     mx = top.where(F.col("rank") == 1).select("binary_label", F.col("freq").alias("_max"))
     return (top.join(F.broadcast(mx), "binary_label")
             .select("binary_label", "rank", "term", "freq",

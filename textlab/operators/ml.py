@@ -2,8 +2,8 @@
 model selection by positive-class F1, parameter search and save / reload.
 
 The original members are fine-tuned transformers; here each member is a
-Spark ML ``Pipeline`` (regex tokens -> stop words -> 128-token cut ->
-hashed term frequencies -> IDF -> classifier with a per-row class weight),
+Spark ML ``Pipeline`` (regex tokens -> stop words -> hashed term frequencies ->
+IDF -> classifier with a per-row class weight) over the whole text,
 trained and applied by Spark on the executors.  Outputs have the same long
 shape as any other model output: ``(par_id, model, p)``.
 """
@@ -19,7 +19,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationS
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import CLASS_WEIGHTS, ENGLISH_STOP_WORDS, MAX_LENGTH, SPLIT_SEED
+from ..constants import CLASS_WEIGHTS, ENGLISH_STOP_WORDS, SPLIT_SEED
 from ..functions.text import TOKEN_PATTERN
 
 # Spark-side members and their vote weights (same weight values, by position,
@@ -35,28 +35,36 @@ def training_frame(df: DataFrame, text: str = "text", label: str = "label",
                      F.when(y == 1.0, F.lit(weights[1])).otherwise(F.lit(weights[0])).alias("weight"))
 
 
-def _front(ngram: int = 1, num_features: int = 1 << 18):
+#: Hash buckets of the term features.  Terms that share a bucket are one feature:
+#: 2^18 keeps that rare for vocabularies up to about 10^5 terms.
+NUM_FEATURES = 1 << 18
+
+
+def _front(ngram: int = 1, num_features: int = NUM_FEATURES, max_tokens: int | None = None):
+    """Text stages.  ``max_tokens`` cuts a text (for models with a fixed input
+    length); hashed counts read the whole text, so the default is no cut."""
     tok = RegexTokenizer(inputCol="text", outputCol="tok_all", pattern=TOKEN_PATTERN, gaps=False,
                          toLowercase=True)
-    stop = StopWordsRemover(inputCol="tok_all", outputCol="tok_content", stopWords=list(ENGLISH_STOP_WORDS))
-    cut = SQLTransformer(statement=f"SELECT *, slice(tok_content, 1, {MAX_LENGTH}) AS tok FROM __THIS__")
-    stages = [tok, stop, cut]
+    stages, col = [tok], "tok_all"
+    if max_tokens:
+        stages.append(SQLTransformer(statement=f"SELECT *, slice(tok_all, 1, {int(max_tokens)}) AS tok_cut FROM __THIS__"))
+        col = "tok_cut"
+    stages.append(StopWordsRemover(inputCol=col, outputCol="tok", stopWords=list(ENGLISH_STOP_WORDS)))
     col = "tok"
     if ngram > 1:
-        stages.append(NGram(n=ngram, inputCol="tok", outputCol="grams"))
-        col = "grams"
-    stages += [HashingTF(inputCol=col, outputCol="tf", numFeatures=num_features),
-               IDF(inputCol="tf", outputCol="features")]
-    return stages
+        stages.append(NGram(n=ngram, inputCol="tok", outputCol=f"grams{ngram}"))
+        col = f"grams{ngram}"
+    return stages + [HashingTF(inputCol=col, outputCol=f"tf{ngram}", numFeatures=num_features),
+                     IDF(inputCol=f"tf{ngram}", outputCol=f"features{ngram}")]
 
 
 def _classifiers() -> dict:
     return {
-        "tfidf_logreg": (1, LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
+        "tfidf_logreg": (1, LogisticRegression(featuresCol="features1", labelCol="label", weightCol="weight",
                                                maxIter=30, regParam=0.01)),
-        "naive_bayes": (1, NaiveBayes(featuresCol="tf", labelCol="label", weightCol="weight",
+        "naive_bayes": (1, NaiveBayes(featuresCol="tf1", labelCol="label", weightCol="weight",
                                       modelType="multinomial")),
-        "bigram_logreg": (2, LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
+        "bigram_logreg": (2, LogisticRegression(featuresCol="features2", labelCol="label", weightCol="weight",
                                                 maxIter=30, regParam=0.01)),
     }
 
@@ -65,28 +73,11 @@ def member_pipelines() -> dict[str, Pipeline]:
     return {name: Pipeline(stages=_front(n) + [clf]) for name, (n, clf) in _classifiers().items()}
 
 
-ROWS_PER_PARTITION = 100_000
-
-
 def featurize(train: DataFrame, ngram: int = 1):
-    """Fit the text front (tokens, cut, hashing, IDF) once and return it with
-    the persisted feature rows, so classifier fits and tuning folds never
-    re-run the tokenizer.
-
-    Every optimizer iteration tree-aggregates one gradient per partition, so
-    the cached table is sized by its row count (about ``ROWS_PER_PARTITION``
-    rows each): a small training set is not spread over idle partitions, a
-    large one keeps all of its parallelism.  The coalesce reads the cache.
-    """
+    """Fit the text front (tokens, hashing, IDF) once and return it with the
+    persisted feature rows, so classifier fits never re-run the tokenizer."""
     front = Pipeline(stages=_front(ngram)).fit(train)
-    feats = front.transform(train).select("par_id", "label", "weight", "tf", "features").persist()
-    n = feats.count()
-    want = max(1, -(-n // ROWS_PER_PARTITION))
-    if want < feats.rdd.getNumPartitions():
-        small = feats.coalesce(want).persist()
-        small.count()
-        feats.unpersist()
-        feats = small
+    feats = front.transform(train).select("par_id", "label", "weight", f"tf{ngram}", f"features{ngram}").persist()
     return front, feats
 
 
@@ -104,18 +95,30 @@ def train_members(train: DataFrame) -> dict[str, PipelineModel]:
     return models
 
 
-def score_members(models: dict[str, PipelineModel], df: DataFrame, key: str = "par_id") -> DataFrame:
-    """Long ``(key, model, p, pred)``: P(class 1) and hard prediction."""
-    frames = []
+def score_wide(models: dict[str, PipelineModel], df: DataFrame, key: str = "par_id") -> DataFrame:
+    """``key, p_<model>, pred_<model>, z_<model>`` of every row, in one pass: the
+    members share the text stages, so each stage runs once and the classifiers
+    are applied to the same frame.  No row is moved."""
+    out, done = df.select(key, "text"), set()
     for name, m in models.items():
-        out = m.transform(df.select(key, "text"))
-        frames.append(out.select(key, F.lit(name).alias("model"),
-                                 vector_to_array("probability")[1].alias("p"),
-                                 F.col("prediction").cast("int").alias("pred")))
-    res = frames[0]
-    for f in frames[1:]:
-        res = res.unionByName(f)
-    return res
+        *front, clf = m.stages
+        for stage in front:
+            if stage.getOutputCol() not in done:
+                done.add(stage.getOutputCol())
+                out = stage.transform(out)
+        named = clf.copy({clf.probabilityCol: f"prob_{name}", clf.rawPredictionCol: f"raw_{name}",
+                          clf.predictionCol: f"hard_{name}"})
+        out = named.transform(out)
+    return out.select(key, *[c for name in models for c in (
+        vector_to_array(f"prob_{name}")[1].alias(f"p_{name}"), F.col(f"hard_{name}").cast("int").alias(f"pred_{name}"),
+        vector_to_array(f"raw_{name}").alias(f"z_{name}"))])
+
+
+def score_members(models: dict[str, PipelineModel], df: DataFrame, key: str = "par_id") -> DataFrame:
+    """Long ``(key, model, p, pred)``: P(class 1) and hard prediction, cut from the wide scores."""
+    return score_wide(models, df, key).select(key, F.inline(F.array(*[
+        F.struct(F.lit(name).alias("model"), F.col(f"p_{name}").alias("p"), F.col(f"pred_{name}").alias("pred"))
+        for name in models])))
 
 
 def f1_evaluator() -> MulticlassClassificationEvaluator:
@@ -123,13 +126,20 @@ def f1_evaluator() -> MulticlassClassificationEvaluator:
                                              metricName="fMeasureByLabel", metricLabel=1.0)
 
 
+def _tuned(train: DataFrame) -> tuple[Pipeline, LogisticRegression, DataFrame]:
+    """Text front up to the counts (fitted on no row), then IDF and classifier as
+    the estimator to tune: IDF never sees a validation row."""
+    *counts, idf = _front()
+    feats = Pipeline(stages=counts).fit(train).transform(train).select("label", "weight", "tf1").persist()
+    lr = LogisticRegression(featuresCol="features1", labelCol="label", weightCol="weight", maxIter=30)
+    return Pipeline(stages=[idf, lr]), lr, feats
+
+
 def best_by_f1(train: DataFrame, reg_params=(0.0, 0.01, 0.1)) -> tuple[object, DataFrame]:
-    """Keep the candidate with the best validation F1 (positive class).
-    The IDF front is fitted once on the whole training part."""
-    _, feats = featurize(train)
-    lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=30)
+    """Keep the candidate with the best validation F1 (positive class)."""
+    pipe, lr, feats = _tuned(train)
     grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).build()
-    tvs = TrainValidationSplit(estimator=lr, estimatorParamMaps=grid, evaluator=f1_evaluator(),
+    tvs = TrainValidationSplit(estimator=pipe, estimatorParamMaps=grid, evaluator=f1_evaluator(),
                                trainRatio=0.8, seed=SPLIT_SEED, parallelism=len(grid))
     try:
         model = tvs.fit(feats)
@@ -142,12 +152,11 @@ def best_by_f1(train: DataFrame, reg_params=(0.0, 0.01, 0.1)) -> tuple[object, D
 
 def param_search(train: DataFrame, folds: int = 3) -> DataFrame:
     """Cross-validated grid search; one row per candidate with its mean F1."""
-    _, feats = featurize(train)
-    lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=20)
+    pipe, lr, feats = _tuned(train)
     grid = (ParamGridBuilder().addGrid(lr.regParam, [0.01, 0.1])
             .addGrid(lr.elasticNetParam, [0.0, 0.5]).build())
     # candidate fits are independent Spark jobs: run them side by side
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=f1_evaluator(),
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=f1_evaluator(),
                         numFolds=folds, seed=SPLIT_SEED, parallelism=len(grid))
     try:
         model = cv.fit(feats)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..constants import HOLDOUT_SHARE, SPLIT_SEED, VAL_SHARE_OF_HOLDOUT
 from ..functions.labels import binarise, parse_multilabel
-from ..functions.text import clean_text, text_hash
+from ..functions.text import clean_text
+from .common import attach
 
 
 def drop_missing(df: DataFrame, subset=("text", "label")) -> DataFrame:
@@ -20,16 +21,18 @@ def fill_text(df: DataFrame, col: str = "text") -> DataFrame:
 
 
 def dedup_by_key(df: DataFrame, key: str, order: str, keep: str = "first") -> DataFrame:
-    """One row per ``key``: the first (or last) by ``order``.
+    """One row per ``key``: the first (or last) by ``order``, a position column
+    that tells the rows of a key apart.
 
-    ``min_by`` / ``max_by`` aggregate partially before the shuffle, so a key
-    holding a third of all rows is reduced map-side, never gathered.
+    Only (key, position) is aggregated, by hash and before the shuffle, so a key
+    holding a third of all rows becomes one row a task; the rows themselves are
+    then fetched by a semi join.
     """
-    others = [c for c in df.columns if c != key]
-    pick = F.min_by if keep == "first" else F.max_by
-    packed = F.struct(*[F.col(c) for c in others])
-    return (df.groupBy(key).agg(pick(packed, F.col(order)).alias("_row"))
-            .select(key, *[F.col(f"_row.{c}").alias(c) for c in others]))
+    if order == key:
+        raise ValueError("the order column must tell the rows of a key apart")
+    pick = F.min if keep == "first" else F.max
+    at = df.groupBy(F.col(key).alias("_k")).agg(pick(order).alias("_at"))
+    return df.join(at, df[key].eqNullSafe(F.col("_k")) & (df[order] == F.col("_at")), "left_semi")
 
 
 def official_train(paragraphs: DataFrame, dev: DataFrame, key: str = "par_id") -> DataFrame:
@@ -38,18 +41,19 @@ def official_train(paragraphs: DataFrame, dev: DataFrame, key: str = "par_id") -
     return paragraphs.join(dev.select(key), key, "left_anti")
 
 
-def text_by_id(paragraphs: DataFrame, key: str = "par_id", keep: str = "first") -> DataFrame:
-    """``(key, text)`` with cleaned text, one row per id (first by id order)."""
-    t = paragraphs.where(F.col(key).isNotNull()).select(
-        key, clean_text(F.coalesce(F.col("text"), F.lit(""))).alias("text"),
-        F.col(key).alias("_ord"))
-    return dedup_by_key(t, key, "_ord", keep).drop("_ord")
+def text_by_id(paragraphs: DataFrame, key: str = "par_id", keep: str = "first",
+               pos: str = "pos") -> DataFrame:
+    """``(key, text)`` with cleaned text, one row per id: the first (or last) of
+    the file, by its position column."""
+    t = paragraphs.where(F.col(key).isNotNull()).select(key, pos, "text")
+    return dedup_by_key(t, key, pos, keep).select(
+        key, clean_text(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
 
 
 def official_dev(dev: DataFrame, paragraphs: DataFrame, key: str = "par_id") -> DataFrame:
     """Dev rows in list order with their cleaned text ('' when the id is
-    unknown) and binary label parsed from the multi-label string.  Duplicate
-    list entries stay."""
+    unknown; of a repeated id the first of the file) and binary label parsed
+    from the multi-label string.  Duplicate list entries stay."""
     # only ids on the dev list are cleaned and de-duplicated (semi join first)
     texts = text_by_id(paragraphs.join(dev.select(key), key, "left_semi"), key)
     return dev.join(texts, key, "left").select(
@@ -58,10 +62,10 @@ def official_dev(dev: DataFrame, paragraphs: DataFrame, key: str = "par_id") ->
 
 
 def strict_lookup(dev: DataFrame, paragraphs: DataFrame, key: str = "par_id") -> DataFrame:
-    """Dev rows joined to their text; an id without text raises an error."""
-    texts = (paragraphs.where(F.col("text").isNotNull()).join(dev.select(key), key, "left_semi")
-             .select(key, clean_text("text").alias("text")))
-    texts = dedup_by_key(texts.withColumn("_o", F.col(key)), key, "_o", "last").drop("_o")
+    """Dev rows joined to their text (of a repeated id the last of the file);
+    an id without text raises an error."""
+    texts = text_by_id(paragraphs.where(F.col("text").isNotNull()).join(dev.select(key), key, "left_semi"),
+                       key, "last")
     j = dev.join(texts, key, "left")
     checked = F.when(F.col("text").isNull(),
                      F.raise_error(F.concat(F.lit("unknown id: "), F.col(key).cast("string")))
@@ -69,18 +73,24 @@ def strict_lookup(dev: DataFrame, paragraphs: DataFrame, key: str = "par_id") ->
     return j.select("pos", key, checked.cast("string").alias("text"))
 
 
-def official_split(paragraphs: DataFrame, dev: DataFrame, key: str = "par_id") -> DataFrame:
+def official_split(paragraphs: DataFrame, dev: DataFrame, key: str = "par_id",
+                   filed: DataFrame | None = None) -> DataFrame:
+    """Train rows off the dev list and dev rows in list order.  ``filed`` is the
+    paragraph file with its position column, for the dev texts (``paragraphs``
+    itself where it has one)."""
     train = official_train(paragraphs.where(F.col("text").isNotNull() & F.col("label").isNotNull()), dev, key) \
         .select(F.lit("train").alias("split"), key, clean_text("text").alias("text"),
                 binarise("label").alias("label"))
-    dv = official_dev(dev, paragraphs, key).select(F.lit("dev").alias("split"), key, "text", "label")
+    dv = official_dev(dev, paragraphs if filed is None else filed, key).select(F.lit("dev").alias("split"), key, "text", "label")
     return train.unionByName(dv)
 
 
 def stratified_split(df: DataFrame, key: str = "par_id", label: str = "label",
                      seed: int = SPLIT_SEED, holdout: float = HOLDOUT_SHARE,
-                     val_share: float = VAL_SHARE_OF_HOLDOUT, hex_digits: int = 4) -> DataFrame:
-    """Exact stratified train / val / test assignment.
+                     val_share: float = VAL_SHARE_OF_HOLDOUT, hex_digits: int = 4,
+                     carry: tuple[str, ...] = (), copies: str | None = None) -> DataFrame:
+    """Exact stratified train / val / test assignment; ``carry`` columns stay on
+    their rows.
 
     Inside each class, rows are ordered by ``md5('<seed>:' || key)``; the first
     ``floor(holdout * n + 0.5)`` rows are held out, the first half (floor) of
@@ -92,11 +102,13 @@ def stratified_split(df: DataFrame, key: str = "par_id", label: str = "label",
        rows; running sums on it give every bucket's first rank;
     3. buckets wholly inside one part are assigned through a broadcast join
        with that bounded table; only the at most two buckets per class that
-       straddle a cut are ranked, per distinct id (copies of an id are
-       collapsed to a count first, then split by rank ranges).
+       straddle a cut are ranked.  Where ids repeat, ``copies`` names a column
+       that tells the copies apart: they are dealt over 64 windows an id.
     """
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    rows = df.select(key, binarise(label).alias("binary_label"), h.alias("_h"),
+    rows = df.select(key, *carry, binarise(label).alias("binary_label"), h.alias("_h"),
+                     F.pmod(F.xxhash64(copies or key), F.lit(64)).cast("int").alias("_s"),
+                     F.xxhash64(copies or key).alias("_o"),
                      F.conv(F.substring(h, 1, hex_digits), 16, 10).cast("long").alias("_b"))
     per_bucket = rows.groupBy("binary_label", "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     wc = Window.partitionBy("binary_label").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -111,50 +123,45 @@ def stratified_split(df: DataFrame, key: str = "par_id", label: str = "label",
               .when(F.col("_lo") >= F.col("_hq"), "train").otherwise("mixed"))
     bt = bt.select("binary_label", "_b", "_lo", "_vq", "_hq", status.alias("_st"))
     j = rows.join(F.broadcast(bt), ["binary_label", "_b"])
-    whole = j.where(F.col("_st") != "mixed").select(key, "binary_label", F.col("_st").alias("split"))
-    # Straddling buckets: copies of one id share a hash, so first collapse
-    # them to (hash, id, count) with a partial aggregate -- a group of copies
-    # holding a third of all rows becomes one row per task, never one task's
-    # worth of sorting.  Ranks are then handed out as ranges per distinct id.
+    whole = j.where(F.col("_st") != "mixed").select(key, *carry, "binary_label", F.col("_st").alias("split"))
+    # Straddling buckets: counts per (id, window) give every window its first
+    # rank, a row number inside the window the rest.
     mixed = j.where(F.col("_st") == "mixed")
-    ids = mixed.groupBy("binary_label", "_b", "_lo", "_vq", "_hq", "_h", key) \
-        .agg(F.count(F.lit(1)).alias("_c"))
-    wr = Window.partitionBy("binary_label", "_b").orderBy("_h", key) \
+    one = ["binary_label", "_b", "_h", key, "_s"]
+    sizes = mixed.groupBy(*one).agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy("binary_label", "_b").orderBy("_h", key, "_s") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    ids = ids.withColumn("_from", F.col("_lo") + F.coalesce(F.sum("_c").over(wr), F.lit(0)))
-    # copies of one id take ranks _from+1 .. _from+_c; count how many fall in each part
-    lo, hi = F.col("_from"), F.col("_from") + F.col("_c")
-    n_val = F.greatest(F.least(hi, F.col("_vq")) - lo, F.lit(0))
-    n_test = F.greatest(F.least(hi, F.col("_hq")) - F.greatest(lo, F.col("_vq")), F.lit(0))
-    n_train = F.col("_c") - n_val - n_test
-    parts = F.array(
-        F.struct(F.lit("val").alias("split"), n_val.cast("int").alias("k")),
-        F.struct(F.lit("test").alias("split"), n_test.cast("int").alias("k")),
-        F.struct(F.lit("train").alias("split"), n_train.cast("int").alias("k")))
-    # one output row per copy (explode streams; nothing is gathered)
-    ranked = (ids.select(key, "binary_label", F.explode(parts).alias("_p"))
-              .where(F.col("_p.k") > 0)
-              .select(key, "binary_label", F.col("_p.split").alias("split"),
-                      F.explode(F.array_repeat(F.lit(1), F.col("_p.k"))).alias("_one"))
-              .drop("_one"))
+    sizes = sizes.select(*one, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_from"))
+    inside = Window.partitionBy(*one).orderBy("_o")
+    rank = F.col("_lo") + F.col("_from") + F.col("_r")
+    split = (F.when(rank <= F.col("_vq"), "val").when(rank <= F.col("_hq"), "test").otherwise("train"))
+    ranked = (mixed.withColumn("_r", F.row_number().over(inside)).join(sizes, one)
+              .select(key, *carry, "binary_label", split.alias("split")))
     return whole.unionByName(ranked)
 
 
 def sample_docs(df: DataFrame, n: int = 1000, key: str = "par_id", seed: int = SPLIT_SEED) -> DataFrame:
-    """Fixed-size deterministic sample: the n smallest hash keys (TakeOrdered:
-    each task keeps its n best, the driver merges n * tasks rows)."""
-    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    return df.orderBy(h, F.col(key)).limit(n)
-
+    """Fixed-size deterministic sample: the rows of the n smallest hash keys.
 
-def split_leakage(parts: DataFrame, texts: DataFrame, key: str = "par_id",
-                  train: str = "train") -> DataFrame:
-    """Training rows whose cleaned text also occurs in a held-out part,
-    matched on a content hash (semi join)."""
-    t = texts.select(key, text_hash(clean_text("text")).alias("_th"))
-    tagged = parts.join(t, key)
-    held = tagged.where(F.col("split") != train).select("_th").distinct()
-    return (tagged.where(F.col("split") == train).join(held, "_th", "left_semi")
+    Counts per hash prefix (at most 65,536) tell which prefixes can hold the
+    sample; only the ids under them are ranked, and texts are fetched for the n
+    chosen ids alone.
+    """
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    ids = df.select(key, h.alias("_h"), F.conv(F.substring(h, 1, 4), 16, 10).cast("long").alias("_b"))
+    counts = ids.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    reached = counts.withColumn("_sum", F.sum("_c").over(upto))
+    last = reached.agg(F.coalesce(F.min(F.when(F.col("_sum") >= n, F.col("_b"))), F.max("_b")).alias("_last"))
+    chosen = attach(ids, last).where(F.col("_b") <= F.col("_last")).orderBy("_h", key).limit(n).select(key)
+    return df.join(chosen, key, "left_semi")
+
+
+def split_leakage(parts: DataFrame, key: str = "par_id", train: str = "train", text_key: str = "text_key") -> DataFrame:
+    """Training rows whose cleaned text also occurs in a held-out part: semi join
+    on the content hash that the split rows carry."""
+    held = parts.where(F.col("split") != train).select(text_key).distinct()
+    return (parts.where(F.col("split") == train).join(held, text_key, "left_semi")
             .select(key, "binary_label"))
 
 

@@ -8,12 +8,12 @@ label``); functions that need a binary label derive it with ``binarise``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import binarise
-from ..functions.text import ENGLISH_STOP_WORDS, is_stop_word, sentences, tokenize
-from .common import DECIMALS, r6, top_k_per_group, union_all, with_share
+from ..functions.text import ENGLISH_STOP_WORDS, HTML_ENTITY, HTML_TAG, is_stop_word, sentences, tokenize
+from .common import DECIMALS, attach, r6, top_k_per_group, union_all, with_share
 
 WORD_CHAR = r"[\p{L}\p{N}]"
 
@@ -102,12 +102,10 @@ def token_stats(df: DataFrame, n_tokens: str = "n_tokens") -> DataFrame:
                   r6(F.stddev_samp(n)).alias("std_tokens"))
 
 
-def char_stats(df: DataFrame, text: str = "text") -> DataFrame:
-    n = F.length(text)
-    return (df.where(F.col(text).isNotNull())
-            .agg(r6(F.avg(n)).alias("avg_chars"),
-                 F.min(n).cast("long").alias("min_chars"),
-                 F.max(n).cast("long").alias("max_chars")))
+def char_stats(df: DataFrame, n_chars: str = "n_chars") -> DataFrame:
+    n = F.col(n_chars)
+    return df.agg(r6(F.avg(n)).alias("avg_chars"), F.min(n).cast("long").alias("min_chars"),
+                  F.max(n).cast("long").alias("max_chars"))
 
 
 def sentence_stats(df: DataFrame, text: str = "text") -> DataFrame:
@@ -163,8 +161,7 @@ def top_words(tokens: DataFrame, k: int = 30, words=ENGLISH_STOP_WORDS) -> DataF
     scopes = F.when(is_stop_word("token", words), F.array(F.lit("all"))) \
         .otherwise(F.array(F.lit("all"), F.lit("content")))
     tagged = counts.select("token", "freq", F.explode(scopes).alias("scope"))
-    top = top_k_per_group(tagged, ["scope"], [F.desc("freq"), F.asc("token")], k,
-                          salt_key=F.xxhash64("token"))
+    top = top_k_per_group(tagged, ["scope"], [F.desc("freq"), F.asc("token")], k)
     return top.select("scope", "token", "freq")
 
 
@@ -187,27 +184,26 @@ def short_texts(df: DataFrame, n_tokens: str = "n_tokens", very_short: int = 3)
                   F.sum((n <= very_short).cast("long")).alias("n_very_short"))
 
 
-def duplicate_profile(df: DataFrame, key: str = "par_id", text: str = "text") -> DataFrame:
-    """Exact duplicate texts and duplicate ids, as counts and shares.  Texts
-    are compared by SHA-256, so the distinct-count shuffle carries 64-byte
-    keys instead of whole documents."""
-    agg = df.agg(F.count(F.lit(1)).alias("n_docs"),
-                 F.countDistinct(F.sha2(F.col(text), 256)).alias("_dt"),
-                 F.count(F.col(text)).alias("_nt"),
-                 F.countDistinct(F.col(key)).alias("_dk"),
-                 F.count(F.col(key)).alias("_nk"))
-    return agg.select(
-        "n_docs",
-        (F.col("_nt") - F.col("_dt")).alias("dup_texts"),
-        r6((F.col("_nt") - F.col("_dt")) * 100.0 / F.col("n_docs")).alias("dup_text_pct"),
-        (F.col("_nk") - F.col("_dk")).alias("dup_ids"))
+def duplicate_profile(df: DataFrame, key: str = "par_id", text_key: str = "text_key") -> DataFrame:
+    """Exact duplicate texts and duplicate ids, as counts and shares.
+
+    Texts are compared by their SHA-256, computed where the text lies.  Each of
+    the two counts is a group-by on one narrow column: no row is doubled."""
+    by_text = (df.groupBy(text_key).agg(F.count(F.lit(1)).alias("n"))
+               .agg(F.sum("n").alias("n_docs"), F.coalesce(F.sum(F.when(F.col(text_key).isNotNull(), F.col("n") - 1)),
+                                                           F.lit(0)).alias("dup_texts")))
+    by_id = (df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+             .agg(F.coalesce(F.sum(F.when(F.col(key).isNotNull(), F.col("n") - 1)), F.lit(0)).alias("dup_ids")))
+    return attach(by_text, by_id).select(
+        F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"), F.col("dup_texts").cast("long").alias("dup_texts"),
+        r6(F.col("dup_texts") * 100.0 / F.col("n_docs")).alias("dup_text_pct"), F.col("dup_ids").cast("long").alias("dup_ids"))
 
 
 # Own definitions of the noise patterns (Java and RE2 agree on all of them).
 ARTIFACT_PATTERNS = (
     ("special_quotes", "[\"“”‘’«»]"),
-    ("html_tags", r"<[^>]+>"),
-    ("html_entities", r"&[a-zA-Z]+;|&#[0-9]+;"),
+    ("html_tags", HTML_TAG),
+    ("html_entities", HTML_ENTITY),
     ("hashtags", r"#[A-Za-z0-9_]+"),
     ("mentions", r"@[A-Za-z0-9_]+"),
     ("urls", r"https?://|www\."),
@@ -225,35 +221,61 @@ PATTERN_CHECKS = (
 )
 
 
-def _flag_profile(df: DataFrame, patterns, key: str, text: str, example_len: int | None) -> DataFrame:
-    """All patterns in one scan and one aggregate, then one row per pattern."""
-    base = df.where(F.col(text).isNotNull())
+#: A pattern can only match a text that holds one of these: a byte search before the regex.
+_NEEDED = {"html_tags": ("<",), "html_entities": ("&",), "hashtags": ("#",), "mentions": ("@",),
+           "urls": ("http", "www."), "emails": ("@",), "quoted_text": ('"', "“")}
+#: Patterns that are one fixed string.
+_FIXED = {"multiple_spaces": "  ", "questions": "?", "exclamations": "!"}
+
+
+def _hit(name: str, pattern: str, text: str) -> Column:
+    c = F.col(text)
+    if name in _FIXED:
+        return c.contains(_FIXED[name])
+    hit = c.rlike(pattern)
+    if name in _NEEDED:
+        some = c.contains(_NEEDED[name][0])
+        for literal in _NEEDED[name][1:]:
+            some = some | c.contains(literal)
+        return F.when(some, hit).otherwise(F.lit(False))
+    return hit
+
+
+def pattern_flags(patterns, text: str = "text") -> dict[str, Column]:
+    """One flag per pattern, to be derived on the documents' side of a join."""
+    return {f"f_{name}": _hit(name, pattern, text) for name, pattern in patterns}
+
+
+def _flag_profile(df: DataFrame, patterns, key: str) -> DataFrame:
+    """All flags in one narrow aggregate, then one row per pattern with the
+    smallest id that shows it."""
     aggs = [F.count(F.lit(1)).alias("_n")]
-    for name, pat in patterns:
-        hit = F.col(text).rlike(pat)
-        aggs.append(F.sum(hit.cast("long")).alias(f"n_{name}"))
-        if example_len:
-            aggs.append(F.min_by(F.substring(F.col(text), 1, example_len),
-                                 F.when(hit, F.col(key))).alias(f"e_{name}"))
-    one = base.agg(*aggs)
-    structs = []
     for name, _ in patterns:
-        fields = [F.lit(name).alias("pattern"),
-                  F.coalesce(F.col(f"n_{name}"), F.lit(0)).cast("long").alias("n_docs"),
-                  r6(F.coalesce(F.col(f"n_{name}"), F.lit(0)) * 100.0 / F.col("_n")).alias("pct")]
-        if example_len:
-            fields.append(F.col(f"e_{name}").alias("example"))
-        structs.append(F.struct(*fields))
-    return one.select(F.inline(F.array(*structs)))
+        aggs += [F.sum(F.col(f"f_{name}").cast("long")).alias(f"n_{name}"),
+                 F.min(F.when(F.col(f"f_{name}"), F.col(key))).alias(f"k_{name}")]
+    n = {name: F.coalesce(F.col(f"n_{name}"), F.lit(0)) for name, _ in patterns}
+    return df.agg(*aggs).select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("pattern"), n[name].cast("long").alias("n_docs"),
+                 r6(n[name] * 100.0 / F.col("_n")).alias("pct"), F.col(f"k_{name}").alias("_key"))
+        for name, _ in patterns])))
 
 
-def artifact_profile(df: DataFrame, key: str = "par_id", text: str = "text",
+def artifact_profile(flags: DataFrame, texts: DataFrame, key: str = "par_id", text: str = "text",
                      example_len: int = 150) -> DataFrame:
-    return _flag_profile(df, ARTIFACT_PATTERNS, key, text, example_len)
+    """Noise patterns: documents, share and one example.  ``flags`` holds the ids
+    and flags only; the examples' texts (one a pattern) are fetched by id."""
+    found = _flag_profile(flags, ARTIFACT_PATTERNS, key).collect()  # one row a pattern
+    spark = texts.sparkSession
+    counts = spark.createDataFrame([tuple(r) for r in found],
+                                   f"pattern string, n_docs long, pct double, _key {dict(texts.dtypes)[key]}")
+    wanted = [r["_key"] for r in found if r["_key"] is not None]
+    head = (texts.where(F.col(key).isin(wanted))
+            .select(F.col(key).alias("_key"), F.substring(text, 1, example_len).alias("example")))
+    return counts.join(head, "_key", "left").select("pattern", "n_docs", "pct", "example")
 
 
-def pattern_profile(df: DataFrame, key: str = "par_id", text: str = "text") -> DataFrame:
-    return _flag_profile(df, PATTERN_CHECKS, key, text, None)
+def pattern_profile(flags: DataFrame, key: str = "par_id") -> DataFrame:
+    return _flag_profile(flags, PATTERN_CHECKS, key).drop("_key")
 
 
 # ------------------------------------------------------------------ span table
@@ -300,7 +322,7 @@ def extreme_lengths(df: DataFrame, k: int = 5, cut: int = 100, key: str = "par_i
                    F.struct(F.lit("longest").alias("side"), (-F.col(n_tokens)).alias("_o")))
     x = df.select(F.col(key), F.col(n_tokens), F.substring(F.col(text), 1, cut).alias("text_head"),
                   F.explode(ends).alias("_e")).select(key, n_tokens, "text_head", "_e.side", "_e._o")
-    top = top_k_per_group(x, ["side"], [F.col("_o"), F.col(key)], k, salt_key=F.xxhash64(key))
+    top = top_k_per_group(x, ["side"], [F.col("_o"), F.col(key)], k)
     return top.select("side", key, n_tokens, "text_head")
 
 
@@ -317,7 +339,6 @@ def category_samples(spans: DataFrame, k: int = 3, cut: int = 80) -> DataFrame:
     order_key = F.md5(F.concat_ws(":", F.col("par_id").cast("string"), F.col("span_start").cast("string")))
     x = spans.select("pcl_category", "par_id", "span_start",
                      F.substring("span_text", 1, cut).alias("span_head"), order_key.alias("_h"))
-    top = top_k_per_group(x, ["pcl_category"], [F.col("_h"), F.col("par_id"), F.col("span_start")], k,
-                          salt_key=F.xxhash64("_h"))
+    top = top_k_per_group(x, ["pcl_category"], [F.col("_h"), F.col("par_id"), F.col("span_start")], k)
     return top.select("pcl_category", "rank", "par_id", "span_start", "span_head")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..constants import MAX_LENGTH
-from ..functions.text import tokenize
+from ..functions.text import tokenize, truncate_tokens
 from ..operators import lengths as LN
 from ..sources import driver as D
 from .registry import query
@@ -125,6 +125,16 @@ def q_truncate_tokens(spark, sf):
     return LN.truncation_profile(p, MAX_LENGTH)
 
 
+@query("truncated_texts", f"""
+WITH {PARA}, tk AS (SELECT par_id, {tokens_of()} AS t FROM para WHERE text IS NOT NULL)
+SELECT par_id, CAST(least(len(t), {MAX_LENGTH}) AS BIGINT) AS n_kept,
+       array_to_string(t[1:{MAX_LENGTH}], ' ') AS kept FROM tk""")
+def q_truncated_texts(spark, sf):
+    """The rows a model with a fixed input length sees: the first tokens of each text."""
+    t = D.paragraphs(spark, sf, derive={"toks": truncate_tokens(tokenize("text"), MAX_LENGTH)}, with_text=False)
+    return t.select("par_id", F.size("toks").cast("long").alias("n_kept"), F.array_join("toks", " ").alias("kept"))
+
+
 # Whitespace tokens: the labelled corpus is already space-tokenised, so this
 # mode counts lengths the way its own tokenizer sees them.
 _DL_WS = f"""dl AS (SELECT par_id, {y_of()} AS y,

@@ -129,12 +129,13 @@ def q_top_bigrams(spark, sf):
 
 
 # Parity mode: each class read as ONE token stream in id order, so bigrams
-# cross document edges.  The oracle builds the whole stream per class
-# (brute force); the Spark plan never does.
+# cross document edges.
 @query("top_bigrams_cross_doc", f"""
 WITH {PARA}, {_CT},
-stream AS (SELECT y AS binary_label, flatten(list(toks ORDER BY par_id)) AS toks FROM ctl GROUP BY y),
-bg AS (SELECT binary_label, unnest({ngrams_of('toks', 2)}) AS ngram FROM stream){_TOPBG}""")
+seq AS (SELECT y, par_id, unnest(toks) AS term, generate_subscripts(toks, 1) AS pos FROM ctl),
+nx AS (SELECT y AS binary_label,
+              term || ' ' || lead(term) OVER (PARTITION BY y ORDER BY par_id, pos) AS ngram FROM seq),
+bg AS (SELECT binary_label, ngram FROM nx WHERE ngram IS NOT NULL){_TOPBG}""")
 def q_top_bigrams_cross_doc(spark, sf):
     return L.top_bigrams(D.paragraphs(spark, sf), cross_doc=True)
 

@@ -1,9 +1,15 @@
-"""Spark ML queries (rows-only checks: model fitting has no SQL oracle)."""
+"""Spark ML queries.
+
+Fitted models have no SQL twin, but what must hold of their results has: each
+model query has a companion whose rows (supports, grids, ranges, agreement)
+the oracle states.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..constants import ENSEMBLE_THRESHOLD
 from ..operators import metrics as M
 from ..operators import ml as ML
 from ..operators import prep as PR
@@ -11,10 +17,11 @@ from ..operators import scoring as S
 from ..sources import driver as D
 from ..session import scratch_path
 from .registry import query
+from .sqlparts import DEV, PARA, UNLAB
 
 
 def _official(spark, sf):
-    split = PR.official_split(D.paragraphs(spark, sf), D.dev_labels(spark, sf))
+    split = PR.official_split(D.paragraphs(spark, sf), D.dev_labels(spark, sf), filed=D.filed_paragraphs(spark, sf))
     train = ML.training_frame(split.where(F.col("split") == "train"))
     dev = ML.training_frame(split.where(F.col("split") == "dev"))
     return train, dev
@@ -32,6 +39,21 @@ def q_train_members(spark, sf):
     return M.binary_metrics(S.predictions_long(probs, vote, gold), "model")
 
 
+@query("train_members_support", f"""
+WITH {PARA}, {DEV}, d AS (SELECT CAST(regexp_matches(label, '[1-9]') AS INTEGER) AS y FROM dev),
+n AS (SELECT count(*) AS n_rows, CAST(coalesce(sum(y), 0) AS BIGINT) AS n_pos FROM d)
+SELECT m.model, n.n_rows, n.n_pos, true AS in_range
+FROM n, (VALUES {", ".join(f"('{m}')" for m in (*ML.MEMBER_WEIGHTS, "Ensemble"))}) m(model)""")
+def q_train_members_support(spark, sf):
+    """Every member and the vote judge every dev row; metrics lie in 0..1."""
+    m = q_train_members(spark, sf)
+    ok = F.lit(True)
+    for c in ("accuracy", "precision", "recall", "f1"):
+        ok = ok & F.col(c).between(0, 1)
+    return m.select("model", (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n_rows"),
+                    (F.col("tp") + F.col("fn")).alias("n_pos"), ok.alias("in_range"))
+
+
 @query("best_by_f1")
 def q_best_by_f1(spark, sf):
     train, _ = _official(spark, sf)
@@ -39,13 +61,25 @@ def q_best_by_f1(spark, sf):
     return table
 
 
+@query("best_by_f1_grid", "SELECT * FROM (VALUES (0.0::DOUBLE, true), (0.01::DOUBLE, true), (0.1::DOUBLE, true)) g(reg_param, in_range)")
+def q_best_by_f1_grid(spark, sf):
+    return q_best_by_f1(spark, sf).select("reg_param", F.col("f1").between(0, 1).alias("in_range"))
+
+
 @query("param_search")
 def q_param_search(spark, sf):
     train, _ = _official(spark, sf)
     return ML.param_search(train)
 
 
-@query("model_roundtrip")
+@query("param_search_grid", """
+SELECT r.reg_param::DOUBLE AS reg_param, e.elastic_net::DOUBLE AS elastic_net, true AS in_range
+FROM (VALUES (0.01), (0.1)) r(reg_param), (VALUES (0.0), (0.5)) e(elastic_net)""")
+def q_param_search_grid(spark, sf):
+    return q_param_search(spark, sf).select("reg_param", "elastic_net", F.col("objective").between(0, 1).alias("in_range"))
+
+
+@query("model_roundtrip", f"WITH {DEV}\nSELECT count(*) AS n, count(*) AS n_equal FROM dev")
 def q_model_roundtrip(spark, sf):
     train, dev = _official(spark, sf)
     model = ML.member_pipelines()["tfidf_logreg"].fit(train)
@@ -63,21 +97,23 @@ def q_score_unlabelled(spark, sf):
     return S.soft_vote(S.align_scores(probs, tuple(ML.MEMBER_WEIGHTS)), ML.MEMBER_WEIGHTS)
 
 
+@query("score_unlabelled_rows", f"WITH {UNLAB}\nSELECT id AS par_id, true AS in_range, true AS consistent FROM unlab")
+def q_score_unlabelled_rows(spark, sf):
+    """One vote an unlabelled row: a weighted sum within its range, cut at the threshold."""
+    v = q_score_unlabelled(spark, sf)
+    most = float(sum(ML.MEMBER_WEIGHTS.values()))
+    return v.select("par_id", F.col("ensemble_score").between(0, most).alias("in_range"),
+                    ((F.col("ensemble_score") > ENSEMBLE_THRESHOLD / len(ML.MEMBER_WEIGHTS)) == (F.col("pred") == 1)).alias("consistent"))
+
+
 @query("class_weighted_members")
 def q_class_weighted_members(spark, sf):
     """Per-member weighted log loss on dev from the fitted models' logits."""
     train, dev = _official(spark, sf)
-    models = ML.train_members(train)
-    frames = []
-    for name, m in models.items():
-        out = m.transform(dev.select("par_id", "text"))
-        raw = F.col("rawPrediction")
-        from pyspark.ml.functions import vector_to_array
-        frames.append(out.select("par_id", F.lit(name).alias("model"),
-                                 vector_to_array(raw)[0].alias("z0"), vector_to_array(raw)[1].alias("z1")))
-    logits = frames[0]
-    for f in frames[1:]:
-        logits = logits.unionByName(f)
+    scored = ML.score_wide(ML.train_members(train), dev)
+    logits = scored.select("par_id", F.inline(F.array(*[
+        F.struct(F.lit(name).alias("model"), F.col(f"z_{name}")[0].alias("z0"), F.col(f"z_{name}")[1].alias("z1"))
+        for name in ML.MEMBER_WEIGHTS])))
     gold = dev.select("par_id", F.col("label").cast("int").alias("y"))
     return S.weighted_log_loss(logits, gold)
 
@@ -100,3 +136,10 @@ def q_external_batch_scores(spark, sf):
         "vec_id", "y", "pred_external",
         array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("features")))
     return spark_pred.select("vec_id", "y", "pred_external", F.col("prediction").cast("int").alias("pred_spark"))
+
+
+@query("external_batch_agreement", "SELECT count(*) AS n, count(*) AS n_agree FROM embeddings")
+def q_external_batch_agreement(spark, sf):
+    """The external scorer and Spark's own model agree on every row."""
+    return q_external_batch_scores(spark, sf).agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.col("pred_external") == F.col("pred_spark")).cast("long")).alias("n_agree"))

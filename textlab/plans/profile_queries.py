@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import sentences, tokenize
+from ..functions.text import sentences, text_hash, tokenize
 from ..operators import profile as P
 from ..sources import driver as D
 from .registry import query
@@ -107,7 +107,7 @@ WITH {PARA}
 SELECT round(avg(length(text)), 6) AS avg_chars, CAST(min(length(text)) AS BIGINT) AS min_chars,
        CAST(max(length(text)) AS BIGINT) AS max_chars FROM para WHERE text IS NOT NULL""")
 def q_char_stats(spark, sf):
-    return P.char_stats(D.paragraphs(spark, sf))
+    return P.char_stats(D.paragraphs(spark, sf, derive={"n_chars": F.length("text")}, with_text=False))
 
 
 @query("sentence_stats", f"""
@@ -193,7 +193,9 @@ SELECT count(*) AS n_docs, count(text) - count(DISTINCT text) AS dup_texts,
        round((count(text) - count(DISTINCT text)) * 100.0 / count(*), 6)::DOUBLE AS dup_text_pct,
        count(par_id) - count(DISTINCT par_id) AS dup_ids FROM para""")
 def q_duplicate_profile(spark, sf):
-    return P.duplicate_profile(D.paragraphs(spark, sf))
+    rows = D.texts(spark, sf, "documents").select(F.col("doc_id").alias("par_id"), text_hash("text").alias("text_key"))
+    labelled = D.table(spark, sf, "labels").select(F.col("doc_id").alias("par_id"))
+    return P.duplicate_profile(rows.join(labelled, "par_id"))
 
 
 def _flag_sql(patterns, src: str, key: str, text: str, example_len: int | None) -> str:
@@ -211,18 +213,22 @@ def _flag_sql(patterns, src: str, key: str, text: str, example_len: int | None)
 
 @query("artifact_profile", f"WITH {PARA}\n" + _flag_sql(P.ARTIFACT_PATTERNS, "para", "par_id", "text", 150))
 def q_artifact_profile(spark, sf):
-    return P.artifact_profile(D.paragraphs(spark, sf))
+    flags = D.paragraphs(spark, sf, derive=P.pattern_flags(P.ARTIFACT_PATTERNS), with_text=False)
+    texts = D.table(spark, sf, "documents").select(F.col("doc_id").alias("par_id"), "text")
+    return P.artifact_profile(flags, texts)
 
 
 @query("artifact_profile_pages",
        "WITH pg AS (SELECT page_id, html FROM pages)\n" + _flag_sql(P.ARTIFACT_PATTERNS, "pg", "page_id", "html", 150))
 def q_artifact_profile_pages(spark, sf):
-    return P.artifact_profile(D.pages_html(spark, sf), key="page_id", text="html")
+    pages = D.pages_html(spark, sf).where(F.col("html").isNotNull())
+    flags = pages.select("page_id", *[c.alias(n) for n, c in P.pattern_flags(P.ARTIFACT_PATTERNS, "html").items()])
+    return P.artifact_profile(flags, D.table(spark, sf, "pages").select("page_id", "html"), "page_id", "html")
 
 
 @query("pattern_profile", f"WITH {PARA}\n" + _flag_sql(P.PATTERN_CHECKS, "para", "par_id", "text", None))
 def q_pattern_profile(spark, sf):
-    return P.pattern_profile(D.paragraphs(spark, sf))
+    return P.pattern_profile(D.paragraphs(spark, sf, derive=P.pattern_flags(P.PATTERN_CHECKS), with_text=False))
 
 
 @query("extreme_lengths", f"""
@@ -267,13 +273,13 @@ def q_spans_view(spark, sf):
 @query("category_distribution", _DIST.format(cte=f"{PARA}, {_SPANS}", col="pcl_category",
                                              src="spans", tail=""))
 def q_category_distribution(spark, sf):
-    return P.category_distribution(D.spans(spark, sf))
+    return P.category_distribution(D.span_marks(spark, sf))
 
 
 @query("annotator_agreement", _DIST.format(cte=f"{PARA}, {_SPANS}", col="num_annotators",
                                            src="spans", tail=""))
 def q_annotator_agreement(spark, sf):
-    return P.annotator_agreement(D.spans(spark, sf))
+    return P.annotator_agreement(D.span_marks(spark, sf))
 
 
 @query("span_length_stats", f"""
@@ -283,7 +289,7 @@ SELECT round(avg(length(span_text)), 6) AS avg_span_len,
        CAST(min(length(span_text)) AS BIGINT) AS min_span_len,
        CAST(max(length(span_text)) AS BIGINT) AS max_span_len FROM spans WHERE span_text IS NOT NULL""")
 def q_span_length_stats(spark, sf):
-    return P.span_length_stats(D.spans(spark, sf))
+    return P.span_length_stats(D.span_marks(spark, sf))
 
 
 @query("span_check", f"""

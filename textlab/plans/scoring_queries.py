@@ -210,7 +210,11 @@ def q_weighted_log_loss(spark, sf):
     return S.weighted_log_loss(D.member_logits(spark, sf), D.gold_labels(spark, sf))
 
 
-_KC = """e AS (SELECT vec_id, label AS y, list_transform(embedding[1:10], lambda v: v::DOUBLE) AS z FROM embeddings),
+_KC = """pd AS (SELECT label AS k, generate_subscripts(embedding, 1) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings),
+pm AS (SELECT k, dim, round(avg(v), 6) AS m FROM pd GROUP BY k, dim),
+km AS (SELECT k, list(m ORDER BY dim) AS mean FROM pm GROUP BY k),
+e AS (SELECT vec_id, any_value(label) AS y, list(round(list_sum(list_transform(list_zip(embedding, mean),
+             lambda p: p[1]::DOUBLE * p[2])), 6) ORDER BY k) AS z FROM embeddings, km GROUP BY vec_id),
 s AS (SELECT vec_id, y, z, list_max(z) AS m FROM e),
 t AS (SELECT vec_id, y, CAST(list_position(z, m) - 1 AS INTEGER) AS pred,
              list_transform(z, lambda v: exp(v - m)) AS ex FROM s)"""

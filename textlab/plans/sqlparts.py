@@ -3,7 +3,7 @@ portable regular expressions, written once and shared by every oracle query."""
 
 from __future__ import annotations
 
-from ..constants import ENGLISH_STOP_WORDS, ENSEMBLE_WEIGHTS, PCL_CATEGORIES
+from ..constants import ENGLISH_STOP_WORDS, ENSEMBLE_WEIGHTS, MEMBER_SHAPE, PCL_CATEGORIES
 from ..functions.text import (ALPHA_PATTERN, HTML_ENTITY, HTML_TAG, SENTENCE_PATTERN,
                               TOKEN_PATTERN, WS_RUN)
 
@@ -26,6 +26,14 @@ PARA = """para AS (
          CAST(CASE WHEN l.toxic = 1 THEN 2 + d.doc_id % 3 ELSE d.doc_id % 2 END AS INTEGER) AS label
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
 
+# The paragraph file with a position column; every seventh id occurs twice, the
+# second time with another text.
+FILED = """filed AS (
+  SELECT *, par_id * 2 AS pos FROM para
+  UNION ALL
+  SELECT par_id, art_id, keyword, country_code, 'copy of ' || text AS text, label, par_id * 2 + 1 AS pos
+  FROM para WHERE par_id % 7 = 0)"""
+
 UNLAB = """unlab AS (
   SELECT d.doc_id AS id, '@@' || CAST(d.doc_id AS VARCHAR) AS art_id, d.source AS keyword,
          d.lang AS country_code, d.text, d.doc_id AS pos
@@ -64,9 +72,6 @@ def ngrams_of(tokens: str, n: int) -> str:
 
 SENT = lit(SENTENCE_PATTERN)
 
-# (label strength, id multiplier) per catalogue position, as in the Spark view.
-MEMBER_SHAPE = ((1.5, 31), (1.0, 53), (0.5, 71))
-
 
 def member_logits_cte() -> str:
     parts = []

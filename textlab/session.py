@@ -7,6 +7,7 @@ runs on one machine.
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -30,6 +31,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # one-file tables: deal their texts out to all threads (off unless asked for)
+        .config("textlab.scan.partitions", str(os.cpu_count() if cpus == "*" else cpus))
         .config("spark.driver.memory", "16g")
         .config("spark.sql.files.maxPartitionBytes", str(32 * 1024 * 1024))
         # local runs only: catalog tables (bucketed layout tests) go to a temp folder

@@ -1,8 +1,8 @@
 """Delimited-file sources and sinks.
 
 Readers reproduce the labelled corpus' loading rules with Spark's CSV
-reader: a schema with one spare column catches over-long rows (dropped),
-short rows are padded with nulls, disclaimer lines fall out because their id
+reader: rows with too many fields are dropped (also when the fields too many
+are empty), short rows are padded with nulls, disclaimer lines fall out because their id
 is not numeric, and pandas' NA strings become nulls.  No ``inferSchema``.
 
 ``multi_line`` allows quoted newlines; Spark then reads each file in one task,
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.labels import coerce_id, na_to_null, strict_cast
 
+# FIXED VALUES: the column names of the corpus files, in file order.
 PARAGRAPH_COLUMNS = ("par_id", "art_id", "keyword", "country_code", "text", "label")
 SPAN_COLUMNS = ("par_id", "art_id", "text", "keyword", "country_code", "span_start",
                 "span_finish", "span_text", "pcl_category", "num_annotators")
@@ -26,7 +27,7 @@ UNLABELLED_COLUMNS = ("id", "art_id", "keyword", "country_code", "text")
 def _string_schema(cols, spare: bool) -> T.StructType:
     fields = [T.StructField(c, T.StringType(), True) for c in cols]
     if spare:
-        fields.append(T.StructField("_extra", T.StringType(), True))
+        fields.append(T.StructField("_bad", T.StringType(), True))
     return T.StructType(fields)
 
 
@@ -36,13 +37,21 @@ def _reader(spark: SparkSession, schema: T.StructType, sep: str, multi_line: boo
             .option("sep", sep).option("quote", '"').option("escape", '"')
             .option("header", header).option("mode", mode)
             .option("multiLine", multi_line)
+            .option("columnNameOfCorruptRecord", "_bad")
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
 
 
-def _lenient_rows(raw: DataFrame, cols) -> DataFrame:
+def _lenient_rows(raw: DataFrame, cols, sep: str = "\t") -> DataFrame:
     """Drop over-long rows and rows whose id is not numeric (disclaimer
-    lines); turn NA strings into nulls."""
-    kept = raw.where(F.col("_extra").isNull()).drop("_extra")
+    lines); turn NA strings into nulls.
+
+    A row with another number of fields than ``cols`` keeps its raw text in
+    ``_bad``; it is over-long when it has as many separators outside quotes as
+    there are columns, whether or not the fields after them are empty.
+    """
+    unquoted = F.regexp_replace("_bad", f'(^|{sep})"(?:[^"]|"")*"', "$1")
+    seps = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(sep), F.lit("")))
+    kept = raw.where(F.col("_bad").isNull() | (seps < len(cols))).drop("_bad")
     kept = kept.select(*[na_to_null(c).alias(c) for c in cols])
     return kept.withColumn(cols[0], coerce_id(cols[0])).where(F.col(cols[0]).isNotNull())
 
@@ -86,34 +95,43 @@ def write_delimited(df: DataFrame, path: str, sep: str = "\t", header: bool = Fa
 
 # ------------------------------------------------------------------ predictions
 
+#: Lines of one prediction file.
+LINES_PER_FILE = 1_000_000
+
+
 def write_predictions(preds: DataFrame, path: str, pos: str = "pos", pred: str = "pred",
-                      partitions: int | None = None, records_per_file: int = 1_000_000) -> None:
+                      lines_per_file: int = LINES_PER_FILE) -> None:
     """One ``0``/``1`` per line in ``pos`` order.
 
-    Range partitioning on ``pos`` + a sort inside each partition makes the
-    part files, read in name order, the global order.  Files are capped at
-    ``records_per_file`` lines so each is read back as a single split.
+    Range partitioning on ``pos`` and a sort inside each partition make the
+    part files, read in the order of their numbers, the global order.  The
+    number of partitions comes from the row count, and each is one file.
     """
-    n = partitions or preds.sparkSession.sparkContext.defaultParallelism
+    n = max(1, -(-preds.count() // lines_per_file))
     (preds.repartitionByRange(n, F.col(pos)).sortWithinPartitions(pos)
      .select(F.col(pred).cast("string").alias("value"))
-     .write.mode("overwrite").option("maxRecordsPerFile", records_per_file).text(path))
+     .write.mode("overwrite").text(path))
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """``(line_no, pred)`` with 0-based global line numbers.
 
-    Line numbers inside a file come from a window per file (bounded by the
-    per-file record cap); file offsets come from a running sum over the
-    per-file counts (one row per file)."""
-    raw = (spark.read.text(path)
-           .select(F.input_file_name().alias("_f"), F.monotonically_increasing_id().alias("_i"),
-                   F.col("value").cast("int").alias("pred")))
-    in_file = raw.withColumn("_l", F.row_number().over(Window.partitionBy("_f").orderBy("_i")) - 1)
-    per_file = in_file.groupBy("_f").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_file.withColumn("_o", F.coalesce(F.sum("_c").over(w), F.lit(0))).select("_f", "_o")
-    return (in_file.join(F.broadcast(offsets), "_f")
+    Files are ordered by the numbers in their names (partition, then file of
+    the partition), which names sorted as text are not past 99,999 partitions
+    or 999 files.  Line numbers inside a file come from a window per file, file
+    offsets from a running sum over the per-file counts (one row per file).
+    """
+    name = F.input_file_name()
+    part = F.regexp_extract(name, r"part-([0-9]+)[^/]*$", 1).cast("long")
+    file = F.coalesce(F.regexp_extract(name, r"-c([0-9]+)[^/]*$", 1).try_cast("long"), F.lit(0))
+    raw = spark.read.text(path).select(
+        part.alias("_p"), file.alias("_f"), F.monotonically_increasing_id().alias("_i"),
+        F.col("value").cast("int").alias("pred"))
+    in_file = raw.withColumn("_l", F.row_number().over(Window.partitionBy("_p", "_f").orderBy("_i")) - 1)
+    per_file = in_file.groupBy("_p", "_f").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.orderBy("_p", "_f").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_file.select("_p", "_f", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_o"))
+    return (in_file.join(offsets, ["_p", "_f"])
             .select((F.col("_o") + F.col("_l")).cast("long").alias("line_no"), "pred"))
 
 

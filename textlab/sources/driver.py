@@ -4,69 +4,36 @@ The corpus files of the original project are absent; the driver tables play
 their roles (see README).  Every view here is a lazy DataFrame over the
 parquet scans, so filters and column pruning reach the files.
 
-The same views exist as SQL text in ``textlab.plans.oracle`` for DuckDB.
+The same views exist as SQL text in ``textlab.plans.sqlparts`` for DuckDB.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..constants import ENSEMBLE_WEIGHTS, PCL_CATEGORIES
+from ..constants import ENSEMBLE_WEIGHTS, MEMBER_SHAPE, PCL_CATEGORIES
 from ..functions.text import SENTENCE_PATTERN
+from ..operators.common import attach
 
 
-# Text-heavy tables and their keys: per-row regex work on them is the cost.
-TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+#: Session setting: how many partitions text scans are dealt into.  Unset (the
+#: default, and right on a cluster) no exchange is added.  The bench and the
+#: tests set it, because their one-file tables would be read by one task.
+SCAN_PARTITIONS_CONF = "textlab.scan.partitions"
 
 
-_READS: dict = {}
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The parquet scan of one driver table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The parquet scan of one driver table.  The (immutable, lazy) scan
-    DataFrame is built once per session and path: listing files and reading
-    the footer is the costly part of building a query."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    database = spark.conf.get("textlab.catalog.database", None)
-    if database and name in ("documents", "labels", "pages"):
-        # bucketed layout (see textlab.sources.layout): no spread, no memo
-        return spark.table(f"{database}.{name}")
-    memo = (spark.sparkContext.applicationId, path)
-    df = _READS.get(memo)
-    if df is None:
-        df = spark.read.parquet(path)
-        if name in TEXT_TABLES:
-            df = spread(df, TEXT_TABLES[name], cache_key=path)
-        _READS[memo] = df
-    return df
-
-
-_SPLITS: dict = {}
-
-
-def spread(df: DataFrame, key: str, cache_key: str | None = None) -> DataFrame:
-    """Parallelism floor for text scans.
-
-    A file with one row group is read by one task, which would then run all
-    tokenisation alone.  When the scan yields fewer partitions than the
-    session's default parallelism, rows are hash-spread by ``key`` first.
-    At cluster scale a table has far more splits than cores, so this is a
-    no-op there and never adds a shuffle of the full table.  The partition
-    count comes from planning only (no job runs).
-    """
-    sc = df.sparkSession.sparkContext
-    target = sc.defaultParallelism
-    memo = (sc.applicationId, cache_key) if cache_key else None
-    splits = _SPLITS.get(memo) if memo else None
-    if splits is None:
-        # planning only: the scan's input partitions, no job is run
-        splits = df._jdf.queryExecution().executedPlan().execute().getNumPartitions()
-        if memo:
-            _SPLITS[memo] = splits
-    if splits >= target:
-        return df
-    return df.repartition(target, key)
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The scan of a table whose texts are read; dealt out evenly (round robin)
+    only where ``textlab.scan.partitions`` asks for it."""
+    df = table(spark, sf_dir, name)
+    partitions = spark.conf.get(SCAN_PARTITIONS_CONF, None)
+    return df.repartition(int(partitions)) if partitions else df
 
 
 def paragraphs(spark: SparkSession, sf_dir: str, derive: dict | None = None,
@@ -83,9 +50,10 @@ def paragraphs(spark: SparkSession, sf_dir: str, derive: dict | None = None,
     With ``derive`` the rows with a null text are dropped first (text
     statistics skip null texts); the cheap ``IS NOT NULL`` reaches the scan,
     and no filter ever references the expensive derived columns (Catalyst
-    would push such a filter below the parallelism floor and tokenise twice).
+    would push such a filter down and tokenise twice).
     """
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    read = texts if derive or with_text else table
+    d = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     if derive:
         d = d.where(F.col("text").isNotNull())
     extra = list((derive or {}).keys())
@@ -106,9 +74,18 @@ def paragraphs(spark: SparkSession, sf_dir: str, derive: dict | None = None,
     return d.join(lab, "doc_id").select(*cols, *extra)
 
 
+def filed_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraph file with its position column ``pos``; every seventh id
+    occurs twice, the second time with another text (the driver's ids are unique)."""
+    p = paragraphs(spark, sf_dir)
+    again = p.where(F.col("par_id") % 7 == 0).withColumn("text", F.concat(F.lit("copy of "), "text"))
+    return (p.withColumn("pos", F.col("par_id") * 2)
+            .unionByName(again.withColumn("pos", F.col("par_id") * 2 + 1)))
+
+
 def unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without a label: the unlabelled test set, ``pos`` = id order."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    d = texts(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     lab = table(spark, sf_dir, "labels").select("doc_id")
     return d.join(lab, "doc_id", "left_anti").select(
         F.col("doc_id").alias("id"),
@@ -133,39 +110,48 @@ def dev_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Span table: every sentence of a positive paragraph is one span.
+def span_rows(p: DataFrame) -> DataFrame:
+    """Every sentence of every paragraph of ``p``, with 0-based half-open offsets.
 
-    span_start / span_finish are 0-based, half-open character offsets, so
-    ``text[span_start:span_finish] == span_text``.  The offsets are built per
-    row with one ``aggregate`` over the sentence array (no shuffle).
+    ``text[span_start:span_finish] == span_text``.  The sentences are cut once a
+    text; an offset is the running length of the sentences before, by a window
+    over the paragraph's own rows, so the work grows linearly with them.
     """
-    p = paragraphs(spark, sf_dir).where(F.col("label") >= 2)
-    sents = F.regexp_extract_all(F.col("text"), F.lit(SENTENCE_PATTERN), 0)
     lead = F.length(F.regexp_extract(F.col("text"), r"^[.!?]*", 0))
-    init = F.struct(F.array().cast("array<int>").alias("offs"), lead.alias("cur"))
-    offsets = F.aggregate(
-        sents, init,
-        lambda acc, s: F.struct(
-            F.array_append(acc["offs"], acc["cur"]).alias("offs"),
-            (acc["cur"] + F.length(s)).alias("cur")),
-        lambda acc: acc["offs"])
+    sents = (p.select("par_id", lead.alias("lead"),
+                      F.posexplode(F.regexp_extract_all(F.col("text"), F.lit(SENTENCE_PATTERN), 0)).alias("pos", "s")))
+    before = Window.partitionBy("par_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("lead") + F.coalesce(F.sum(F.length("s")).over(before), F.lit(0))
     cats = F.array(*[F.lit(c) for c in PCL_CATEGORIES])
-    x = p.select("par_id", "art_id", "text", "keyword", "country_code",
-                 F.posexplode(F.arrays_zip(sents.alias("s"), offsets.alias("o"))).alias("pos", "z"))
-    start = F.col("z.o")
-    return x.select(
-        "par_id", "art_id", "text", "keyword", "country_code",
-        start.cast("int").alias("span_start"),
-        (start + F.length(F.col("z.s"))).cast("int").alias("span_finish"),
-        F.col("z.s").alias("span_text"),
+    return sents.select(
+        "par_id", "pos", start.cast("int").alias("span_start"),
+        (start + F.length("s")).cast("int").alias("span_finish"), F.col("s").alias("span_text"),
         F.element_at(cats, ((F.col("par_id") + F.col("pos")) % 7 + 1).cast("int")).alias("pcl_category"),
-        (F.lit(1) + F.col("pos") % 2).cast("int").alias("num_annotators"),
-    )
+        (F.lit(1) + F.col("pos") % 2).cast("int").alias("num_annotators"))
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Span table: every sentence of a positive paragraph is one span, with the
+    paragraph's own columns beside it."""
+    p = paragraphs(spark, sf_dir).where(F.col("label") >= 2)
+    return (p.select("par_id", "art_id", "text", "keyword", "country_code")
+            .join(span_rows(p), "par_id").drop("pos")
+            .select("par_id", "art_id", "text", "keyword", "country_code", "span_start", "span_finish",
+                    "span_text", "pcl_category", "num_annotators"))
+
+
+def span_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``par_id, pos, n_chars, pcl_category, num_annotators`` of every span: no offsets, no window."""
+    p = paragraphs(spark, sf_dir).where(F.col("label") >= 2)
+    cats = F.array(*[F.lit(c) for c in PCL_CATEGORIES])
+    s = p.select("par_id", F.posexplode(F.regexp_extract_all(F.col("text"), F.lit(SENTENCE_PATTERN), 0)).alias("pos", "s"))
+    return s.select("par_id", "pos", F.col("s").alias("span_text"),
+                    F.element_at(cats, ((F.col("par_id") + F.col("pos")) % 7 + 1).cast("int")).alias("pcl_category"),
+                    (F.lit(1) + F.col("pos") % 2).cast("int").alias("num_annotators"))
 
 
 def pages_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", "html")
+    return texts(spark, sf_dir, "pages").select("page_id", "html")
 
 
 def member_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,8 +165,7 @@ def member_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = paragraphs(spark, sf_dir, with_text=False).select("par_id", "label")
     y = (F.col("label") >= 2).cast("double")
     members = []
-    for i, model in enumerate(ENSEMBLE_WEIGHTS):
-        strength, mult = _MEMBER_SHAPE[i]
+    for model, (strength, mult) in zip(ENSEMBLE_WEIGHTS, MEMBER_SHAPE):
         noise = ((F.col("par_id") * mult) % 97 - 48).cast("double") / 24.0
         members.append(F.struct(F.lit(model).alias("model"), F.lit(0.0).alias("z0"),
                                 ((y * 2.0 - 1.0) * strength + noise).alias("z1")))
@@ -188,20 +173,25 @@ def member_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("par_id", F.inline(F.array(*members)))
 
 
-# (label strength, id multiplier) per catalogue position.
-_MEMBER_SHAPE = ((1.5, 31), (1.0, 53), (0.5, 71))
-
-
 def gold_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(par_id, y)`` binary gold labels of the labelled rows."""
-    return paragraphs(spark, sf_dir).select(
+    return paragraphs(spark, sf_dir, with_text=False).select(
         "par_id", (F.col("label") >= 2).cast("int").alias("y"))
 
 
 def embeddings_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K-class rows ``(vec_id, z ARRAY<DOUBLE>, y)``: the first 10 embedding
-    dimensions act as the logits of a 10-class model, ``label`` is the truth."""
-    e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id",
-                    F.transform(F.slice("embedding", 1, 10), lambda v: v.cast("double")).alias("z"),
-                    F.col("label").alias("y"))
+    """K-class rows ``(vec_id, z ARRAY<DOUBLE>, y)``: logit k is the dot product
+    of the whole embedding with the mean vector of class k, rounded so that the
+    order of a sum does not show; ``label`` is the truth.
+
+    The means are one array of K vectors (classes x width, never table-sized),
+    attached as a scalar; the rows themselves are not shuffled.
+    """
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").alias("y"))
+    per_dim = (e.select("y", F.posexplode("embedding").alias("dim", "v"))
+               .groupBy("y", "dim").agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("m")))
+    vectors = per_dim.groupBy("y").agg(F.sort_array(F.collect_list(F.struct("dim", "m")))["m"].alias("mean"))
+    means = vectors.agg(F.sort_array(F.collect_list(F.struct("y", "mean")))["mean"].alias("means"))
+    dot = F.transform("means", lambda m: F.round(F.aggregate(
+        F.zip_with("embedding", m, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda acc, x: acc + x), 6))
+    return attach(e, means).select("vec_id", dot.alias("z"), "y")

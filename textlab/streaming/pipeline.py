@@ -20,10 +20,13 @@ PAGES_SCHEMA = T.StructType([T.StructField("page_id", T.LongType()), T.StructFie
 
 
 def read_table_stream(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType,
-                      files_per_trigger: int = 1) -> DataFrame:
-    """A file stream over one driver table inside ``sf_dir``."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir))
+                      files_per_trigger: int | None = None) -> DataFrame:
+    """A file stream over one driver table inside ``sf_dir``; a backlog is read
+    at once unless ``files_per_trigger`` asks for steps."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(sf_dir)
 
 
 def clean_pages(stream: DataFrame) -> DataFrame:
