@@ -41,12 +41,20 @@ def evaluation_report(metrics: DataFrame, n_eval: DataFrame, errors: DataFrame)
     return union_all([conf, samples, per_model, err])
 
 
-def eda_report(imbalance: DataFrame, lengths: DataFrame, vocab: DataFrame, percentiles: DataFrame) -> DataFrame:
+def eda_report(imbalance: DataFrame, lengths: DataFrame, vocab: DataFrame, percentiles: DataFrame,
+               distinctive: DataFrame, bigrams: DataFrame, keywords: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Every section of the exploration report, from the frames of its operators."""
+    by = lambda *cols: F.concat_ws(":", *[F.col(c).cast("string") for c in cols])
     parts = [
         _melt(imbalance, "class_balance", ["n_total", "n_non_pcl", "n_pcl", "pct_non_pcl", "pct_pcl",
                                            "imbalance_ratio"]),
         _melt(lengths, "lengths", ["median_tokens", "mean_tokens", "p95_all", "p95_pcl", "max_tokens"]),
         _melt(vocab, "lexical", ["vocab_size", "n_tokens"], id_col="binary_label"),
         _melt(percentiles, "percentiles", ["all_docs", "pcl", "non_pcl"], id_col="percentile"),
+        _melt(distinctive.withColumn("id", by("side", "term")), "distinctive",
+              ["log_odds", "pcl_freq", "non_pcl_freq"], id_col="id"),
+        _melt(bigrams.withColumn("id", by("binary_label", "ngram")), "bigrams", ["freq"], id_col="id"),
+        _melt(keywords, "keywords", ["pcl_rate", "pcl_count", "total"], id_col="keyword"),
+        _melt(shapes, "tables", ["n_rows", "n_cols"], id_col="table_name"),
     ]
     return union_all(parts)

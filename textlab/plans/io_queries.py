@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import ENSEMBLE_WEIGHTS
+from ..constants import CLASS_WEIGHTS, ENSEMBLE_THRESHOLD, ENSEMBLE_WEIGHTS, MAX_LENGTH
 from ..operators import lengths as LN
 from ..operators import lexical as L
 from ..operators import metrics as M
@@ -76,6 +76,17 @@ def q_misclassified_csv(spark, sf):
     return IO.read_misclassified(spark, path)
 
 
+@query("misclassified_plain_csv", f"""
+WITH {SQ._BASE}
+SELECT replace(replace(p.text, chr(10), ' '), ',', ' ') AS text, ev.y AS true_label, ev.pred AS predicted_label,
+       round(ev.ensemble_score, 4) AS ensemble_score
+FROM ev JOIN para p USING (par_id) WHERE ev.pred <> ev.y""")
+def q_misclassified_plain_csv(spark, sf):
+    path = scratch_path(spark, "misclassified-plain-csv")
+    IO.write_misclassified(IO.plain_errors(SQ.q_misclassified(spark, sf)), path)
+    return IO.read_misclassified(spark, path)
+
+
 def _melt_sql(sql: str, section: str, cols, id_col: str | None = None, section_expr: str | None = None) -> str:
     parts = []
     for c in cols:
@@ -88,9 +99,9 @@ def _melt_sql(sql: str, section: str, cols, id_col: str | None = None, section_e
 def _eval_report_sql() -> str:
     conf = [f"SELECT 'configuration' AS section, 'weight:{m}' AS item, {w}::DOUBLE AS value"
             for m, w in ENSEMBLE_WEIGHTS.items()]
-    conf += ["SELECT 'configuration', 'threshold', 1.38::DOUBLE",
-             "SELECT 'configuration', 'class_weight_pos', 9.0::DOUBLE",
-             "SELECT 'configuration', 'max_length', 128.0::DOUBLE",
+    conf += [f"SELECT 'configuration', 'threshold', {ENSEMBLE_THRESHOLD}::DOUBLE",
+             f"SELECT 'configuration', 'class_weight_pos', {CLASS_WEIGHTS[1]}::DOUBLE",
+             f"SELECT 'configuration', 'max_length', {MAX_LENGTH}::DOUBLE",
              f"SELECT 'configuration', 'eval_samples', CAST(count(*) AS DOUBLE) FROM (WITH {SQ._BASE} SELECT * FROM ev)"]
     models = _melt_sql(ORACLE["binary_metrics"], "", ["accuracy", "precision", "recall", "f1"], id_col="model",
                        section_expr="CASE WHEN model = 'Ensemble' THEN 'ensemble' ELSE 'model' END")
@@ -115,15 +126,35 @@ def _eda_report_sql() -> str:
         _melt_sql(ORACLE["class_vocab_stats"], "lexical", ["vocab_size", "n_tokens"], id_col="binary_label"),
         _melt_sql(ORACLE["length_percentiles"], "percentiles", ["all_docs", "pcl", "non_pcl"],
                   id_col="percentile"),
+        _melt_sql(ORACLE["distinctive_terms"], "distinctive", ["log_odds", "pcl_freq", "non_pcl_freq"],
+                  id_col="side || ':' || term"),
+        _melt_sql(ORACLE["top_bigrams"], "bigrams", ["freq"], id_col="binary_label || ':' || ngram"),
+        _melt_sql(ORACLE["rate_by_keyword"], "keywords", ["pcl_rate", "pcl_count", "total"], id_col="keyword"),
+        _melt_sql(ORACLE["table_shapes"], "tables", ["n_rows", "n_cols"], id_col="table_name"),
     ])
 
 
 @query("eda_report", _eda_report_sql())
 def q_eda_report(spark, sf):
-    lt = LNQ._lt(spark, sf)
+    lt, freq = LNQ._lt(spark, sf), LQ._term_freq(spark, sf)
     return R.eda_report(P.class_imbalance(D.paragraphs(spark, sf, with_text=False)),
-                        LN.length_summary(lt), L.class_vocab_stats(LQ._term_freq(spark, sf)),
-                        LN.length_percentiles(lt))
+                        LN.length_summary(lt), L.class_vocab_stats(freq), LN.length_percentiles(lt),
+                        L.distinctive_terms(L.log_odds(freq)), L.top_bigrams(D.paragraphs(spark, sf)),
+                        PQ.q_rate_by_keyword(spark, sf), PQ.q_table_shapes(spark, sf))
+
+
+@query("evaluation_report_file", f"""
+WITH r AS ({_eval_report_sql()}),
+l AS (SELECT 0 AS o, '' AS section, '' AS item, '# Evaluation' AS line
+      UNION ALL SELECT 1, '', '', '| section | item | value |' UNION ALL SELECT 2, '', '', '|---|---|---|'
+      UNION ALL SELECT 3, section, item,
+                '| ' || section || ' | ' || item || ' | ' || coalesce(printf('%.6f', value), '') || ' |' FROM r)
+SELECT CAST(row_number() OVER (ORDER BY o, section, item) - 1 AS BIGINT) AS line_no, line FROM l""")
+def q_evaluation_report_file(spark, sf):
+    """The evaluation report written as a text file and read back line by line."""
+    path = scratch_path(spark, "evaluation-report")
+    IO.write_report(q_evaluation_report(spark, sf), path, "Evaluation")
+    return IO.read_report(spark, path)
 
 
 @query("stream_clean_pages", f"""

@@ -14,6 +14,7 @@ from ..operators import metrics as M
 from ..operators import ml as ML
 from ..operators import prep as PR
 from ..operators import scoring as S
+from ..sources import delimited as IO
 from ..sources import driver as D
 from ..session import scratch_path
 from .registry import query
@@ -106,6 +107,36 @@ def q_score_unlabelled_rows(spark, sf):
                     ((F.col("ensemble_score") > ENSEMBLE_THRESHOLD / len(ML.MEMBER_WEIGHTS)) == (F.col("pred") == 1)).alias("consistent"))
 
 
+@query("submission_run", f"""
+WITH {DEV}, {UNLAB}
+SELECT 'dev' AS part, CAST(row_number() OVER (ORDER BY pos) - 1 AS BIGINT) AS line_no, true AS valid FROM dev
+UNION ALL
+SELECT 'test', CAST(row_number() OVER (ORDER BY pos) - 1 AS BIGINT), true FROM unlab""")
+def q_submission_run(spark, sf):
+    """The whole submission: train, save and reload every member, score dev and
+    unlabelled rows in one pass over the texts, vote, write one ordered file of
+    predictions for each part, and read both back."""
+    train, dev = _official(spark, sf)
+    models = {name: ML.save_and_reload(m, scratch_path(spark, f"member-{name}"))
+              for name, m in ML.train_members(train).items()}
+    wanted = D.dev_labels(spark, sf).select("par_id", "pos", F.lit("dev").alias("part"))
+    rows = dev.select("par_id", "text").join(wanted, "par_id").unionByName(
+        D.unlabelled(spark, sf).select(F.col("id").alias("par_id"), "text", "pos", F.lit("test").alias("part")))
+    probs = ML.score_members(models, rows)
+    vote = S.soft_vote(S.align_scores(probs, tuple(ML.MEMBER_WEIGHTS)), ML.MEMBER_WEIGHTS)
+    voted = rows.drop("text").join(vote, "par_id").select("part", "pos", "pred").persist()
+    parts = []
+    try:
+        for part in ("dev", "test"):
+            path = scratch_path(spark, f"submission-{part}")
+            IO.write_predictions(voted.where(F.col("part") == part), path)
+            parts.append(IO.read_predictions(spark, path).select(
+                F.lit(part).alias("part"), "line_no", F.col("pred").isin(0, 1).alias("valid")))
+    finally:
+        voted.unpersist()
+    return parts[0].unionByName(parts[1])
+
+
 @query("class_weighted_members")
 def q_class_weighted_members(spark, sf):
     """Per-member weighted log loss on dev from the fitted models' logits."""

@@ -142,9 +142,18 @@ MISCLASSIFIED_SCHEMA = T.StructType([
     T.StructField("predicted_label", T.IntegerType()), T.StructField("ensemble_score", T.DoubleType())])
 
 
-def write_misclassified(df: DataFrame, path: str) -> None:
-    write_delimited(df.select("text", "true_label", "predicted_label", "ensemble_score"), path,
-                    sep=",", header=True)
+def write_misclassified(df: DataFrame, path: str, score: bool = True) -> None:
+    """The error file; the score column is left out with ``score=False``."""
+    columns = ["text", "true_label", "predicted_label"] + (["ensemble_score"] if score else [])
+    write_delimited(df.select(*columns), path, sep=",", header=True)
+
+
+def plain_errors(df: DataFrame) -> DataFrame:
+    """The notebook form of the error rows: line feeds and commas in the text as
+    spaces (so no field needs quotes), the score at four decimals."""
+    text = F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(","), F.lit(" "))
+    return df.select(text.alias("text"), "true_label", "predicted_label",
+                     F.round("ensemble_score", 4).alias("ensemble_score"))
 
 
 def read_misclassified(spark: SparkSession, path: str) -> DataFrame:
@@ -154,14 +163,23 @@ def read_misclassified(spark: SparkSession, path: str) -> DataFrame:
 # ------------------------------------------------------------------ reports
 
 def write_report(report: DataFrame, path: str, title: str) -> None:
-    """Markdown-ish text report from a long ``(section, item, value)`` table.
+    """Markdown-ish text report from a long ``(section, item, value)`` table, in
+    section and item order.
 
     The table is small by construction (one row per metric), so one output
     file is fine; lines are formatted on the executors."""
     line = F.format_string("| %s | %s | %s |", F.col("section"), F.col("item"),
-                           F.coalesce(F.format_number(F.col("value"), 4), F.lit("")))
-    head = report.sparkSession.createDataFrame([(0, f"# {title}"), (1, "| section | item | value |"),
-                                                 (2, "|---|---|---|")], "o int, line string")
-    body = report.select(F.lit(3).alias("o"), line.alias("line"))
-    (head.unionByName(body).coalesce(1).sortWithinPartitions("o").select("line")
+                           F.coalesce(F.format_string("%.6f", "value"), F.lit("")))
+    head = report.sparkSession.createDataFrame(
+        [(0, "", "", f"# {title}"), (1, "", "", "| section | item | value |"), (2, "", "", "|---|---|---|")],
+        "o int, section string, item string, line string")
+    body = report.select(F.lit(3).alias("o"), "section", "item", line.alias("line"))
+    (head.unionByName(body).coalesce(1).sortWithinPartitions("o", "section", "item").select("line")
      .write.mode("overwrite").text(path))
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """``line_no, line`` of a report (one file, read in order)."""
+    rows = spark.read.text(path, wholetext=True)
+    return rows.select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line_no", "line")) \
+        .select(F.col("line_no").cast("long").alias("line_no"), "line")
