@@ -96,6 +96,13 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             .unionByName(roots.select("node", F.col("node").alias("root"))))
 
 
+def small_batches(batches, rows: int = 256):
+    """Arrow batches in slices, so that a worker holds few texts as Python strings at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 class Memo(dict):
     """``solve(key)`` by key; starts anew when it holds ``limit`` keys, so a worker's memory is bounded."""
 

@@ -18,12 +18,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import small_batches, text_or_empty
 
-Features = Callable[[str], tuple[np.ndarray, np.ndarray]]
+Features = Callable[[str], tuple[np.ndarray, np.ndarray | None]]
 
 
 class Fit(NamedTuple):
@@ -46,60 +47,79 @@ class Linear(NamedTuple):
     weights: np.ndarray
     bias: float
 
-    def score(self, idx: np.ndarray, val: np.ndarray) -> float:
-        z = float(self.weights[idx] @ val) + self.bias if len(idx) else self.bias
+    def score(self, idx: np.ndarray, val: np.ndarray | None) -> float:
+        w = self.weights[idx]
+        z = float(w.sum() if val is None else w @ val) + self.bias
         return 1.0 / (1.0 + np.exp(-z)) if z > -500 else 0.0
 
 
-class _Rows:
-    """Sparse rows: feature numbers and values end to end."""
+class Rows:
+    """Sparse rows, end to end: sizes, feature numbers, and values (None: all one)."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
-        self.size = np.array([len(i) for i, _ in rows], dtype=np.int64)
-        self.idx = np.concatenate([i for i, _ in rows]) if rows else np.empty(0, np.int32)
-        self.val = np.concatenate([v for _, v in rows]) if rows else np.empty(0, np.float32)
+    def __init__(self, size: np.ndarray, idx: np.ndarray, val: np.ndarray | None = None):
+        self.size, self.idx, self.val = size.astype(np.int64), idx, val
         self.end = np.cumsum(self.size)
 
-    def part(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    @classmethod
+    def of(cls, rows: list[tuple[np.ndarray, np.ndarray | None]]) -> "Rows":
+        size = np.array([len(i) for i, _ in rows], dtype=np.int64)
+        idx = np.concatenate([i for i, _ in rows]).astype(np.int32) if rows else np.empty(0, np.int32)
+        if not rows or all(v is None for _, v in rows):
+            return cls(size, idx)
+        return cls(size, idx, np.concatenate([v for _, v in rows]).astype(np.float32))
+
+    def only(self, usable: np.ndarray) -> "Rows":
+        """The same rows with usable features alone."""
+        stays = usable[self.idx]
+        row = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)[stays]
+        return Rows(np.bincount(row, minlength=len(self.size)), self.idx[stays],
+                    None if self.val is None else self.val[stays])
+
+    def part(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
         size = self.size[rows]
         row = np.repeat(np.arange(len(rows)), size)
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.end[rows] - size, size)
-        return row, self.idx[at], self.val[at]
+        return row, self.idx[at], 1.0 if self.val is None else self.val[at]
+
+
+def _sum_by(rows: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(rows, weights=weights, minlength=n)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit_rows(pos: list, unl: list, prior: float, how: Fit = Fit()) -> Linear:
-    """nnPU fit of ``(feature numbers, values)`` rows by mini-batch Adam.
+def fit_rows(pos: Rows, unl: Rows, prior: float, how: Fit = Fit()) -> Linear:
+    """nnPU fit by mini-batch Adam.
 
     Without positives every score is the prior (clipped away from 0 and 1).
     """
     prior = min(max(prior, 1e-3), 1 - 1e-3)
     start = float(np.log(prior / (1 - prior)))
     w, b = np.zeros(how.dims), start
-    if not pos or not unl:
+    n_pos, n_unl = len(pos.size), len(unl.size)
+    if not n_pos or not n_unl:
         return Linear(w.astype(np.float32), b)
-    p_rows, u_rows = _Rows(pos), _Rows(unl)
-    in_p, in_u = np.bincount(p_rows.idx, minlength=how.dims), np.bincount(u_rows.idx, minlength=how.dims)
+    in_p, in_u = np.bincount(pos.idx, minlength=how.dims), np.bincount(unl.idx, minlength=how.dims)
     usable = in_p + in_u >= how.min_docs
     if how.purity:  # features that mark positives: prior x rate among positives / rate among unlabelled
-        rate_p, rate_u = in_p / len(pos), np.maximum(in_u, 0.5) / len(unl)
-        spread = np.sqrt(rate_u * (1 / len(pos) + 1 / len(unl)))
+        rate_p, rate_u = in_p / n_pos, np.maximum(in_u, 0.5) / n_unl
+        spread = np.sqrt(rate_u * (1 / n_pos + 1 / n_unl))
         usable &= (prior * rate_p >= how.purity * rate_u) & (rate_p - rate_u >= how.sigmas * spread)
+    p_rows, u_rows = pos.only(usable), unl.only(usable)
     rng = np.random.default_rng(how.seed)
     m, v = np.zeros(how.dims + 1), np.zeros(how.dims + 1)
-    batches = max(1, min(how.batches, len(pos) // 8))
+    batches = max(1, min(how.batches, n_pos // 8))
     turn = 0
     for epoch in range(how.epochs):
-        order_p, order_u = rng.permutation(len(pos)), rng.permutation(len(unl))
+        order_p, order_u = rng.permutation(n_pos), rng.permutation(n_unl)
         for bp, bu in zip(np.array_split(order_p, batches), np.array_split(order_u, batches)):
             turn += 1
             rp, ip, vp = p_rows.part(bp)
             ru, iu, vu = u_rows.part(bu)
-            zp = np.bincount(rp, weights=w[ip] * vp, minlength=len(bp)) + b
-            zu = np.bincount(ru, weights=w[iu] * vu, minlength=len(bu)) + b
+            zp = _sum_by(rp, w[ip] * vp, len(bp)) + b
+            zu = _sum_by(ru, w[iu] * vu, len(bu)) + b
             negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
             if negative >= 0:
                 gp = np.full(len(bp), -prior / len(bp))
@@ -108,8 +128,7 @@ def fit_rows(pos: list, unl: list, prior: float, how: Fit = Fit()) -> Linear:
                 gp = -prior / len(bp) * _sigmoid(-zp) + how.step_back * prior / len(bp) * _sigmoid(zp)
                 gu = -how.step_back * _sigmoid(zu) / len(bu)
             g = np.empty(how.dims + 1)
-            g[:-1] = (np.bincount(ip, weights=gp[rp] * vp, minlength=how.dims)
-                      + np.bincount(iu, weights=gu[ru] * vu, minlength=how.dims)) * usable + how.decay * w
+            g[:-1] = _sum_by(ip, gp[rp] * vp, how.dims) + _sum_by(iu, gu[ru] * vu, how.dims) + how.decay * w
             g[-1] = gp.sum() + gu.sum()
             m = 0.9 * m + 0.1 * g
             v = 0.999 * v + 0.001 * g * g
@@ -122,11 +141,11 @@ def fit_rows(pos: list, unl: list, prior: float, how: Fit = Fit()) -> Linear:
     return Linear(w, float(b))
 
 
-def _widest_gap(w: np.ndarray, b: float, rows: _Rows, prior: float) -> float:
+def _widest_gap(w: np.ndarray, b: float, rows: Rows, prior: float) -> float:
     """The bias that puts the boundary into the widest gap of the unlabelled
     scores where a share of positives near the prior lies above it."""
     row, idx, val = rows.part(np.arange(len(rows.size)))
-    z = np.sort(np.bincount(row, weights=w[idx] * val, minlength=len(rows.size)) + b)[::-1]
+    z = np.sort(_sum_by(row, w[idx] * val, len(rows.size)) + b)[::-1]
     lo, hi = max(1, int(0.85 * prior * len(z))), min(len(z) - 1, int(prior * len(z)) + 1)
     gaps = z[:-1] - z[1:]
     at = lo - 1 + int(gaps[lo - 1:hi].argmax()) if lo <= hi else 0
@@ -155,11 +174,11 @@ def _first_ids(ids: DataFrame, n: int) -> DataFrame:
 
 def _featurise(features: Features):
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             out = [features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("positive"), pa.array([i.astype("<i4").tobytes() for i, _ in out], pa.binary()),
-                 pa.array([v.astype("<f4").tobytes() for _, v in out], pa.binary())], names=["positive", "idx", "val"])
+                 pa.array([None if v is None else v.astype("<f4").tobytes() for _, v in out], pa.binary())], names=["positive", "idx", "val"])
     return run
 
 
@@ -174,7 +193,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, learn_fold: Column, fe
     marks = labels.where(learn_fold & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     share = marks.agg(F.avg((F.col(label) == 1).cast("double"))).first()[0]
     if share is None:
-        return fit_rows([], [], 0.5, how), 0.5
+        return fit_rows(Rows.of([]), Rows.of([]), 0.5, how), 0.5
     pos = _first_ids(marks.where(F.col(label) == 1).select("doc_id").distinct(), how.positives)
     unl = _first_ids(docs.where(learn_fold & F.col("doc_id").isNotNull()).select("doc_id").distinct(), how.unlabelled)
     # at most `positives` + `unlabelled` ids: a bounded broadcast
@@ -183,10 +202,22 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, learn_fold: Column, fe
     sample = (docs.select("doc_id", text_or_empty().alias("text")).join(wanted, "doc_id")
               .select("positive", "text")
               .mapInArrow(_featurise(features), "positive boolean, idx binary, val binary").toArrow())
-    rows: tuple[list, list] = ([], [])
-    for positive, idx, val in zip(*(sample.column(c).to_pylist() for c in ("positive", "idx", "val"))):
-        rows[0 if positive else 1].append((np.frombuffer(idx, "<i4"), np.frombuffer(val, "<f4")))
-    return fit_rows(*rows, prior=share, how=how), share
+    return fit_rows(*(_collected(sample, kind) for kind in (True, False)), prior=share, how=how), share
+
+
+def _collected(sample: pa.Table, positive: bool) -> Rows:
+    """One kind of the sampled rows, without a Python object a row."""
+    part = sample.filter(pc.equal(sample.column("positive"), positive))
+
+    def flat(name: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
+        chunks = [c for c in part.column(name).chunks if len(c)]
+        size = [np.diff(np.frombuffer(c.buffers()[1], "<i4")[c.offset:c.offset + len(c) + 1]) for c in chunks]
+        data = [np.frombuffer(b"".join(c.to_pylist()), kind) for c in chunks]
+        return (np.concatenate([*size, np.empty(0, np.int32)]) // 4, np.concatenate([*data, np.empty(0, kind)]))
+    size, idx = flat("idx", "<i4")
+    if part.column("val").null_count:
+        return Rows(size, idx)
+    return Rows(size, idx, flat("val", "<f4")[1])
 
 
 def row_wise(docs: DataFrame, run, keep: tuple[str, ...], added: str) -> DataFrame:
@@ -197,7 +228,7 @@ def row_wise(docs: DataFrame, run, keep: tuple[str, ...], added: str) -> DataFra
     names = [*keep, *(part.split()[0] for part in added.split(", "))]
 
     def each(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *run(texts)], names=names)
     return rows.mapInArrow(each, f"{kinds}, {added}")

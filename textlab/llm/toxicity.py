@@ -35,13 +35,13 @@ def _numbers(word: str) -> bytes:
 _WORDS = Memo(_numbers, _MEMO)
 
 
-def word_features(text: str) -> tuple[np.ndarray, np.ndarray]:
+def word_features(text: str) -> tuple[np.ndarray, None]:
     words = set(_LETTERS.findall(text.lower()))
     if not words:
-        return np.empty(0, np.int32), np.empty(0, np.float32)
+        return np.empty(0, np.int32), None
     memo = _WORDS
     idx = np.unique(np.frombuffer(b"".join([memo[w] for w in words]), "<i4"))
-    return idx, np.ones(len(idx), np.float32)
+    return idx, None
 
 
 class MarkedWords:
@@ -54,13 +54,13 @@ class MarkedWords:
         numbers = np.frombuffer(_numbers(word), "<i4")
         return numbers[self.weighted[numbers]].tobytes()
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, text: str) -> tuple[np.ndarray, None]:
         if self.memo is None:  # made on the executor
             self.memo = Memo(self._numbers, _MEMO)
         memo = self.memo
         found = b"".join([memo[w] for w in set(_LETTERS.findall(text.lower()))])
         idx = np.unique(np.frombuffer(found, "<i4")) if found else np.empty(0, np.int32)
-        return idx, np.ones(len(idx), np.float32)
+        return idx, None
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, fit: Fit = FIT) -> Linear:
