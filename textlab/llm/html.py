@@ -33,6 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Tokens of the shortest repeated substring that counts as boilerplate.
 WINDOW = 10
 ARTICLE, FURNITURE, LOOSE = 0, 1, 2
@@ -184,10 +186,11 @@ def _host_windows(batches) -> Iterator[pa.RecordBatch]:
     """Per batch and host: the stream's distinct windows with the first and last page that has each."""
     for batch in batches:
         hosts: dict[str, list[tuple[object, np.ndarray]]] = {}
-        for page, url, text in zip(*(batch.column(c).to_pylist() for c in ("page", "url", "html"))):
-            for _, words in _candidates(page_blocks(text)):
-                if len(words) >= WINDOW:
-                    hosts.setdefault(host_of(url), []).append((page, _hash(words)))
+        for part in small_batches([batch]):
+            for page, url, text in zip(*(part.column(c).to_pylist() for c in ("page", "url", "html"))):
+                for _, words in _candidates(page_blocks(text)):
+                    if len(words) >= WINDOW:
+                        hosts.setdefault(host_of(url), []).append((page, _hash(words)))
         for host, streams in hosts.items():
             stream = np.concatenate([t for _, t in streams])
             size = np.array([len(t) for _, t in streams])
@@ -208,7 +211,7 @@ def _host_windows(batches) -> Iterator[pa.RecordBatch]:
 
 def _page_windows(batches) -> Iterator[pa.RecordBatch]:
     """The windows of loose blocks of pages without an article: where boilerplate may have to go."""
-    for batch in batches:
+    for batch in small_batches(batches):
         rows: list[tuple] = []
         for page, url, text in zip(*(batch.column(c).to_pylist() for c in ("page", "url", "html"))):
             blocks = page_blocks(text)
@@ -246,7 +249,7 @@ def main_text(page: str, covered: list[tuple[int, int]] | None = None) -> str:
 
 
 def _extract(batches) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         texts = [main_text(page, [(c["block"], c["at"]) for c in covered or ()])
                  for page, covered in zip(batch.column("html").to_pylist(), batch.column("covered").to_pylist())]
         yield pa.RecordBatch.from_arrays(

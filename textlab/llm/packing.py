@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import Memo, text_or_empty
+from .common import Memo, small_batches, text_or_empty
 
 SEQUENCE = 4096
 SEGMENTS = 256
@@ -33,7 +33,7 @@ END_ID = 2
 #: Examples that compete for the open bin.
 WINDOW = 256
 #: Word codes kept by a worker; the table starts anew when it is full.
-MEMO = 800_000
+MEMO = 600_000
 TOKENIZER = "word_bpe_49k.json"
 #: Plain texts: scripts where lower case and composition act letter by letter.
 _PLAIN = re.compile(r"[\t-\r\x20-\x7eÀ-įı-ɏ]*")
@@ -186,7 +186,7 @@ def _packer(path: str, limits: Limits):
 
         def examples():
             number = 0
-            for batch in batches:
+            for batch in small_batches(batches):
                 ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
                 for doc_id, text in zip(ids, texts):
                     codes = encode(text) + end

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable, text_or_empty
+from .common import components, durable, small_batches, text_or_empty
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -53,7 +53,7 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(shingle: int):
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             fps = np.fromiter((fingerprint(t, shingle) for t in batch.column("text").to_pylist()),
                               dtype=np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays(
