@@ -120,10 +120,19 @@ PIECE_TEXTS = ["", " ", "a", "  two  spaces   three ", "line\nline\n\nend", "pun
 
 def test_viterbi_is_the_best_segmentation(sf_rows):
     model = pieces.model(MODEL)
-    for t in PIECE_TEXTS + [t[:400] for _, t in sf_rows[:60]]:
-        ids = np.frombuffer(model.encode(t), "<i4").tolist()
-        if t:
-            assert score_of(model, ids) == slow_segmentation(model, pieces.MARK + t.replace(" ", pieces.MARK)), t[:50]
+    for t in PIECE_TEXTS + [t[:300] for _, t in sf_rows[:40]]:
+        marked = pieces.MARK + t.replace(" ", pieces.MARK)
+        assert score_of(model, model.segment(marked)) == slow_segmentation(model, marked), t[:50]
+
+
+def test_ids_are_the_librarys(sf_rows):
+    import sentencepiece
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    model = pieces.model(MODEL)
+    code = ["def f(x):\n        return x + 1  # ok\n", " " * 40 + "the end" + " " * 33, "a.b,c;d:e!f?g ...,,,!!!", "日本語のテキスト。 Привет мир",
+            "Machine learning models process natural language text, and researchers evaluate them carefully."]
+    for t in PIECE_TEXTS[:-2] + code + [t for _, t in sf_rows[:300]]:
+        assert np.frombuffer(model.encode(t), "<i4").tolist() == library.encode(t), t[:50]
 
 
 def test_decoding_restores_texts(docs_of, sf_rows):
@@ -202,13 +211,13 @@ def test_positive_unlabelled_fit_recovers_a_mark():
         return np.unique(np.append(words, rng.integers(0, 4)) if toxic else words).astype(np.int32)
     rows = [(x := row(k % 10 == 0), np.ones(len(x), np.float32)) for k in range(3000)]
     pos = [(x := row(True), np.ones(len(x), np.float32)) for _ in range(150)]
-    model = pu.fit_rows(pos, rows, 0.1, pu.Fit(dims=512, purity=0.4, sigmas=5.0))
+    model = pu.fit_rows(pu.Rows.of(pos), pu.Rows.of(rows), 0.1, pu.Fit(dims=512, purity=0.4, sigmas=5.0))
     hit = [model.score(*r) >= 0.5 for r in rows]
     assert sum(hit[::10]) >= 295 and sum(hit) - sum(hit[::10]) <= 5
 
 
 def test_fit_without_positives_scores_the_prior():
-    model = pu.fit_rows([], [(np.array([1]), np.ones(1))], 0.2)
+    model = pu.fit_rows(pu.Rows.of([]), pu.Rows.of([(np.array([1]), np.ones(1))]), 0.2)
     assert model.score(np.empty(0, int), np.empty(0)) == pytest.approx(0.2)
 
 

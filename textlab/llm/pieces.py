@@ -2,14 +2,23 @@
 
 Encoding: an Aho-Corasick automaton over the vocabulary pieces reads a segment
 once; at every character the matches that end there (the output links) relax
-the best score of that position, and the best segmentation is read back.  Piece
-scores are the model file's.  A character that no piece covers becomes its
-UTF-8 byte pieces, at a cost that any other segmentation beats.
+that position, and the segmentation is read back from the end.
+
+* A unigram model scores a path by the sum of its pieces' scores (Viterbi).
+* A BPE model (the public file) scores by its merge order.  Summing those ranks
+  would pick many frequent short pieces, so the pass works on transitions: two
+  pieces may follow each other (score 0) exactly if merging their joined text
+  gives the two pieces back, else not (minus infinity).  A path of such
+  transitions is the segmentation that merging gives, and there is one for every
+  prefix, so a position is settled by the first match that may follow what is
+  best at its start.  Transitions are solved once and kept.
+
+A character that no piece covers becomes its UTF-8 byte pieces.
 
 A text is first cut where no piece can cross: before every run of spaces
-(pieces hold the space mark only in front, or nothing else) and around line
-feeds (in no piece).  The cuts change no result, and let equal
-segments be solved once.  Ties go to the longer last piece.
+(pieces hold the space mark only in front, or nothing else), around line feeds
+(in no piece), and before marks that no piece has after a letter.  The cuts
+change no result, and let equal segments be solved once.
 
 Decoding joins the pieces' bytes; it restores every text except that a literal
 space mark (U+2581) comes back as a space.
@@ -17,6 +26,7 @@ space mark (U+2581) comes back as a space.
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from array import array
@@ -26,13 +36,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Memo, text_or_empty
+from .common import Memo, small_batches, text_or_empty
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Segments kept by a worker; the table starts anew when it is full.
-MEMO = 600_000
+MEMO = 500_000
 _NORMAL, _BYTE, _USER = 1, 6, 4
+_BPE = 2
+#: Transitions kept by a worker.
+_PAIRS = 300_000
 #: Whole numbers keep long sums exact.
 _UNCOVERED = -(10 ** 13)
 _NEVER = float("-inf")
@@ -71,9 +84,88 @@ class PieceModel:
         self.marks = frozenset(m for m in ".,!?;:" if not any(
             a.isalpha() and b == m for piece in self.scores for a, b in zip(piece, piece[1:])))
         self.memo = Memo(self._solve, MEMO)
+        self.bpe = proto.trainer_spec.model_type == _BPE
+        self.text_of = {i: piece for piece, (i, _) in self.scores.items()}
+        self.follows = Memo(self._follows, _PAIRS)
+
+    def merged(self, text: str) -> list[str]:
+        """Symbols of ``text`` after merging: best score first, ties from the left."""
+        symbols: list[str | None] = list(text)
+        after = list(range(1, len(text) + 1))
+        before = list(range(-1, len(text) - 1))
+        heap: list[tuple[float, int, str]] = []
+
+        def offer(left: int) -> None:
+            right = after[left]
+            if right < len(symbols):
+                joined = symbols[left] + symbols[right]
+                if joined in self.scores:
+                    heapq.heappush(heap, (-self.scores[joined][1], left, joined))
+
+        for left in range(len(symbols) - 1):
+            offer(left)
+        while heap:
+            _, left, joined = heapq.heappop(heap)
+            right = after[left] if symbols[left] is not None else len(symbols)
+            if right >= len(symbols) or symbols[left] + symbols[right] != joined:
+                continue
+            symbols[left], symbols[right] = joined, None
+            after[left] = after[right]
+            if after[right] < len(symbols):
+                before[after[right]] = left
+            offer(left)
+            if before[left] >= 0:
+                offer(before[left])
+        return [x for x in symbols if x is not None]
+
+    def _follows(self, pair: tuple[int, int]) -> bool:
+        """Whether the second piece may stand after the first (-1: after the start or a byte)."""
+        parts = [self.text_of[i] for i in pair if i >= 0]
+        return self.merged("".join(parts)) == parts
+
+    def _ids(self, parts: list[str]) -> list[int]:
+        out: list[int] = []
+        for part in parts:
+            if part in self.scores:
+                out.append(self.scores[part][0])
+            else:
+                out += [self.byte_id[b] for b in part.encode("utf-8", "surrogatepass")]
+        return out
+
+    def admissible(self, text: str) -> list[int]:
+        """Ids of the path of admissible transitions: what merging ``text`` gives."""
+        if text.startswith(MARK + MARK):  # runs of spaces have equal scores: merged from the left
+            return self._ids(self.merged(text))
+        n, follows = len(text), self.follows
+        last: list[int | None] = [-1] + [None] * n
+        back = [0] * (n + 1)
+        known = self.scores
+        done = 0
+
+        def settle(upto: int) -> None:
+            nonlocal done
+            while done < upto:  # characters in no piece
+                if last[done + 1] is None and last[done] is not None and text[done] not in known:
+                    last[done + 1], back[done + 1] = -1, done
+                done += 1
+
+        for end, (length, i, _) in self.automaton.iter(text):
+            if last[end + 1] is None:
+                start = end - length
+                if start > done:
+                    settle(start)
+                prev = last[start]
+                if prev is not None and follows[prev, i]:
+                    last[end + 1], back[end + 1] = i, start
+        settle(n)
+        parts, at = [], n
+        while at:
+            parts.append(text[back[at]:at])
+            at = back[at]
+        return self._ids(parts[::-1])
 
     def segment(self, text: str) -> list[int]:
-        """Ids of the best segmentation of ``text`` (already marked)."""
+        """Ids of the best-scored segmentation of ``text`` (already marked)."""
         n = len(text)
         score: list = [0] + [_NEVER] * n
         back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
@@ -128,7 +220,7 @@ class PieceModel:
     def _solve(self, key: str) -> bytes:
         if key[-1] in self.marks and key[-2:-1].isalpha():
             return self.memo[key[:-1]] + self.memo[key[-1]]
-        return array("i", self.segment(key)).tobytes()
+        return array("i", self.admissible(key) if self.bpe else self.segment(key)).tobytes()
 
     def decode(self, ids) -> str:
         """The text of ``ids``: pieces' bytes, marks as spaces, the leading one off."""
@@ -149,19 +241,16 @@ def model(path: str) -> PieceModel:
 def _encoder(path: str):
     def run(batches) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for batch in batches:
-            doc_ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for lo in range(0, len(texts), 256):  # ids of a slice of the batch at a time
-                part = texts[lo:lo + 256]
-                codes = [np.frombuffer(m.encode(t), dtype="<i4") for t in part]
-                offsets = np.concatenate(([0], np.cumsum([len(c) for c in codes]))).astype(np.int32)
-                restored = [m.decode(c.tolist()) == t.replace(MARK, " ") for c, t in zip(codes, part)]
-                yield pa.RecordBatch.from_arrays(
-                    [doc_ids.slice(lo, 256), pa.array([len(c) for c in codes], pa.int64()),
-                     pa.array([zlib.crc32(c.tobytes()) for c in codes], pa.int64()),
-                     pa.array(restored, pa.bool_()),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(codes), pa.int32()))],
-                    names=["doc_id", "n_ids", "ids_crc32", "restored", "ids"])
+        for batch in small_batches(batches):
+            texts = batch.column("text").to_pylist()
+            codes = [np.frombuffer(m.encode(t), dtype="<i4") for t in texts]
+            offsets = np.concatenate(([0], np.cumsum([len(c) for c in codes]))).astype(np.int32)
+            restored = [m.decode(c.tolist()) == t.replace(MARK, " ") for c, t in zip(codes, texts)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([len(c) for c in codes], pa.int64()),
+                 pa.array([zlib.crc32(c.tobytes()) for c in codes], pa.int64()), pa.array(restored, pa.bool_()),
+                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(codes), pa.int32()))],
+                names=["doc_id", "n_ids", "ids_crc32", "restored", "ids"])
     return run
 
 
