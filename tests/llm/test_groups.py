@@ -211,6 +211,17 @@ def test_segments_find_every_close_pair():
             assert L.wanted_keys(long) & set(L.stored_keys(short))
 
 
+def test_near_lines_have_near_counts(spark):
+    rng = random.Random(7)
+    pairs = []
+    for _ in range(400):
+        a = "".join(rng.choice("abcdefgh é中") for _ in range(rng.randrange(1, 60)))
+        b = edited(rng, a, rng.randrange(3))
+        pairs.append((L.line_id(a), L.line_id(b), levenshtein(a, b) <= 2))
+    df = spark.createDataFrame(pairs, "a long, b long, near boolean")
+    assert df.where("near").where(~L.may_be_near(F.col("a"), F.col("b"), 2)).count() == 0
+
+
 def brute_lines(texts):
     """Kept and removed lines of (doc_id, text) rows by comparing all lines."""
     where = defaultdict(list)
