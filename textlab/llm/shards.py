@@ -64,8 +64,9 @@ def propagate(links: DataFrame, state: DataFrame, quota: list[int], max_rounds:
     for turn in range(max_rounds):
         held = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
         free = [max(0, quota[s] - held.get(s, 0)) for s in range(shards)]
-        hubs = (links.join(state, "row").groupBy("hub")
-                .agg(*[F.sum((F.col("shard") == s).cast("long")).alias(f"v{s}") for s in range(shards)]))
+        # durable, so that the join on hub has an exchange on either side and a hot hub can be split
+        hubs = durable(links.join(state, "row").groupBy("hub")
+                       .agg(*[F.sum((F.col("shard") == s).cast("long")).alias(f"v{s}") for s in range(shards)]))
         votes = (links.join(hubs, "hub").groupBy("row")
                  .agg(*[F.sum(f"v{s}").alias(f"v{s}") for s in range(shards)]))
         step = F.pmod(F.xxhash64(*[f"v{s}" for s in range(shards)], F.lit(turn)), F.lit(STEPS)).cast("int")
@@ -99,7 +100,7 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, max_rounds: int = MAX
         F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"),
         F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("hub"), F.monotonically_increasing_id().alias("row")))
     quota = quotas(rows.count(), shards)
-    many = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hub")
+    many = durable(rows.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hub"))
     links = durable(rows.select("row", "hub").join(many, "hub"))
     start = links.select("row", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard")).distinct()
     state = propagate(links, durable(start), quota, max_rounds)
