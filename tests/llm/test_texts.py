@@ -196,6 +196,26 @@ def test_repeated_substrings_of_a_host_go(spark):
     assert html.extract_pages(pages.where("page_id < 0")).count() == 0
 
 
+def extracted(spark, rows):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    return {r["page_id"]: r["text"] for r in html.extract_pages(pages).collect()}
+
+
+def story(n):
+    return " ".join(f"w{n}x{k}" for k in range(14))
+
+
+def test_unmarked_notices_in_articles_go(spark):
+    notice = "<div>sign up for our weekly letter</div><div>and never miss a story again</div>"
+    rows = [(n, "http://h.example/", f"<article><p>{story(n)}</p>{notice}<p>Share this</p></article>") for n in range(12)]
+    rows += [(100 + n, "http://h.example/", f"<article><p>{story(100 + n)} {story(999)}</p></article>") for n in range(3)]
+    got = extracted(spark, rows)
+    for n in range(12):
+        assert got[n] == story(n)
+    for n in range(100, 103):  # a long quotation of three pages stays
+        assert got[n] == f"{story(n)} {story(999)}"
+
+
 def test_extraction_gives_the_articles(spark):
     for r in html.extract_pages(read_table(spark, SF, "pages")).join(read_table(spark, SF, "pages").select("page_id", "html"), "page_id").collect():
         article = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]

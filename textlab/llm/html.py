@@ -1,23 +1,30 @@
 """Main text of web pages: markup zones plus a suffix array of each host's text.
 
-A page is read once by a tokenizer of tags and text into blocks, each in a zone:
+A page is read by a tokenizer of tags and text into blocks, each in a zone:
 the article (inside ``article`` or ``main``), furniture (menus, headers, footers,
 asides, forms, adverts, notices, comments, by element or by the words of its
 class, id or role), or loose text (outside both).
 
-Zones alone cannot tell loose text from furniture without telling marks, so the
-loose and furniture blocks of all pages of a host form one token stream.  Its
-suffixes are sorted by their first ``WINDOW`` tokens: in each partition by
-prefix doubling (a suffix array cut off at ``WINDOW``), then across partitions
-by the digest of those tokens, in Spark.  A window that occurs on two distinct
-pages of the host is repeated; neighbouring windows merge into long repeated
-substrings.  Loose tokens they cover are boilerplate and go; unique runs stay.
-The stream of a host is dealt out by (host, digest), so a host with a third of
-all pages is spread over all tasks, and a notice on every page is combined
-before it travels.
+Zones alone cannot tell text from furniture without telling marks.  So the
+neighbouring blocks of a page, those of the article and those outside it, form
+token streams, and windows of ``WINDOW`` tokens run across the edges of blocks;
+a block shorter than a window counts as a whole.  The suffixes of a host's
+streams are sorted by their first ``WINDOW`` tokens: in each batch by prefix
+doubling (a suffix array cut off at ``WINDOW``), then across batches by the
+digest of those tokens, in Spark.  What occurs on at least ``MIN_PAGES`` and at
+least ``SHARE`` of the distinct pages of a host is furniture; pages of a host
+with the same text outside marked furniture are one page.  Tokens it lies on
+go from every page; in an article only if articles of ``MIN_PAGES`` pages hold it.
+
+Only windows of tokens that each may reach that share can reach it themselves,
+so pages are first counted by (host, hashed token), and all other windows end
+where they are read.  The few that repeat are spread by (host, digest, page), so
+a host with a third of all pages is spread over all tasks; what is found is
+bounded by the text of two pages a host.  Windows across an edge take whole
+blocks only: a sentence that begins like all others keeps its beginning.
 
 On a page with an article, loose text outside it is not the article's and goes
-too; on other pages the unique loose runs are the main text.
+too; on other pages the loose text that is left is the main text.
 """
 
 from __future__ import annotations
@@ -25,18 +32,25 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import Memo, durable, small_batches
 
-#: Tokens of the shortest repeated substring that counts as boilerplate.
+#: Tokens of the shortest repeated substring that counts across the edges of blocks.
 WINDOW = 10
+#: Share of a host's distinct pages from which repeated text is furniture, and the least number of them.
+SHARE, MIN_PAGES = 0.5, 3
+#: Tokens are counted by this many hash values a host, which bounds their counts from above.
+BUCKETS = 1 << 14
+#: Found digests of all hosts up to this many are broadcast, so that pages need not move.
+_BROADCAST = 1_000_000
 ARTICLE, FURNITURE, LOOSE = 0, 1, 2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>])*)(?:>|\Z)|([^<]+|<)", re.S)
@@ -140,10 +154,10 @@ def page_blocks(page: str) -> list[Block]:
     return out
 
 
-def host_of(url: str | None) -> str:
-    """Lower-case host of a URL, empty where there is none."""
-    m = re.match(r"\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return m[1].lower() if m else ""
+def host_of(url: str) -> Column:
+    """Digest of the lower-case host of a URL column; all rows without one share a host."""
+    host = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    return F.xxhash64(F.lower(host))
 
 
 def window_digests(tokens: np.ndarray, width: int = WINDOW) -> np.ndarray:
@@ -173,76 +187,142 @@ def suffix_ranks(tokens: np.ndarray, width: int = WINDOW) -> np.ndarray:
     return rank
 
 
+_HASHES = Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), 200_000)
+
+
 def _hash(words: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
+    return np.array([_HASHES[w] for w in words], np.uint64)
+
+
+def page_digest(blocks: list[Block]) -> int:
+    """Digest of a page's text outside marked furniture (of all its text where there is no other)."""
+    kept = [b for b in blocks if b.zone != FURNITURE] or blocks
+    text = "\n".join(f"{b.zone}{b.text}" for b in kept)
+    return int(np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))).astype(np.int64))
+
+
+def _streams(blocks: list[Block]) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """Runs of neighbouring blocks in or outside the article: whether in it, each token's block number, the tokens."""
+    for article, run in groupby(enumerate(blocks), lambda x: x[1].zone == ARTICLE):
+        words, block = [], []
+        for i, b in run:
+            found = b.text.split(" ")
+            words += found
+            block += [i] * len(found)
+        yield article, np.array(block), _hash(words)
 
 
-def _candidates(blocks: list[Block]) -> list[tuple[int, list[str]]]:
-    """(block number, tokens) of the blocks outside the article."""
-    return [(i, b.text.split(" ")) for i, b in enumerate(blocks) if b.zone != ARTICLE]
+def _short_blocks(block: np.ndarray, tokens: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(start, end, digest) of the blocks of a stream that are shorter than a window."""
+    start = np.flatnonzero(np.diff(block, prepend=-1)).tolist()
+    for lo, hi in zip(start, [*start[1:], len(block)]):
+        if hi - lo < WINDOW:
+            yield lo, hi, xxhash.xxh64_intdigest(tokens[lo:hi].tobytes())
+
+
+def _host_tokens(batches) -> Iterator[pa.RecordBatch]:
+    """Per batch: pages by (host, hashed token), and the digest and id of every page."""
+    for batch in batches:
+        seen: dict[int, list[np.ndarray]] = {}
+        known: set[tuple[int, int, int]] = set()
+        for part in small_batches([batch]):
+            for page, host, text in zip(*(part.column(c).to_pylist() for c in ("page", "host", "html"))):
+                if blocks := page_blocks(text):
+                    known.add((host, page_digest(blocks), page))
+                    words = {w for b in blocks for w in b.text.split(" ")}
+                    seen.setdefault(host, []).append(np.unique(_hash(list(words)) % np.uint64(BUCKETS)).astype(np.int32))
+        if known:
+            host, digest, page = zip(*known)
+            n = len(host)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(host, pa.int64()), pa.nulls(n, pa.int32()), pa.array(digest, pa.int64()), pa.array(page, pa.int64()),
+                 pa.array([1] * n, pa.int64())], names=["host", "bucket", "copy", "page", "n"])
+        for host, found in seen.items():
+            bucket, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(n), host, np.int64)), pa.array(bucket), pa.nulls(len(n), pa.int64()),
+                 pa.nulls(len(n), pa.int64()), pa.array(n.astype(np.int64))], names=["host", "bucket", "copy", "page", "n"])
 
 
 def _host_windows(batches) -> Iterator[pa.RecordBatch]:
-    """Per batch and host: the stream's distinct windows with the first and last page that has each."""
+    """Per batch and host: the distinct windows and short blocks of possible tokens with the pages that have each."""
+    names = ["host", "digest", "copy", "page", "article"]
     for batch in batches:
-        hosts: dict[str, list[tuple[object, np.ndarray]]] = {}
+        hosts: dict[int, list[tuple[int, int, bool, np.ndarray]]] = {}
+        short: set[tuple] = set()
         for part in small_batches([batch]):
-            for page, url, text in zip(*(part.column(c).to_pylist() for c in ("page", "url", "html"))):
-                for _, words in _candidates(page_blocks(text)):
-                    if len(words) >= WINDOW:
-                        hosts.setdefault(host_of(url), []).append((page, _hash(words)))
-        for host, streams in hosts.items():
-            stream = np.concatenate([t for _, t in streams])
-            size = np.array([len(t) for _, t in streams])
-            page = np.repeat(np.array([p for p, _ in streams], np.int64), size)
+            possible: dict[int, np.ndarray] = {}
+            for n, (page, host, text) in enumerate(zip(*(part.column(c).to_pylist() for c in ("page", "host", "html")))):
+                if host not in possible:
+                    possible[host] = np.zeros(BUCKETS, bool)
+                    possible[host][part.column("found")[n].values.to_numpy()] = True
+                blocks = page_blocks(text)
+                copy = page_digest(blocks)
+                for article, block, tokens in _streams(blocks):
+                    may = possible[host][tokens % np.uint64(BUCKETS)]
+                    edge = np.flatnonzero(np.diff(may, prepend=False, append=False)).reshape(-1, 2)
+                    for lo, hi in edge[edge[:, 1] - edge[:, 0] >= WINDOW].tolist():
+                        hosts.setdefault(host, []).append((copy, page, article, tokens[lo:hi]))
+                    for lo, hi, digest in _short_blocks(block, tokens):
+                        if may[lo:hi].all():
+                            short.add((host, digest, copy, page, article))
+        if short:
+            host, digest, copy, page, article = zip(*short)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(host, pa.int64()), pa.array(np.array(digest, np.uint64).view(np.int64)), pa.array(copy, pa.int64()),
+                 pa.array(page, pa.int64()), pa.array(article, pa.bool_())], names=names)
+        for host, runs in hosts.items():
+            stream = np.concatenate([t for *_, t in runs])
+            size = np.array([len(t) for *_, t in runs])
+            copy, page, article = (np.repeat(np.array([r[k] for r in runs], kind), size)
+                                   for k, kind in enumerate((np.int64, np.int64, np.bool_)))
             last = np.repeat(np.cumsum(size), size)
-            inside = np.arange(len(stream)) + WINDOW <= last  # windows do not cross blocks
-            at = np.flatnonzero(inside)
+            at = np.flatnonzero(np.arange(len(stream)) + WINDOW <= last)  # windows do not cross runs
             rank = suffix_ranks(stream)[at]
-            order = np.lexsort((page[at], rank))  # the suffix array, equal prefixes by page
+            order = np.lexsort((article[at], page[at], copy[at], rank))  # the suffix array, equal prefixes by page
             at, rank = at[order], rank[order]
-            first = np.flatnonzero(np.diff(rank, prepend=-1))
-            end = np.append(first[1:], len(rank)) - 1
-            digest = window_digests(stream)[at[first]]
+            new = np.ones(len(at), bool)
+            new[1:] = np.any([x[1:] != x[:-1] for x in (rank, copy[at], page[at], article[at])], axis=0)
+            digest = window_digests(stream)[at[new]].view(np.int64)
+            at = at[new]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([host] * len(first), pa.string()), pa.array(digest.view(np.int64)),
-                 pa.array(page[at[first]]), pa.array(page[at[end]])], names=["host", "digest", "low", "high"])
-
+                [pa.array(np.full(len(at), host, np.int64)), pa.array(digest), pa.array(copy[at]), pa.array(page[at]),
+                 pa.array(article[at])], names=names)
 
-def _page_windows(batches) -> Iterator[pa.RecordBatch]:
-    """The windows of loose blocks of pages without an article: where boilerplate may have to go."""
-    for batch in small_batches(batches):
-        rows: list[tuple] = []
-        for page, url, text in zip(*(batch.column(c).to_pylist() for c in ("page", "url", "html"))):
-            blocks = page_blocks(text)
-            if any(b.zone == ARTICLE for b in blocks):
-                continue
-            host = host_of(url)
-            for i, words in _candidates(blocks):
-                if blocks[i].zone == LOOSE and len(words) >= WINDOW:
-                    rows += [(page, host, d, i, at) for at, d in enumerate(window_digests(_hash(words)).view(np.int64).tolist())]
-        for lo in range(0, len(rows), 50_000):
-            cols = list(zip(*rows[lo:lo + 50_000]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()),
-                 pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32())], names=["page", "host", "digest", "block", "at"])
 
+def main_text(page: str, repeated: np.ndarray | None = None, in_articles: np.ndarray | None = None) -> str:
+    """Article blocks, or, on a page without an article, loose blocks, without what is repeated.
 
-def main_text(page: str, covered: list[tuple[int, int]] | None = None) -> str:
-    """Article blocks, or, on a page without an article, the loose runs no window in ``covered`` lies on."""
+    ``repeated``: digests of the host's repeated windows and short blocks;
+    ``in_articles``: those of them that go from articles too.
+    """
     blocks = page_blocks(page)
-    if any(b.zone == ARTICLE for b in blocks):
-        return "\n".join(b.text for b in blocks if b.zone == ARTICLE)
-    gone: dict[int, set[int]] = {}
-    for block, at in covered or ():
-        gone.setdefault(block, set()).update(range(at, at + WINDOW))
+    main = ARTICLE if any(b.zone == ARTICLE for b in blocks) else LOOSE
+    away = in_articles if main == ARTICLE else repeated
+    gone: dict[int, np.ndarray] = {}
+    if away is not None and len(away):
+        for article, block, tokens in _streams(blocks):
+            if article != (main == ARTICLE):
+                continue
+            covered, inside = np.zeros(len(tokens), bool), np.zeros(len(tokens), bool)
+            for at in np.flatnonzero(np.isin(window_digests(tokens), away)).tolist():
+                covered[at:at + WINDOW] = True
+                if block[at] == block[at + WINDOW - 1]:
+                    inside[at:at + WINDOW] = True
+            for lo, hi, digest in _short_blocks(block, tokens):
+                if np.uint64(digest) in away:
+                    covered[lo:hi] = True
+            for i in np.unique(block[covered]).tolist():
+                here = block == i
+                # windows from a neighbour take a block as a whole or not at all
+                gone[i] = covered[here] if covered[here].all() else inside[here]
     out = []
     for i, b in enumerate(blocks):
-        if b.zone != LOOSE:
+        if b.zone != main:
             continue
         text = b.text
         if i in gone:
-            text = " ".join(w for k, w in enumerate(text.split(" ")) if k not in gone[i])
+            text = " ".join(w for w, off in zip(text.split(" "), gone[i].tolist()) if not off)
         if text:
             out.append(text)
     return "\n".join(out)
@@ -250,13 +330,45 @@ def main_text(page: str, covered: list[tuple[int, int]] | None = None) -> str:
 
 def _extract(batches) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches):
-        texts = [main_text(page, [(c["block"], c["at"]) for c in covered or ()])
-                 for page, covered in zip(batch.column("html").to_pylist(), batch.column("covered").to_pylist())]
+        found, texts = {}, []
+        for n, (host, page) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist())):
+            if host not in found:
+                lists = (batch.column(c)[n].values for c in ("found", "in_articles"))
+                found[host] = [None if x is None else x.to_numpy().view(np.uint64) for x in lists]
+            texts.append(main_text(page, *found[host]))
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
              pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
+def _by_host(pages: DataFrame, hosts: DataFrame, how: str) -> DataFrame:
+    """``pages`` with what was found on their host; ``hosts`` is durable and broadcast where it is measured to be small."""
+    size = hosts.agg(F.sum(F.size("found") + 1)).first()[0] or 0
+    return pages.join(F.broadcast(hosts) if size <= _BROADCAST else hosts, "host", how)
+
+
+def repeated_text(rows: DataFrame) -> DataFrame:
+    """``host, found, in_articles``: digests of the repeated windows and short blocks of each host of ``page, host, html``."""
+    counts = durable(rows.mapInArrow(_host_tokens, "host long, bucket int, copy long, page long, n long")
+                     .groupBy("host", "bucket", "copy").agg(F.min("page").alias("page"), F.sum("n").alias("n"))
+                     .where((F.col("n") >= MIN_PAGES) | F.col("bucket").isNull()))
+    # pages with one text are one page, and so are rows with one id
+    total = (counts.where("bucket is null").select("host", "page").distinct()
+             .groupBy("host").agg(F.count(F.lit(1)).alias("pages")))
+    least = F.greatest(F.lit(MIN_PAGES), F.col("pages") * SHARE)
+    possible = durable(counts.where("bucket is not null").join(total, "host").where(F.col("n") >= least)
+                       .groupBy("host").agg(F.collect_list("bucket").alias("found")))
+    windows = (_by_host(rows, possible, "inner").select("page", "host", "html", "found")
+               .mapInArrow(_host_windows, "host long, digest long, copy long, page long, article boolean")
+               .groupBy("host", "digest", "copy").agg(F.min("page").alias("page"), F.max("article").alias("article"))
+               .groupBy("host", "digest", "page").agg(F.max(F.col("article").cast("int")).alias("article"))
+               .groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n"), F.sum("article").alias("n_articles"))
+               .where(F.col("n") >= MIN_PAGES))
+    return durable(windows.join(total, "host").where(F.col("n") >= least).groupBy("host").agg(
+        F.collect_list("digest").alias("found"),
+        F.collect_list(F.when(F.col("n_articles") >= MIN_PAGES, F.col("digest"))).alias("in_articles")))
+
+
 def extract_pages(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page; ``text`` is empty where there is none.
 
@@ -264,16 +376,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     page_id are one page for the count of distinct pages, and each gets its
     text; an empty table gives no rows.
     """
-    rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(-1)).alias("page"), "url",
-                        F.coalesce("html", F.lit("")).alias("html"))
-    repeated = (rows.mapInArrow(_host_windows, "host string, digest long, low long, high long")
-                .groupBy("host", "digest").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-                .where("low <> high").select("host", "digest"))
-    covered = (rows.mapInArrow(_page_windows, "page long, host string, digest long, block int, at int")
-               .join(repeated, ["host", "digest"])
-               .groupBy("page").agg(F.collect_set(F.struct("block", "at")).alias("covered")))
-    whole = pages.select(F.col("page_id").cast("long").alias("page_id"), "url",
-                         F.coalesce("html", F.lit("")).alias("html"),
-                         F.coalesce(F.col("page_id").cast("long"), F.lit(-1)).alias("page"))
-    return (whole.join(covered, "page", "left").select("page_id", "url", "html", "covered")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"),
+                        F.coalesce(F.col("page_id").cast("long"), F.lit(-1)).alias("page"), host_of("url").alias("host"))
+    found = repeated_text(rows.select("page", "host", "html"))
+    return (_by_host(rows.drop("page"), found, "left").select("page_id", "url", "html", "host", "found", "in_articles")
             .mapInArrow(_extract, "page_id long, url string, text string, n_chars long"))
