@@ -216,6 +216,13 @@ def test_unmarked_notices_in_articles_go(spark):
         assert got[n] == f"{story(n)} {story(999)}"
 
 
+def test_short_blocks_of_a_host_go(spark):
+    menu = "<ul><li>Home</li><li>World news</li><li>Sport</li><li>Letters to the editor</li><li>About us all</li></ul>"
+    rows = [(n, "http://h.example/", f"{menu}<div>{story(n)}</div><div>By {n}</div><div>All rights reserved</div>") for n in range(9)]
+    got = extracted(spark, rows)
+    assert all(got[n] == f"{story(n)}\nBy {n}" for n in range(9))
+
+
 def test_extraction_gives_the_articles(spark):
     for r in html.extract_pages(read_table(spark, SF, "pages")).join(read_table(spark, SF, "pages").select("page_id", "html"), "page_id").collect():
         article = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
