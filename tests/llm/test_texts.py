@@ -223,6 +223,16 @@ def test_short_blocks_of_a_host_go(spark):
     assert all(got[n] == f"{story(n)}\nBy {n}" for n in range(9))
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    notice = "this paper is free for all of its readers every day of the week"
+    rows = [(n, "http://h.example/", f"<div>{story(n // 4)}</div><div>{notice}</div>") for n in range(16)]
+    rows += [(n, "http://two.example/", f"<div>{story(7)}</div>") for n in range(20, 24)]  # one page, four times
+    rows += [(30, "http://h.example/", f"<div>{story(30)} {story(99)}</div>"), (31, "http://h.example/", f"<div>{story(31)} {story(99)}</div>")]
+    got = extracted(spark, rows)
+    assert all(got[n] == story(n // 4) for n in range(16)) and all(got[n] == story(7) for n in range(20, 24))
+    assert all(got[n] == f"{story(n)} {story(99)}" for n in (30, 31))
+
+
 def test_extraction_gives_the_articles(spark):
     for r in html.extract_pages(read_table(spark, SF, "pages")).join(read_table(spark, SF, "pages").select("page_id", "html"), "page_id").collect():
         article = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
