@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from textlab.llm import lines as L
 from textlab.llm.common import components, numbered, durable
 from textlab.llm.exact import exact_groups
-from textlab.llm.shards import balanced_shards, quotas
+from textlab.llm.shards import balanced_shards, flows, quotas
 from textlab.llm.simhash import block_masks, fingerprint, near_duplicates, one_of_each
 from tests.llm.conftest import ODD
 
@@ -93,6 +93,31 @@ def test_shards_split_a_group_larger_than_a_shard(docs_of):
     assert sum(n > 60 for n in held.values()) >= 2  # 200 copies, 75 rows a shard
 
 
+def test_shards_where_every_row_has_copies(docs_of):
+    rng = random.Random(9)
+    texts = [(i, f"text {i // 2 if i < 800 else 400 + i // 4}") for i in range(1200)]
+    rng.shuffle(texts)
+    rows = balanced_shards(docs_of(texts)).collect()
+    check_shards(rows, texts)
+    spread = defaultdict(set)
+    for r in rows:
+        spread[r["text_crc32"]].add(r["shard"])
+    assert sum(len(s) > 1 for s in spread.values()) <= 0.1 * len(spread)  # by hash alone 9 of 10
+
+
+def test_flows_keep_quotas():
+    rng = random.Random(4)
+    for _ in range(200):
+        asked = {(s, t): rng.randrange(50) for s in range(8) for t in range(8) if s != t and rng.random() < 0.4}
+        free = [rng.randrange(9) * (rng.random() < 0.3) for _ in range(8)]
+        got = flows(asked, free)
+        assert all(0 <= got[p] <= asked[p] for p in asked)
+        for s in range(8):
+            assert sum(n for (_, t), n in got.items() if t == s) - sum(n for (f, _), n in got.items() if f == s) <= free[s]
+    assert flows({(0, 1): 5, (1, 0): 3}, [0, 0]) == {(0, 1): 3, (1, 0): 3}
+    assert flows({(0, 1): 5, (1, 2): 3}, [0, 0, 2]) == {(0, 1): 2, (1, 2): 2}
+
+
 def brute_exact(texts):
     groups = defaultdict(list)
     for n, (i, t) in enumerate(texts):

@@ -4,9 +4,12 @@ Documents are linked through hubs (here: equal texts), so a group with
 millions of members costs one row a member, not one a pair.  All rows start in
 a shard by hash.  In a round, each hub counts its members by shard (combined
 before the shuffle), each linked document adds up the counts of its hubs and
-asks for the shard with the most neighbours that still has room.  Requests are
-granted under the quota of the target; a document that stays put keeps its
-label.  Quotas count linked documents only: unlinked ones cut no edge wherever
+asks for the shard with the most neighbours, in every other round for the best
+one that still has room.  Requests are granted as far as the target has room or
+as many documents leave it: along exchanges between two shards, rings of shards
+and chains that end at a shard with room.  A document that stays put keeps its
+label.  Rounds end when neither kind brings more equal texts together.
+Quotas count linked documents only: unlinked ones cut no edge wherever
 they go, so they fill the shards up to the exact quota at the end.
 """
 
@@ -18,8 +21,7 @@ from pyspark.sql import functions as F
 from .common import durable, numbered, text_or_empty
 
 SHARDS = 8
-MAX_ROUNDS = 12
-#: Steps of the request histogram that is read by the driver: SHARDS x STEPS rows at most.
+#: Steps of the request histogram that is read by the driver: SHARDS x SHARDS x STEPS rows at most.
 STEPS = 256
 _FINE = 1_000_000
 
@@ -29,64 +31,109 @@ def quotas(n: int, shards: int) -> list[int]:
     return [n // shards + (s < n % shards) for s in range(shards)]
 
 
-def _best(shards: int, free: list[int]):
+def _best(shards: int, open_to: list[bool]):
     """The shard a document asks for: most neighbours, ties by a hash that linked
-    documents share; a full shard counts only for those already in it."""
+    documents share; one that is not open counts only for those already in it."""
     votes = [F.col(f"v{s}") for s in range(shards)]
-    choices = [F.when(F.lit(free[s] > 0) | (F.col("shard") == s),
-                      F.struct(votes[s].alias("v"), F.xxhash64(*votes, F.lit(s)).alias("tie"),
+    choices = [F.when(F.lit(open_to[s]) | (F.col("shard") == s),
+                      F.struct(votes[s].alias("v"), F.xxhash64("link", F.lit(s)).alias("tie"),
                                F.lit(s).alias("s"))) for s in range(shards)]
     return F.greatest(*choices)["s"]
 
 
-def _grants(rows, free: list[int]) -> tuple[dict[int, tuple[int, float]], int]:
-    """Per target: the first step not granted in full and the share of it granted."""
-    asked: dict[int, dict[int, int]] = {}
+def _route(left: dict[tuple[int, int], int], start: int, room: list[int]) -> list[int]:
+    """The shortest way along requests from ``start`` to a shard with room or back to itself, empty if none."""
+    ways, seen = [[start]], {start}
+    for way in ways:
+        for t in range(len(room)):
+            if left.get((way[-1], t), 0) > 0:
+                if t == start or room[t] > 0:
+                    return [*way, t]
+                if t not in seen:
+                    seen.add(t)
+                    ways.append([*way, t])
+    return []
+
+
+def flows(asked: dict[tuple[int, int], int], free: list[int]) -> dict[tuple[int, int], int]:
+    """Granted requests by (from, to): no shard gains more than its room, every step of a route moves as many."""
+    left, room = dict(asked), list(free)
+    while True:
+        routes = [r for s in range(len(free)) if (r := _route(left, s, room))]
+        if not routes:
+            return {pair: n - left[pair] for pair, n in asked.items()}
+        route = min(routes, key=len)
+        pairs = list(zip(route, route[1:]))
+        n = min(left[p] for p in pairs)
+        if route[0] != route[-1]:
+            n = min(n, room[route[-1]])
+            room[route[-1]] -= n
+            room[route[0]] += n
+        for p in pairs:
+            left[p] -= n
+
+
+def _grants(rows, free: list[int]) -> tuple[dict[tuple[int, int], tuple[int, float]], int]:
+    """Per (from, to): the first step not granted in full and the share of it granted."""
+    asked: dict[tuple[int, int], dict[int, int]] = {}
     for r in rows:
-        asked.setdefault(r["want"], {})[r["step"]] = r["n"]
-    cuts, granted = {}, 0
-    for target, steps in asked.items():
-        room, cut, share = free[target], STEPS, 0.0
+        asked.setdefault((r["shard"], r["want"]), {})[r["step"]] = r["n"]
+    granted = flows({pair: sum(steps.values()) for pair, steps in asked.items()}, free)
+    cuts = {}
+    for pair, steps in asked.items():
+        room, cut, share = granted[pair], STEPS, 0.0
         for step in sorted(steps):
             if steps[step] > room:
                 cut, share = step, room / steps[step]
-                granted += room
                 break
             room -= steps[step]
-            granted += steps[step]
-        cuts[target] = (cut, share)
-    return cuts, granted
+        cuts[pair] = (cut, share)
+    return cuts, sum(granted.values())
 
 
-def propagate(links: DataFrame, state: DataFrame, quota: list[int], max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """Rounds of moves over ``links`` (row, hub) from ``state`` (row, shard)."""
+def propagate(links: DataFrame, state: DataFrame, quota: list[int], max_rounds: int | None = None) -> DataFrame:
+    """Rounds of moves over ``links`` (row, hub) from ``state`` (row, shard) until two in a row gain nothing."""
     shards = len(quota)
-    for turn in range(max_rounds):
-        held = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-        free = [max(0, quota[s] - held.get(s, 0)) for s in range(shards)]
-        # durable, so that the join on hub has an exchange on either side and a hot hub can be split
-        hubs = durable(links.join(state, "row").groupBy("hub")
-                       .agg(*[F.sum((F.col("shard") == s).cast("long")).alias(f"v{s}") for s in range(shards)]))
-        votes = (links.join(hubs, "hub").groupBy("row")
-                 .agg(*[F.sum(f"v{s}").alias(f"v{s}") for s in range(shards)]))
-        step = F.pmod(F.xxhash64(*[f"v{s}" for s in range(shards)], F.lit(turn)), F.lit(STEPS)).cast("int")
-        wants = durable(votes.join(state, "row").withColumn("want", _best(shards, free))
+    best, best_state, idle, moved, turn = -1, state, 0, True, 0
+    while idle < 2 and (max_rounds is None or turn < max_rounds):
+        if moved:
+            held = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
+            free = [max(0, quota[s] - held.get(s, 0)) for s in range(shards)]
+            # durable, so that the join on hub has an exchange on either side and a hot hub can be split
+            hubs = durable(links.join(state, "row").groupBy("hub")
+                           .agg(*[F.sum((F.col("shard") == s).cast("long")).alias(f"v{s}") for s in range(shards)]))
+            together = [F.sum(F.col(f"v{s}").cast("decimal(19,0)") * F.col(f"v{s}")) for s in range(shards)]
+            value = sum(n or 0 for n in hubs.agg(*together).first())
+            if value > best:
+                best, best_state, idle = value, state, 0
+            else:
+                idle += 1
+                if idle == 2:
+                    break
+            votes = (links.join(hubs, "hub").groupBy("row")
+                     .agg(F.min(F.xxhash64("hub")).alias("link"), *[F.sum(f"v{s}").alias(f"v{s}") for s in range(shards)]))
+        open_to = [turn % 2 == 0 or n > 0 for n in free]
+        step = F.pmod(F.xxhash64("link", F.lit(turn)), F.lit(STEPS)).cast("int")
+        wants = durable(votes.join(state, "row").withColumn("want", _best(shards, open_to))
                         .select("row", "shard", "want", step.alias("step")))
-        asked = (wants.where("want <> shard").groupBy("want", "step")
+        asked = (wants.where("want <> shard").groupBy("shard", "want", "step")
                  .agg(F.count(F.lit(1)).alias("n")).collect())
         cuts, granted = _grants(asked, free)
-        if not granted:
-            break
-        dice = F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(_FINE)) / F.lit(float(_FINE))
-        yes = F.lit(False)
-        for target, (cut, share) in cuts.items():
-            yes = yes | ((F.col("want") == target)
-                         & ((F.col("step") < cut) | ((F.col("step") == cut) & (dice < share))))
-        state = durable(wants.select("row", F.when(yes, F.col("want")).otherwise(F.col("shard")).alias("shard")))
-    return state
-
-
-def balanced_shards(docs: DataFrame, shards: int = SHARDS, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+        moved = granted > 0
+        if moved:
+            dice = F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(_FINE)) / F.lit(float(_FINE))
+            yes = F.lit(False)
+            for (source, target), (cut, share) in cuts.items():
+                yes = yes | ((F.col("shard") == source) & (F.col("want") == target)
+                             & ((F.col("step") < cut) | ((F.col("step") == cut) & (dice < share))))
+            state = durable(wants.select("row", F.when(yes, F.col("want")).otherwise(F.col("shard")).alias("shard")))
+        else:
+            idle += 1
+        turn += 1
+    return best_state
+
+
+def balanced_shards(docs: DataFrame, shards: int = SHARDS, max_rounds: int | None = None) -> DataFrame:
     """Shard and slot of every row: ``doc_id, size, text_crc32, shard, slot``.
 
     Counts of any two shards differ by one at most; slots run from 0 without
