@@ -313,6 +313,13 @@ def test_lines_are_taken_out(docs_of):
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "doc", "removed"]
 
 
+def test_lines_without_spaces_take_part(docs_of):
+    url = "https://news.example.org/archive/2024/05/index.html?page="
+    texts = [(i, f"版权所有不得转载\nสงวนลิขสิทธิ์ทั้งหมด\n{url}{i}\n这一行只在第{'零一二三'[i]}篇里") for i in range(4)]
+    got = {r["doc_id"]: r["removed"] for r in L.line_report(docs_of(texts)).collect()}
+    assert got == {0: [], 1: [0, 1, 2], 2: [0, 1, 2], 3: [0, 1, 2]}
+
+
 def test_lines_of_odd_rows(docs_of):
     assert L.line_report(docs_of(ODD)).count() == len(ODD)
     assert L.line_report(docs_of([])).count() == 0
