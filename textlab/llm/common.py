@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textlab.session import ensure_checkpoint_dir
+from textlab.session import ensure_checkpoint_dir, scratch_path
 
 
 _SHIPPED = "textlab_code.zip"
@@ -42,6 +42,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read from there; its lineage ends there too."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_or_empty(col: str = "text") -> Column:
     """The text column with null read as the empty text."""
     return F.coalesce(F.col(col), F.lit(""))
@@ -67,6 +74,26 @@ def numbered(df: DataFrame, key: str, order: Sequence[str], name: str = "rank",
             .drop("__b", "__r", "__o"))
 
 
+def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """Gapless numbers from 1 in the given order over the whole of ``df``.
+
+    Rows are dealt out by ranges of the order and sorted there; a row's number is
+    its place in its range plus the sizes of the ranges before, one number a
+    partition.  No task gets more than a range.
+    """
+    spark = df.sparkSession
+    ranges = durable(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                     .withColumn("__part", F.spark_partition_id())
+                     .withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    before, offsets = 0, []
+    for part, n in sorted(ranges.groupBy("__part").count().collect()):
+        offsets.append((part, before))
+        before += n
+    table = spark.createDataFrame(offsets, "__part int, __before long")
+    return (ranges.join(F.broadcast(table), "__part")
+            .withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before"))
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components: ``(node, root)`` for every node of ``edges``.
 
