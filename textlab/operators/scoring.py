@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CLASS_WEIGHTS, ENSEMBLE_THRESHOLD, ENSEMBLE_WEIGHTS
 from ..functions.scores import argmax2, argmax_k, prob_class1, softmax_k
-from .common import r6
+from .common import attach, r6
 
 
 def member_probs(logits: DataFrame) -> DataFrame:
@@ -41,6 +41,27 @@ def soft_vote(aligned: DataFrame, weights: dict | None = None,
                           (score > F.lit(threshold) / F.lit(float(k))).cast("int").alias("pred"))
 
 
+def soft_vote_open(probs: DataFrame, weights: DataFrame, threshold: float = ENSEMBLE_THRESHOLD,
+                   key: str = "par_id") -> DataFrame:
+    """The weighted soft vote for an open list of models.
+
+    ``probs``: ``key, model, p``; ``weights``: ``model, weight``, one row a model.
+    The score is one grouped sum of decimals, which is exact, so neither the
+    number of models nor the order of addition shows.  A key that has not
+    exactly one score of every listed model has null score and prediction;
+    scores of models that are not listed do not count.
+    """
+    k = weights.agg(F.count(F.lit(1)).alias("_k"))
+    share = F.round("weight", 6).cast("decimal(12,6)") * F.round("p", 12).cast("decimal(14,12)")
+    votes = (probs.select(key, "model", "p").join(weights, "model").groupBy(key)
+             .agg(F.sum(share).alias("_s"), F.count(F.col("p")).alias("_n"), F.count_distinct("model").alias("_m")))
+    whole = (F.col("_n") == F.col("_k")) & (F.col("_m") == F.col("_k"))
+    limit = F.lit(threshold).cast("decimal(12,6)")
+    return attach(votes, k).select(
+        key, F.when(whole, r6(F.col("_s").cast("double") / F.col("_k"))).alias("ensemble_score"),
+        F.when(whole, (F.col("_s") > limit).cast("int")).alias("pred"))
+
+
 def predictions_long(probs: DataFrame, vote: DataFrame, gold: DataFrame,
                      key: str = "par_id", ensemble_name: str = "Ensemble") -> DataFrame:
     """``(key, model, y, pred, p)`` for every member plus the ensemble."""
@@ -53,11 +74,11 @@ def predictions_long(probs: DataFrame, vote: DataFrame, gold: DataFrame,
 def weighted_log_loss(logits: DataFrame, gold: DataFrame, weights=CLASS_WEIGHTS,
                       key: str = "par_id") -> DataFrame:
     """Class-weighted cross-entropy per model: sum w_y * -ln p_y / sum w_y,
-    with -ln p_y = ln(1 + exp(z_other - z_y))."""
+    with -ln p_y = ln(1 + exp(z_other - z_y)), written so that no margin overflows."""
     j = logits.join(gold, key)
     y = F.col("y")
     margin = F.when(y == 1, F.col("z0") - F.col("z1")).otherwise(F.col("z1") - F.col("z0"))
-    nll = F.log(F.lit(1.0) + F.exp(margin))
+    nll = F.greatest(margin, F.lit(0.0)) + F.log1p(F.exp(-F.abs(margin)))
     w = F.when(y == 1, F.lit(weights[1])).otherwise(F.lit(weights[0]))
     return j.groupBy("model").agg(r6(F.sum(w * nll) / F.sum(w)).alias("weighted_log_loss"),
                                   F.count(F.lit(1)).alias("n"))

@@ -14,6 +14,7 @@ from ..operators import metrics as M
 from ..operators import ml as ML
 from ..operators import prep as PR
 from ..operators import scoring as S
+from ..operators.common import attach
 from ..sources import delimited as IO
 from ..sources import driver as D
 from ..session import scratch_path
@@ -62,9 +63,18 @@ def q_best_by_f1(spark, sf):
     return table
 
 
-@query("best_by_f1_grid", "SELECT * FROM (VALUES (0.0::DOUBLE, true), (0.01::DOUBLE, true), (0.1::DOUBLE, true)) g(reg_param, in_range)")
+_TRAIN_ROWS = f"""{PARA}, {DEV},
+n AS (SELECT count(*) AS n_train FROM para WHERE text IS NOT NULL AND label IS NOT NULL AND par_id NOT IN (SELECT par_id FROM dev))"""
+
+
+@query("best_by_f1_grid", f"""
+WITH {_TRAIN_ROWS}
+SELECT reg_param, n_train, true AS in_range FROM (VALUES (0.0::DOUBLE), (0.01::DOUBLE), (0.1::DOUBLE)) g(reg_param), n""")
 def q_best_by_f1_grid(spark, sf):
-    return q_best_by_f1(spark, sf).select("reg_param", F.col("f1").between(0, 1).alias("in_range"))
+    """The candidates, the rows that they were fitted and validated on, and the range of their F1."""
+    train, _ = _official(spark, sf)
+    n = train.agg(F.count(F.lit(1)).alias("n_train"))
+    return attach(ML.best_by_f1(train)[1].select("reg_param", F.col("f1").between(0, 1).alias("in_range")), n)
 
 
 @query("param_search")
@@ -73,11 +83,16 @@ def q_param_search(spark, sf):
     return ML.param_search(train)
 
 
-@query("param_search_grid", """
-SELECT r.reg_param::DOUBLE AS reg_param, e.elastic_net::DOUBLE AS elastic_net, true AS in_range
-FROM (VALUES (0.01), (0.1)) r(reg_param), (VALUES (0.0), (0.5)) e(elastic_net)""")
+@query("param_search_grid", f"""
+WITH {_TRAIN_ROWS}
+SELECT r.reg_param::DOUBLE AS reg_param, e.elastic_net::DOUBLE AS elastic_net, n_train, true AS in_range
+FROM (VALUES (0.01), (0.1)) r(reg_param), (VALUES (0.0), (0.5)) e(elastic_net), n""")
 def q_param_search_grid(spark, sf):
-    return q_param_search(spark, sf).select("reg_param", "elastic_net", F.col("objective").between(0, 1).alias("in_range"))
+    """The grid, the rows that its folds were cut from, and the range of the objective."""
+    train, _ = _official(spark, sf)
+    n = train.agg(F.count(F.lit(1)).alias("n_train"))
+    found = ML.param_search(train).select("reg_param", "elastic_net", F.col("objective").between(0, 1).alias("in_range"))
+    return attach(found, n)
 
 
 @query("model_roundtrip", f"WITH {DEV}\nSELECT count(*) AS n, count(*) AS n_equal FROM dev")
@@ -153,8 +168,11 @@ def q_class_weighted_members(spark, sf):
 def q_external_batch_scores(spark, sf):
     """K-class scoring through the external-model hook: a model fitted by
     Spark ML on the embeddings is exported as numpy weights and applied with
-    ``predict_batch_udf``; its prediction is reported next to Spark's own."""
+    ``predict_batch_udf``; its prediction is reported next to Spark's own.
+    Without embeddings there is nothing to fit, and no row."""
     emb = D.table(spark, sf, "embeddings")
+    if emb.isEmpty():
+        return spark.createDataFrame([], "vec_id long, y int, pred_external int, pred_spark int")
     model = ML.fit_k_class(emb)
     dim = len(emb.select("embedding").first()[0])
     scorer = ML.external_scorer(model.coefficientMatrix.toArray(), model.interceptVector.toArray(), dim)

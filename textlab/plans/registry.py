@@ -28,4 +28,5 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every query module so they register themselves."""
     from . import (lexical_queries, length_queries, prep_queries,  # noqa: F401
-                   profile_queries, scoring_queries, io_queries, ml_queries)
+                   profile_queries, scoring_queries, io_queries, ml_queries, model_queries,
+                   level_queries)

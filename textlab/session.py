@@ -11,10 +11,13 @@ import os
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_SHIPPED = "textlab_code.zip"
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
@@ -68,3 +71,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     return "/".join((ensure_checkpoint_dir(spark).rstrip("/"), "textlab-io", f"{name}-{uuid.uuid4().hex}"))
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors where their path does not hold it."""
+    root = Path(__file__).resolve().parent
+    sc = spark.sparkContext
+    if str(root.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or _SHIPPED in sc._python_includes:
+        return
+    file = Path(tempfile.mkdtemp(prefix="textlab-code-")) / _SHIPPED
+    with zipfile.ZipFile(file, "w") as z:
+        for source in root.rglob("*.py"):
+            z.write(source, source.relative_to(root.parent))
+    sc.addPyFile(str(file))

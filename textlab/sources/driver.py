@@ -173,6 +173,18 @@ def member_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("par_id", F.inline(F.array(*members)))
 
 
+def open_member_logits(spark: SparkSession, sf_dir: str, members: int) -> DataFrame:
+    """``(par_id, model, z0, z1)`` for ``members`` members named ``member_1`` and on: the stand-in for
+    the outputs of an open model list, derived like :func:`member_logits`."""
+    p = paragraphs(spark, sf_dir, with_text=False).select("par_id", "label")
+    i = F.col("i")
+    sign = (F.col("label") >= 2).cast("double") * 2.0 - 1.0
+    noise = ((F.col("par_id") * (F.lit(17) + i * 6)) % 97 - 48).cast("double") / 24.0
+    return (p.select("par_id", "label", F.explode(F.sequence(F.lit(1), F.lit(members))).alias("i"))
+            .select("par_id", F.concat(F.lit("member_"), i.cast("string")).alias("model"),
+                    F.lit(0.0).alias("z0"), (sign * i / 5.0 + noise).alias("z1")))
+
+
 def gold_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(par_id, y)`` binary gold labels of the labelled rows."""
     return paragraphs(spark, sf_dir, with_text=False).select(
