@@ -12,7 +12,9 @@ SUBSET = ["rate_by_keyword", "log_odds", "distinctive_terms", "top_bigrams", "le
           "length_histogram", "stratified_split", "soft_vote", "classification_report",
           "artifact_profile", "clean_text", "scan_paragraphs", "submission_rows", "official_dev",
           "span_check", "k_class_scores", "dedup_ids", "strict_lookup", "split_leakage", "sample_docs",
-          "top_bigrams_cross_doc", "duplicate_profile", "truncated_texts"]
+          "top_bigrams_cross_doc", "duplicate_profile", "truncated_texts",
+          "length_levels", "counts_rollup", "labels_by_keyword", "vocabulary_sketches", "soft_vote_seven",
+          "bayes_dev_scores", "epoch_history", "checkpoint_choice", "subword_bytes"]
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +32,8 @@ def test_every_query_has_oracle_or_is_ml():
     from textlab.plans import ORACLE, QUERIES, load_all
     load_all()
     assert set(QUERIES) - set(ORACLE) == {"train_members", "best_by_f1", "param_search", "score_unlabelled",
-                                          "class_weighted_members", "external_batch_scores"}
+                                          "class_weighted_members", "external_batch_scores", "halving_search",
+                                          "subword_lengths", "subword_percentiles"}
 
 
 def test_entry_runs(spark):

@@ -263,15 +263,18 @@ def _flag_profile(df: DataFrame, patterns, key: str) -> DataFrame:
 def artifact_profile(flags: DataFrame, texts: DataFrame, key: str = "par_id", text: str = "text",
                      example_len: int = 150) -> DataFrame:
     """Noise patterns: documents, share and one example.  ``flags`` holds the ids
-    and flags only; the examples' texts (one a pattern) are fetched by id."""
+    and flags only; the examples' texts (one a pattern, of a repeated id the first in
+    text order) are fetched by id."""
     found = _flag_profile(flags, ARTIFACT_PATTERNS, key).collect()  # one row a pattern
     spark = texts.sparkSession
     counts = spark.createDataFrame([tuple(r) for r in found],
                                    f"pattern string, n_docs long, pct double, _key {dict(texts.dtypes)[key]}")
     wanted = [r["_key"] for r in found if r["_key"] is not None]
-    head = (texts.where(F.col(key).isin(wanted))
-            .select(F.col(key).alias("_key"), F.substring(text, 1, example_len).alias("example")))
-    return counts.join(head, "_key", "left").select("pattern", "n_docs", "pct", "example")
+    flag = pattern_flags(ARTIFACT_PATTERNS, text)
+    head = (texts.where(F.col(key).isin(wanted)).groupBy(F.col(key).alias("_key"))
+            .agg(*[F.min(F.when(hit, F.substring(text, 1, example_len))).alias(f"_{name}") for name, hit in flag.items()]))
+    example = F.coalesce(*[F.when(F.col("pattern") == name[2:], F.col(f"_{name}")) for name in flag])
+    return counts.join(head, "_key", "left").select("pattern", "n_docs", "pct", example.alias("example"))
 
 
 def pattern_profile(flags: DataFrame, key: str = "par_id") -> DataFrame:
@@ -317,7 +320,7 @@ def extreme_lengths(df: DataFrame, k: int = 5, cut: int = 100, key: str = "par_i
                     text: str = "text", n_tokens: str = "n_tokens") -> DataFrame:
     """Shortest and longest k documents, text cut to ``cut``.  Every document
     is tagged for both ends (longest ranks by the negated length) and ranked
-    per end with the salted top-k, so the text is tokenised once."""
+    per end by one limited window, so the text is tokenised once."""
     ends = F.array(F.struct(F.lit("shortest").alias("side"), F.col(n_tokens).alias("_o")),
                    F.struct(F.lit("longest").alias("side"), (-F.col(n_tokens)).alias("_o")))
     x = df.select(F.col(key), F.col(n_tokens), F.substring(F.col(text), 1, cut).alias("text_head"),
@@ -334,8 +337,8 @@ def class_slice(df: DataFrame, cls: int, key: str = "par_id", text: str = "text"
 
 def category_samples(spans: DataFrame, k: int = 3, cut: int = 80) -> DataFrame:
     """k sample spans per category, picked by a stable hash order, span text
-    cut to ``cut`` characters.  Two-stage salted top-k: a large category is
-    never ranked in one task."""
+    cut to ``cut`` characters.  Every task sends at most k rows a category to
+    the ranking window."""
     order_key = F.md5(F.concat_ws(":", F.col("par_id").cast("string"), F.col("span_start").cast("string")))
     x = spans.select("pcl_category", "par_id", "span_start",
                      F.substring("span_text", 1, cut).alias("span_head"), order_key.alias("_h"))
