@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textlab.session import ensure_checkpoint_dir, scratch_path
-
-
-_SHIPPED = "textlab_code.zip"
+from textlab.session import ensure_checkpoint_dir, scratch_path, ship_code
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,20 +15,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def ship_code(spark: SparkSession) -> None:
-    """Send this package to the executors where their path does not hold it."""
-    import textlab
-    root = Path(textlab.__file__).resolve().parent
-    sc = spark.sparkContext
-    if str(root.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or _SHIPPED in sc._python_includes:
-        return
-    file = Path(tempfile.mkdtemp(prefix="textlab-code-")) / _SHIPPED
-    with zipfile.ZipFile(file, "w") as z:
-        for source in root.rglob("*.py"):
-            z.write(source, source.relative_to(root.parent))
-    sc.addPyFile(str(file))
-
-
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder; its lineage ends there."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -40,10 +40,10 @@ RULES = [
     ("block", "com", "/de/"),
 ]
 
-#: Own list of the method: globs of (host, path) whose pages are blocked where no list rule fits.
+#: Own list of the method: globs of a host and of the beginning of a path whose pages are blocked where no list rule fits.
 BLOCKED = [
-    ("*spam*", "*"), ("*casino*", "*"), ("*viagra*", "*"), ("*pills*", "*"), ("*porn*", "*"),
-    ("*warez*", "*"), ("*adserver*", "*"), ("*", "/wp-admin/*"), ("*", "*/cgi-bin/*"),
+    ("*spam*", ""), ("*casino*", ""), ("*viagra*", ""), ("*pills*", ""), ("*porn*", ""),
+    ("*warez*", ""), ("*adserver*", ""), ("*", "/wp-admin/"), ("*", "*/cgi-bin/"),
 ]
 
 _MARK = 0xFF
