@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,14 +54,15 @@ def word_offsets(split, low: str) -> Iterator[list[tuple[int, int]]]:
         gap = _GAP.search(low, at + _PIECE) if len(low) - at > _PIECE else None
         end = gap.start() if gap else len(low)
         part = low if end - at == len(low) else low[at:end]
-        yield [(at + a, at + b) for _, (a, b) in split.pre_tokenize_str(part) if b > a]
+        pieces = split.pre_tokenize_str(part)
+        yield [(at + a, at + b) for _, (a, b) in pieces] if at else [span for _, span in pieces]
         at = end
 
 
 def document_features(split, bucket, text: str, low_n: int = 1, high_n: int = 1) -> tuple[int, dict[int, int]]:
     """``(words, {bucket: times})`` of one text."""
     low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-    words, times, tail = 0, {}, []
+    words, times, tail = 0, Counter(), []
     for spans in word_offsets(split, low):
         words += len(spans)
         window = tail + spans
@@ -68,12 +70,11 @@ def document_features(split, bucket, text: str, low_n: int = 1, high_n: int = 1)
             # windows that lie in the tail alone were counted with the piece before
             first = max(len(tail) - n + 1, 0)
             if n == 1:
-                found = (low[a:b] for a, b in window[first:])
+                found = [low[a:b] for a, b in window[first:]]
             else:
-                found = (" ".join(low[a:b] for a, b in window[i:i + n]) for i in range(first, len(window) - n + 1))
-            for feature in found:
-                b = bucket[feature]
-                times[b] = times.get(b, 0) + 1
+                found = [" ".join([low[a:b] for a, b in window[i:i + n]]) for i in range(first, len(window) - n + 1)]
+            for feature, k in Counter(found).items():
+                times[bucket[feature]] += k
         tail = window[len(window) - high_n + 1:] if high_n > 1 else []
     return words, times
 
