@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CLASS_WEIGHTS, ENSEMBLE_THRESHOLD, ENSEMBLE_WEIGHTS, MAX_LENGTH
-from .common import union_all
+from ..functions.labels import binarise
+from ..functions.text import content_tokens, ngrams, tokenize
+from ..session import scratch_path
+from .common import top_k_per_group, union_all
 
 
 def _melt(df: DataFrame, section: str | F.Column, item_cols, id_col: str | None = None) -> DataFrame:
@@ -41,6 +44,47 @@ def evaluation_report(metrics: DataFrame, n_eval: DataFrame, errors: DataFrame)
     return union_all([conf, samples, per_model, err])
 
 
+def exploration_counts(paragraphs: DataFrame) -> DataFrame:
+    """``kind, item, number, binary_label, n``: everything the report counts in the texts, in one pass.
+
+    A text is tokenised once and yields its length (kind ``length``), its content
+    terms (``term``) and their bigrams (``bigram``); all are counted by class in
+    one aggregate, combined before the shuffle.  The result is written to the
+    shared folder, so that the sections are cut from it and read no text.
+    """
+    t = paragraphs.where(F.col("text").isNotNull()).select(
+        binarise("label").alias("binary_label"), tokenize("text").alias("_t"))
+    t = t.select("binary_label", F.size("_t").cast("long").alias("_n"), content_tokens("_t").alias("_c"))
+    row = lambda kind, item, number: F.struct(F.lit(kind).alias("kind"), item.cast("string").alias("item"),
+                                              number.cast("long").alias("number"))
+    none = F.lit(None)
+    rows = t.select("binary_label", F.inline(F.concat(
+        F.array(row("length", none, F.col("_n"))), F.transform("_c", lambda x: row("term", x, none)),
+        F.transform(ngrams(F.col("_c"), 2), lambda x: row("bigram", x, none)))))
+    counts = rows.groupBy("kind", "item", "number", "binary_label").agg(F.count(F.lit(1)).alias("n"))
+    path = scratch_path(paragraphs.sparkSession, "exploration")
+    counts.write.parquet(path)
+    return paragraphs.sparkSession.read.parquet(path)
+
+
+def length_part(counts: DataFrame) -> DataFrame:
+    """The length table of :func:`exploration_counts`."""
+    return counts.where("kind = 'length'").select("binary_label", F.col("number").alias("n_tokens"), F.col("n").alias("cnt"))
+
+
+def term_part(counts: DataFrame) -> DataFrame:
+    """The term frequencies of :func:`exploration_counts`."""
+    n = lambda y: F.sum(F.when(F.col("binary_label") == y, F.col("n")).otherwise(0))
+    return counts.where("kind = 'term'").groupBy(F.col("item").alias("term")).agg(
+        n(1).alias("pcl_freq"), n(0).alias("non_pcl_freq"))
+
+
+def bigram_part(counts: DataFrame, k: int = 15) -> DataFrame:
+    """The most common bigrams by class of :func:`exploration_counts`."""
+    rows = counts.where("kind = 'bigram'").select("binary_label", F.col("item").alias("ngram"), F.col("n").alias("freq"))
+    return top_k_per_group(rows, ["binary_label"], [F.desc("freq"), F.asc("ngram")], k)
+
+
 def eda_report(imbalance: DataFrame, lengths: DataFrame, vocab: DataFrame, percentiles: DataFrame,
                distinctive: DataFrame, bigrams: DataFrame, keywords: DataFrame, shapes: DataFrame) -> DataFrame:
     """Every section of the exploration report, from the frames of its operators."""

@@ -136,20 +136,33 @@ def _eda_report_sql() -> str:
 
 @query("eda_report", _eda_report_sql())
 def q_eda_report(spark, sf):
-    lt, freq = LNQ._lt(spark, sf), LQ._term_freq(spark, sf)
+    counts = R.exploration_counts(D.paragraphs(spark, sf))
+    lt, freq = R.length_part(counts), R.term_part(counts)
     return R.eda_report(P.class_imbalance(D.paragraphs(spark, sf, with_text=False)),
                         LN.length_summary(lt), L.class_vocab_stats(freq), LN.length_percentiles(lt),
-                        L.distinctive_terms(L.log_odds(freq)), L.top_bigrams(D.paragraphs(spark, sf)),
+                        L.distinctive_terms(L.log_odds(freq)), R.bigram_part(counts),
                         PQ.q_rate_by_keyword(spark, sf), PQ.q_table_shapes(spark, sf))
 
 
-@query("evaluation_report_file", f"""
-WITH r AS ({_eval_report_sql()}),
-l AS (SELECT 0 AS o, '' AS section, '' AS item, '# Evaluation' AS line
+def _report_file_sql(report: str, title: str) -> str:
+    return f"""
+WITH r AS ({report}),
+l AS (SELECT 0 AS o, '' AS section, '' AS item, '# {title}' AS line
       UNION ALL SELECT 1, '', '', '| section | item | value |' UNION ALL SELECT 2, '', '', '|---|---|---|'
       UNION ALL SELECT 3, section, item,
                 '| ' || section || ' | ' || item || ' | ' || coalesce(printf('%.6f', value), '') || ' |' FROM r)
-SELECT CAST(row_number() OVER (ORDER BY o, section, item) - 1 AS BIGINT) AS line_no, line FROM l""")
+SELECT CAST(row_number() OVER (ORDER BY o, section, item) - 1 AS BIGINT) AS line_no, line FROM l"""
+
+
+@query("eda_report_file", _report_file_sql(_eda_report_sql(), "Exploration"))
+def q_eda_report_file(spark, sf):
+    """The exploration report written as a text file and read back line by line."""
+    path = scratch_path(spark, "eda-report")
+    IO.write_report(q_eda_report(spark, sf), path, "Exploration")
+    return IO.read_report(spark, path)
+
+
+@query("evaluation_report_file", _report_file_sql(_eval_report_sql(), "Evaluation"))
 def q_evaluation_report_file(spark, sf):
     """The evaluation report written as a text file and read back line by line."""
     path = scratch_path(spark, "evaluation-report")
