@@ -82,3 +82,14 @@ def F_id():
 
 def _files(d):
     return [os.path.join(d, f) for f in os.listdir(d) if f.startswith("part-")]
+
+
+def test_one_line_rows_keep_their_texts(spark, tmp_dir):
+    texts = ["a\nb", "a\r\nb\r", "100% %0A %25 %0D", '"quoted\n"', "tab\there", "%", "\n"]
+    rows = [(i, "@@1", "k", "en", t, 1) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "par_id long, art_id string, keyword string, country_code string, text string, label int")
+    IO.write_delimited(df, tmp_dir + "/p", one_line=True)
+    lines = spark.read.text(tmp_dir + "/p").count()
+    assert lines == len(texts)  # a row is a line, so large files can be split anywhere
+    got = {r.par_id: r.text for r in IO.read_paragraph_tsv(spark, tmp_dir + "/p", one_line=True).collect()}
+    assert got == dict(enumerate(texts))

@@ -73,14 +73,14 @@ def confusion_matrix_norm(cm: DataFrame) -> DataFrame:
     return cm.withColumn("rate", r6(F.when(tot == 0, F.lit(0.0)).otherwise(F.col("n") / tot)))
 
 
-def classification_report(preds: DataFrame, names=LABEL_NAMES) -> DataFrame:
+def classification_report(preds: DataFrame, names=LABEL_NAMES, by: str | None = None) -> DataFrame:
     """Per-class precision / recall / F1 / support, then accuracy, macro and
-    support-weighted averages (binary labels 0/1).
+    support-weighted averages (binary labels 0/1); one report for every value of ``by``.
 
     One aggregate pass gives six counts; every report cell is column
     arithmetic on that single row, emitted as five rows with ``inline``."""
     y, p = F.col("y"), F.col("pred")
-    one = preds.agg(*[F.sum(((y == c) & (p == c)).cast("long")).alias(f"tp{c}") for c in (0, 1)],
+    one = preds.groupBy(*([by] if by else [])).agg(*[F.sum(((y == c) & (p == c)).cast("long")).alias(f"tp{c}") for c in (0, 1)],
                     *[F.sum((p == c).cast("long")).alias(f"pp{c}") for c in (0, 1)],
                     *[F.sum((y == c).cast("long")).alias(f"s{c}") for c in (0, 1)])
     pr = {c: _safe_div(F.col(f"tp{c}"), F.col(f"pp{c}")) for c in (0, 1)}
@@ -100,7 +100,7 @@ def classification_report(preds: DataFrame, names=LABEL_NAMES) -> DataFrame:
     rows += [row("accuracy", none, none, _safe_div(F.col("tp0") + F.col("tp1"), n), n),
              row("macro avg", (pr[0] + pr[1]) / 2, (rc[0] + rc[1]) / 2, (f1[0] + f1[1]) / 2, n),
              row("weighted avg", wavg(pr), wavg(rc), wavg(f1), n)]
-    return one.select(F.inline(F.array(*rows)))
+    return one.select(*([by] if by else []), F.inline(F.array(*rows)))
 
 
 def error_rate(preds: DataFrame) -> DataFrame:

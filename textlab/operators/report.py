@@ -25,11 +25,12 @@ def _melt(df: DataFrame, section: str | F.Column, item_cols, id_col: str | None
     return df.select(sec.alias("section"), F.inline(F.array(*structs)))
 
 
-def evaluation_report(metrics: DataFrame, n_eval: DataFrame, errors: DataFrame) -> DataFrame:
-    """Configuration, per-model and ensemble metrics, summary and error rate.
+def evaluation_report(metrics: DataFrame, n_eval: DataFrame, errors: DataFrame, reports: DataFrame) -> DataFrame:
+    """Configuration, per-model and ensemble metrics and classification reports, summary and error rate.
 
     ``metrics``: output of ``binary_metrics`` by model; ``n_eval``: one row
-    with ``n``; ``errors``: output of ``error_rate``."""
+    with ``n``; ``errors``: output of ``error_rate``; ``reports``: output of
+    ``classification_report`` by model."""
     spark = metrics.sparkSession
     conf_rows = ([(f"weight:{m}", float(w)) for m, w in ENSEMBLE_WEIGHTS.items()]
                  + [("threshold", float(ENSEMBLE_THRESHOLD)), ("class_weight_pos", float(CLASS_WEIGHTS[1])),
@@ -40,8 +41,9 @@ def evaluation_report(metrics: DataFrame, n_eval: DataFrame, errors: DataFrame)
                             F.col("n").cast("double").alias("value"))
     per_model = _melt(metrics, F.when(F.col("model") == "Ensemble", "ensemble").otherwise("model"),
                       ["accuracy", "precision", "recall", "f1"], id_col="model")
+    full = _melt(reports, F.concat(F.lit("report "), F.col("model")), ["precision", "recall", "f1", "support"], id_col="item")
     err = _melt(errors, "summary", ["n_errors", "error_pct"])
-    return union_all([conf, samples, per_model, err])
+    return union_all([conf, samples, per_model, full, err])
 
 
 def exploration_counts(paragraphs: DataFrame) -> DataFrame:

@@ -40,6 +40,21 @@ def q_scan_spans(spark, sf):
     return IO.read_span_tsv(spark, path, multi_line=True)
 
 
+@query("scan_paragraphs_split", ORACLE["scan_paragraphs"])
+def q_scan_paragraphs_split(spark, sf):
+    """The paragraph file with a line a row, which large files are split by."""
+    path = scratch_path(spark, "paragraphs-lines")
+    IO.write_delimited(D.paragraphs(spark, sf), path, one_line=True)
+    return IO.read_paragraph_tsv(spark, path, one_line=True)
+
+
+@query("scan_spans_split", ORACLE["scan_spans"])
+def q_scan_spans_split(spark, sf):
+    path = scratch_path(spark, "spans-lines")
+    IO.write_delimited(D.spans(spark, sf), path, one_line=True)
+    return IO.read_span_tsv(spark, path, one_line=True)
+
+
 @query("scan_dev_labels", f"WITH {DEV}\nSELECT par_id, label FROM dev")
 def q_scan_dev_labels(spark, sf):
     path = scratch_path(spark, "dev-csv")
@@ -76,6 +91,13 @@ def q_misclassified_csv(spark, sf):
     return IO.read_misclassified(spark, path)
 
 
+@query("misclassified_split_csv", ORACLE["misclassified_csv"])
+def q_misclassified_split_csv(spark, sf):
+    path = scratch_path(spark, "misclassified-lines")
+    IO.write_misclassified(SQ.q_misclassified(spark, sf), path, one_line=True)
+    return IO.read_misclassified(spark, path, one_line=True)
+
+
 @query("misclassified_plain_csv", f"""
 WITH {SQ._BASE}
 SELECT replace(replace(p.text, chr(10), ' '), ',', ' ') AS text, ev.y AS true_label, ev.pred AS predicted_label,
@@ -84,7 +106,7 @@ FROM ev JOIN para p USING (par_id) WHERE ev.pred <> ev.y""")
 def q_misclassified_plain_csv(spark, sf):
     path = scratch_path(spark, "misclassified-plain-csv")
     IO.write_misclassified(IO.plain_errors(SQ.q_misclassified(spark, sf)), path)
-    return IO.read_misclassified(spark, path)
+    return IO.read_misclassified(spark, path, multi_line=False)
 
 
 def _melt_sql(sql: str, section: str, cols, id_col: str | None = None, section_expr: str | None = None) -> str:
@@ -105,16 +127,18 @@ def _eval_report_sql() -> str:
              f"SELECT 'configuration', 'eval_samples', CAST(count(*) AS DOUBLE) FROM (WITH {SQ._BASE} SELECT * FROM ev)"]
     models = _melt_sql(ORACLE["binary_metrics"], "", ["accuracy", "precision", "recall", "f1"], id_col="model",
                        section_expr="CASE WHEN model = 'Ensemble' THEN 'ensemble' ELSE 'model' END")
+    reports = _melt_sql(ORACLE["classification_reports"], "", ["precision", "recall", "f1", "support"], id_col="item",
+                        section_expr="'report ' || model")
     errs = _melt_sql(ORACLE["error_rate"], "summary", ["n_errors", "error_pct"])
-    return "\nUNION ALL ".join(conf + [models, errs])
+    return "\nUNION ALL ".join(conf + [models, reports, errs])
 
 
 @query("evaluation_report", _eval_report_sql())
 def q_evaluation_report(spark, sf):
     preds = SQ._all_preds(spark, sf)
     ens = SQ._ens_preds(spark, sf)
-    return R.evaluation_report(M.binary_metrics(preds, "model"),
-                               ens.agg(F.count(F.lit(1)).alias("n")), M.error_rate(ens))
+    return R.evaluation_report(M.binary_metrics(preds, "model"), ens.agg(F.count(F.lit(1)).alias("n")),
+                               M.error_rate(ens), M.classification_report(preds, by="model"))
 
 
 def _eda_report_sql() -> str:

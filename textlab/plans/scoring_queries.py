@@ -123,10 +123,12 @@ def q_confusion_matrix_norm(spark, sf):
     return M.confusion_matrix_norm(M.confusion_matrix(_ens_preds(spark, sf), n_classes=2))
 
 
-def _report_sql():
+def _report_sql(src: str = "ev", by: str = "") -> str:
+    """The report over ``src``, one for each value of the column ``by``."""
+    col, group = (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
     rows = []
     for c in (0, 1):
-        rows.append(f"""SELECT {lit(LABEL_NAMES[c])} AS item,
+        rows.append(f"""SELECT {col}{lit(LABEL_NAMES[c])} AS item,
   CASE WHEN pp{c} = 0 THEN 0.0 ELSE tp{c}::DOUBLE / pp{c} END AS precision,
   CASE WHEN s{c} = 0 THEN 0.0 ELSE tp{c}::DOUBLE / s{c} END AS recall,
   CASE WHEN pp{c} + s{c} = 0 THEN 0.0 ELSE (2 * tp{c})::DOUBLE / (pp{c} + s{c}) END AS f1, s{c} AS support FROM one""")
@@ -134,16 +136,16 @@ def _report_sql():
         [f"sum(CASE WHEN y = {c} AND pred = {c} THEN 1 ELSE 0 END) AS tp{c}" for c in (0, 1)]
         + [f"sum(CASE WHEN pred = {c} THEN 1 ELSE 0 END) AS pp{c}" for c in (0, 1)]
         + [f"sum(CASE WHEN y = {c} THEN 1 ELSE 0 END) AS s{c}" for c in (0, 1)])
-    return f"""WITH {_BASE}, one AS (SELECT {one} FROM ev),
+    return f"""WITH {_BASE}, one AS (SELECT {col}{one} FROM {src}{group}),
 per AS ({' UNION ALL '.join(rows)}),
-av AS (SELECT avg(precision) AS mp, avg(recall) AS mr, avg(f1) AS mf,
+av AS (SELECT {col}avg(precision) AS mp, avg(recall) AS mr, avg(f1) AS mf,
               sum(precision * support) / sum(support) AS wp, sum(recall * support) / sum(support) AS wr,
-              sum(f1 * support) / sum(support) AS wf, sum(support) AS n FROM per),
+              sum(f1 * support) / sum(support) AS wf, sum(support) AS n FROM per{group}),
 allr AS (SELECT * FROM per
-  UNION ALL SELECT 'accuracy', NULL, NULL, CASE WHEN s0 + s1 = 0 THEN 0.0 ELSE (tp0 + tp1)::DOUBLE / (s0 + s1) END, s0 + s1 FROM one
-  UNION ALL SELECT 'macro avg', mp, mr, mf, n FROM av
-  UNION ALL SELECT 'weighted avg', wp, wr, wf, n FROM av)
-SELECT item, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+  UNION ALL SELECT {col}'accuracy', NULL, NULL, CASE WHEN s0 + s1 = 0 THEN 0.0 ELSE (tp0 + tp1)::DOUBLE / (s0 + s1) END, s0 + s1 FROM one
+  UNION ALL SELECT {col}'macro avg', mp, mr, mf, n FROM av
+  UNION ALL SELECT {col}'weighted avg', wp, wr, wf, n FROM av)
+SELECT {col}item, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
        CAST(support AS BIGINT) AS support FROM allr"""
 
 
@@ -152,6 +154,12 @@ def q_classification_report(spark, sf):
     return M.classification_report(_ens_preds(spark, sf))
 
 
+@query("classification_reports", _report_sql("pg", "model"))
+def q_classification_reports(spark, sf):
+    """The report of every member and of the ensemble, from one aggregate."""
+    return M.classification_report(_all_preds(spark, sf), by="model")
+
+
 @query("score_stats", f"""
 WITH {_BASE}
 SELECT round(min(ensemble_score), 6) AS min_score, round(max(ensemble_score), 6) AS max_score,

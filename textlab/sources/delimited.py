@@ -11,7 +11,7 @@ so writers here always produce many part files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,15 +56,35 @@ def _lenient_rows(raw: DataFrame, cols, sep: str = "\t") -> DataFrame:
     return kept.withColumn(cols[0], coerce_id(cols[0])).where(F.col(cols[0]).isNotNull())
 
 
-def read_paragraph_tsv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def to_one_line(col) -> Column:
+    """Line breaks of a text as ``%0A`` and ``%0D`` (and ``%`` as ``%25``), so that a row is one line."""
+    c = F.replace(col, F.lit("%"), F.lit("%25"))
+    return F.replace(F.replace(c, F.lit("\n"), F.lit("%0A")), F.lit("\r"), F.lit("%0D"))
+
+
+def from_one_line(col) -> Column:
+    """The text of :func:`to_one_line`; ``%25`` is undone last, so nothing is taken twice."""
+    c = F.replace(F.replace(col, F.lit("%0A"), F.lit("\n")), F.lit("%0D"), F.lit("\r"))
+    return F.replace(c, F.lit("%25"), F.lit("%"))
+
+
+def _restored(df: DataFrame, one_line: bool) -> DataFrame:
+    if not one_line:
+        return df
+    return df.select(*[from_one_line(c).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
+
+
+def read_paragraph_tsv(spark: SparkSession, path: str, multi_line: bool = False, one_line: bool = False) -> DataFrame:
+    """``multi_line``: quoted fields may hold line breaks, so a file is read by one task; ``one_line``: the
+    rows were written with :func:`to_one_line`, and large files are split."""
     raw = _reader(spark, _string_schema(PARAGRAPH_COLUMNS, True), "\t", multi_line).csv(path)
-    df = _lenient_rows(raw, PARAGRAPH_COLUMNS)
+    df = _restored(_lenient_rows(raw, PARAGRAPH_COLUMNS), one_line)
     return df.withColumn("label", strict_cast("label", "double").cast("int"))
 
 
-def read_span_tsv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_span_tsv(spark: SparkSession, path: str, multi_line: bool = False, one_line: bool = False) -> DataFrame:
     raw = _reader(spark, _string_schema(SPAN_COLUMNS, True), "\t", multi_line).csv(path)
-    df = _lenient_rows(raw, SPAN_COLUMNS)
+    df = _restored(_lenient_rows(raw, SPAN_COLUMNS), one_line)
     for c in ("span_start", "span_finish", "num_annotators"):
         df = df.withColumn(c, strict_cast(c, "double").cast("int"))
     return df
@@ -86,7 +106,9 @@ def read_unlabelled_tsv(spark: SparkSession, path: str, multi_line: bool = False
                       na_to_null("text").alias("text"))
 
 
-def write_delimited(df: DataFrame, path: str, sep: str = "\t", header: bool = False) -> None:
+def write_delimited(df: DataFrame, path: str, sep: str = "\t", header: bool = False, one_line: bool = False) -> None:
+    if one_line:
+        df = df.select(*[to_one_line(c).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
     (df.write.mode("overwrite")
      .option("sep", sep).option("quote", '"').option("escape", '"').option("header", header)
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
@@ -142,10 +164,10 @@ MISCLASSIFIED_SCHEMA = T.StructType([
     T.StructField("predicted_label", T.IntegerType()), T.StructField("ensemble_score", T.DoubleType())])
 
 
-def write_misclassified(df: DataFrame, path: str, score: bool = True) -> None:
+def write_misclassified(df: DataFrame, path: str, score: bool = True, one_line: bool = False) -> None:
     """The error file; the score column is left out with ``score=False``."""
     columns = ["text", "true_label", "predicted_label"] + (["ensemble_score"] if score else [])
-    write_delimited(df.select(*columns), path, sep=",", header=True)
+    write_delimited(df.select(*columns), path, sep=",", header=True, one_line=one_line)
 
 
 def plain_errors(df: DataFrame) -> DataFrame:
@@ -156,8 +178,9 @@ def plain_errors(df: DataFrame) -> DataFrame:
                      F.round("ensemble_score", 4).alias("ensemble_score"))
 
 
-def read_misclassified(spark: SparkSession, path: str) -> DataFrame:
-    return _reader(spark, MISCLASSIFIED_SCHEMA, ",", True, header=True).csv(path)
+def read_misclassified(spark: SparkSession, path: str, multi_line: bool = True, one_line: bool = False) -> DataFrame:
+    """The error file; one without line breaks in its texts needs no ``multi_line`` and is split."""
+    return _restored(_reader(spark, MISCLASSIFIED_SCHEMA, ",", multi_line and not one_line, header=True).csv(path), one_line)
 
 
 # ------------------------------------------------------------------ reports
@@ -168,8 +191,8 @@ def write_report(report: DataFrame, path: str, title: str) -> None:
 
     The table is small by construction (one row per metric), so one output
     file is fine; lines are formatted on the executors."""
-    line = F.format_string("| %s | %s | %s |", F.col("section"), F.col("item"),
-                           F.coalesce(F.format_string("%.6f", "value"), F.lit("")))
+    shown = F.when(F.col("value").isNotNull(), F.format_string("%.6f", "value")).otherwise("")
+    line = F.format_string("| %s | %s | %s |", F.col("section"), F.col("item"), shown)
     head = report.sparkSession.createDataFrame(
         [(0, "", "", f"# {title}"), (1, "", "", "| section | item | value |"), (2, "", "", "|---|---|---|")],
         "o int, section string, item string, line string")
