@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import Memo, small_batches, text_or_empty
 
@@ -35,7 +36,8 @@ WINDOW = 256
 #: Word codes kept by a worker; the table starts anew when it is full.
 MEMO = 600_000
 TOKENIZER = "word_bpe_49k.json"
-#: Plain texts: scripts where lower case and composition act letter by letter.
+#: Plain texts: scripts where lower case and composition act letter by letter, and of the
+#: control characters only those that all agree to be white space.
 _PLAIN = re.compile(r"[\t-\r\x20-\x7eÀ-įı-ɏ]*")
 #: The word pattern of the tokenizer file, for plain lower-case texts.
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^\sa-zß-öø-ɏ0-9]+")
@@ -149,7 +151,7 @@ class WordCoder:
         self.words = Memo(self._word, MEMO // 4)
 
     def _part(self, part: str) -> bytes:
-        text = part if part.isascii() else "".join([self.letter[b] for b in part.encode("utf-8")])
+        text = "".join([self.letter[b] for b in part.encode("utf-8")])
         return array("I", [t.id for t in self.bpe.tokenize(text)]).tobytes()
 
     def _word(self, word: bytes) -> bytes:
@@ -160,7 +162,7 @@ class WordCoder:
 
     def encode(self, text: str) -> bytes:
         """32-bit ids of ``text`` in the machine's (little-endian) order, without special tokens."""
-        if (text.isascii() or _PLAIN.fullmatch(text)) and "<|" not in text:
+        if _PLAIN.fullmatch(text) and "<|" not in text:
             parts = self.parts
             return b"".join([parts[p] for p in _WORD.findall(text.lower())])
         words = self.words
@@ -176,8 +178,26 @@ def coder(path: str) -> WordCoder:
     return _CODERS[path]
 
 
-def _packer(path: str, limits: Limits):
+def _encoded(encode, batch) -> Iterator[tuple[int | None, bytes, np.ndarray | None]]:
+    """Id, token ids and loss marks of every row: of its text, or of its parts one after the other."""
     end = np.array([END_ID], dtype="<u4").tobytes()
+    ids = batch.column("doc_id").to_pylist()
+    if "text" in batch.schema.names:
+        for doc_id, text in zip(ids, batch.column("text").to_pylist()):
+            yield doc_id, encode(text) + end, None
+        return
+    for doc_id, parts in zip(ids, batch.column("parts").to_pylist()):
+        codes, bears = [], []
+        for part in parts or ():
+            found = encode((part or {}).get("text") or "")
+            codes.append(found)
+            bears.append(np.full(len(found) // 4, bool((part or {}).get("loss"))))
+        # the end is learned where the last part is
+        bears.append(np.full(1, bool(parts and parts[-1] and parts[-1].get("loss"))))
+        yield doc_id, b"".join(codes) + end, np.concatenate(([0], np.cumsum(np.concatenate(bears))))
+
+
+def _packer(path: str, limits: Limits):
 
     def run(batches):
         encode = coder(path).encode
@@ -187,19 +207,17 @@ def _packer(path: str, limits: Limits):
         def examples():
             number = 0
             for batch in small_batches(batches):
-                ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-                for doc_id, text in zip(ids, texts):
-                    codes = encode(text) + end
-                    held[number] = [doc_id, codes, len(codes) // 4]
-                    yield number, len(codes) // 4, None
+                for doc_id, codes, marks in _encoded(encode, batch):
+                    held[number] = [doc_id, codes, len(codes) // 4, marks]
+                    yield number, len(codes) // 4, marks
                     number += 1
 
         rows: list[tuple] = []
         for p in pack(examples(), limits):
             entry = held[p.example]
-            doc_id, codes, _ = entry
+            doc_id, codes, _, marks = entry
             rows.append((doc_id, p.start, p.length, zlib.crc32(codes[4 * p.start:4 * (p.start + p.length)]),
-                         len(codes) // 4, base + p.sequence, p.offset))
+                         len(codes) // 4, base + p.sequence, p.offset, _loss_in(marks, p.start, p.length)))
             entry[2] -= p.length
             if not entry[2]:
                 del held[p.example]
@@ -211,7 +229,7 @@ def _packer(path: str, limits: Limits):
     return run
 
 
-_NAMES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+_NAMES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -220,7 +238,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def packed_pieces(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits()) -> DataFrame:
     """Pieces of every document's ids: ``doc_id, start, length, ids_crc32,
-    doc_tokens, sequence_id, offset``.
+    doc_tokens, sequence_id, offset, loss_tokens``.
 
     A document is its ids followed by id 2, so an empty or null text is one
     token.  Rows are examples of their own: repeated rows are packed as often
@@ -230,3 +248,16 @@ def packed_pieces(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInArrow(_packer(tokenizer_path, limits), ", ".join(f"{n} long" for n in _NAMES))
+
+
+def packed_examples(examples: DataFrame, tokenizer_path: str, limits: Limits = Limits(), key: str = "doc_id",
+                    parts: str = "parts") -> DataFrame:
+    """The same for instruction data: ``parts`` is an array of ``(text, loss)``, prompts and responses
+    in order, and only tokens of parts with ``loss`` count towards the limit on loss-bearing tokens.
+
+    The ids of an example are those of its parts one after the other and id 2,
+    which bears loss where the last part does.  Null or empty arrays, parts and
+    texts have no ids; a null ``loss`` is false.
+    """
+    rows = examples.select(F.col(key).cast("long").alias("doc_id"), F.col(parts).alias("parts"))
+    return rows.mapInArrow(_packer(tokenizer_path, limits), ", ".join(f"{n} long" for n in _NAMES))

@@ -76,7 +76,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import TOKENIZER, packed_pieces
-    return packed_pieces(read_table(spark, sf_dir, "documents"), vocabulary(TOKENIZER))
+    return packed_pieces(read_table(spark, sf_dir, "documents"), vocabulary(TOKENIZER)).drop("loss_tokens")
 
 
 @query()
