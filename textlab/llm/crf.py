@@ -3,7 +3,8 @@
 Every line of a text gets binary features of its form.  A two-state chain
 (content, boilerplate) is trained by maximum likelihood in numpy on a bounded
 sample of labelled documents: no one has labelled lines, so a line takes the
-label of its document (distant supervision).  Viterbi decoding labels the lines
+label of its document (distant supervision), and stretches of good and bad
+documents are joined, so that switches of state are seen.  Viterbi decoding labels the lines
 of every whole text; a text is kept when content lines hold at least half of
 its characters.  Base counts and their limits come first.
 """
@@ -193,55 +194,105 @@ class Chain(NamedTuple):
         return sum(compress(sizes, (s == CONTENT for s in self.viterbi(feats)))) / total
 
 
+def joined_stretches(sequences: list[tuple[list[list[int]], int]]) -> list[tuple[list[list[int]], list[int]]]:
+    """Every stretch by itself, and stretches of good and bad texts joined by turns, so that both
+    states and the switches between them are seen.
+
+    Both states get as many stretches: those of the rarer one are taken again in
+    turn.  A joined sequence takes half a stretch of each, and every other one
+    begins with the bad half.
+    """
+    by_state = [[feats[i:i + STRETCH] for feats, state in sequences if state == s for i in range(0, len(feats), STRETCH)]
+                for s in (CONTENT, BOILERPLATE)]
+    out = [(x, [s] * len(x)) for s, parts in enumerate(by_state) for x in parts]
+    if not all(by_state):
+        return out
+    for k in range(max(map(len, by_state))):
+        halves = []
+        for s in (CONTENT, BOILERPLATE):
+            x = by_state[s][k % len(by_state[s])]
+            x = x[:STRETCH // 2]
+            halves.append((x, [s] * len(x)))
+        if k % 2:
+            halves.reverse()
+        out.append((halves[0][0] + halves[1][0], halves[0][1] + halves[1][1]))
+    return out
+
+
+class Likelihood:
+    """Negative log-likelihood of labelled sequences, a weight each, and its gradient.
+
+    Sequences are stretched over a grid (sequence, line, state), so that one
+    evaluation is a forward and a backward sweep over the longest sequence.
+    """
+
+    def __init__(self, parts: list[tuple[list[list[int]], list[int]]], weight: np.ndarray):
+        order = np.argsort([-len(f) for f, _ in parts], kind="stable")  # longest first: a step takes a head of the rows
+        parts, weight = [parts[i] for i in order], weight[order]
+        size = np.array([len(f) for f, _ in parts])
+        self.n, self.width, self.weight, self.last = len(parts), int(size[0]), weight, size - 1
+        self.live = [int((size > t).sum()) for t in range(self.width)]
+        self.seq = np.repeat(np.arange(self.n), size)  # of every line, as its position
+        self.pos = np.concatenate([np.arange(k) for k in size])
+        many = np.array([len(x) for f, _ in parts for x in f])
+        self.first, self.line = np.cumsum(many) - many, np.repeat(np.arange(len(many)), many)
+        self.num = np.array([k for f, _ in parts for x in f for k in x])  # the features of all lines
+        self.moved = np.zeros((2, 2))
+        state = np.array([s for _, states in parts for s in states])
+        self.observed = self._by_feature((state[:, None] == np.arange(2)) * weight[self.seq, None])
+        for w, (_, states) in zip(weight, parts):
+            np.add.at(self.moved, (states[:-1], states[1:]), w)
+
+    def _by_feature(self, lines: np.ndarray) -> np.ndarray:
+        """Sums of a (line, state) table over the lines of every feature."""
+        return np.stack([np.bincount(self.num, lines[self.line, s], N_FEATURES) for s in range(2)], axis=1)
+
+    def __call__(self, emit: np.ndarray, move: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        live, weight, seq, pos = self.live, self.weight, self.seq, self.pos
+        grid = np.zeros((self.n, self.width, 2))
+        grid[seq, pos] = np.add.reduceat(emit[self.num], self.first)
+        fwd, bwd = np.zeros_like(grid), np.zeros_like(grid)
+        fwd[:, 0] = grid[:, 0]
+        for t in range(1, self.width):
+            k = live[t]
+            fwd[:k, t] = np.logaddexp(fwd[:k, t - 1, :1] + move[0], fwd[:k, t - 1, 1:] + move[1]) + grid[:k, t]
+        for t in range(self.width - 2, -1, -1):
+            k = live[t + 1]
+            ahead = grid[:k, t + 1] + bwd[:k, t + 1]
+            bwd[:k, t] = np.logaddexp(move[:, 0] + ahead[:, :1], move[:, 1] + ahead[:, 1:])
+        end = fwd[np.arange(self.n), self.last]
+        total = np.logaddexp(end[:, 0], end[:, 1])
+        prob = np.exp(fwd[seq, pos] + bwd[seq, pos] - total[seq, None])
+        g_emit = self._by_feature(prob * weight[seq, None]) - self.observed
+        g_move = -self.moved
+        for t in range(1, self.width):
+            k = live[t]
+            pair = np.exp(fwd[:k, t - 1, :, None] + move + (grid[:k, t] + bwd[:k, t])[:, None, :] - total[:k, None, None])
+            g_move += (pair * weight[:k, None, None]).sum(axis=0)
+        value = float((weight * total).sum() - (self.observed * emit).sum() - (self.moved * move).sum())
+        return value, g_emit, g_move
+
+
 def train_chain(sequences: list[tuple[list[list[int]], int]], rounds: int = 150, rate: float = 0.2,
                 decay: float = 1e-3) -> Chain:
-    """Maximum likelihood by full-batch Adam over (line features, state) sequences.
+    """Maximum likelihood by full-batch Adam over the stretches of (line features, state) sequences
+    and their joins (:func:`joined_stretches`).
 
-    Sequences are stretched over a grid (sequence, line, state), so that a round
-    is one forward and one backward sweep over at most ``STRETCH`` lines.
     Without sequences of both states every weight is zero: all lines are content.
     """
-    parts = [(feats[i:i + STRETCH], state) for feats, state in sequences for i in range(0, len(feats), STRETCH)]
+    parts = [p for p in joined_stretches(sequences) if p[0]]
     emit, move = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
-    if len({state for _, state in parts}) < 2:
+    if len({s for _, states in parts for s in states}) < 2:
         return Chain(emit, move)
-    n, width = len(parts), max(len(f) for f, _ in parts)
-    size = np.array([len(f) for f, _ in parts])
-    state = np.array([s for _, s in parts])
-    # both states weigh alike, however many sequences carry them
-    weight = np.where(state == 1, 0.5 / max((state == 1).sum(), 1), 0.5 / max((state == 0).sum(), 1))
-    seq = np.array([i for i, (f, _) in enumerate(parts) for x in f for _ in x])
-    pos = np.array([t for f, _ in parts for t, x in enumerate(f) for _ in x])
-    num = np.array([k for f, _ in parts for x in f for k in x])
-    live = np.arange(width)[None, :] < size[:, None]
-    observed = np.zeros_like(emit)
-    np.add.at(observed, (num, state[seq]), weight[seq])
-    moved = np.zeros_like(move)
-    np.add.at(moved, (state, state), weight * (size - 1))
+    # good, bad and joined sequences weigh alike, however many of each there are
+    kind = np.array([states[0] if min(states) == max(states) else 2 for _, states in parts])
+    weight = (1 / 3 / np.maximum(np.bincount(kind, minlength=3), 1))[kind]
+    likelihood = Likelihood(parts, weight)
     m = [np.zeros_like(emit), np.zeros_like(move)]
     v = [np.zeros_like(emit), np.zeros_like(move)]
     for turn in range(1, rounds + 1):
-        grid = np.zeros((n, width, 2))
-        np.add.at(grid, (seq, pos), emit[num])
-        fwd, bwd = np.zeros_like(grid), np.zeros_like(grid)
-        fwd[:, 0] = grid[:, 0]
-        for t in range(1, width):
-            step = np.logaddexp(fwd[:, t - 1, 0, None] + move[0], fwd[:, t - 1, 1, None] + move[1]) + grid[:, t]
-            fwd[:, t] = np.where(live[:, t, None], step, fwd[:, t - 1])
-        total = np.logaddexp(fwd[:, -1, 0], fwd[:, -1, 1])
-        for t in range(width - 2, -1, -1):
-            ahead = grid[:, t + 1] + bwd[:, t + 1]
-            step = np.logaddexp(move[:, 0][None] + ahead[:, :1], move[:, 1][None] + ahead[:, 1:])
-            bwd[:, t] = np.where(live[:, t + 1, None], step, 0.0)
-        prob = np.exp(fwd + bwd - total[:, None, None])
-        g_emit = np.zeros_like(emit)
-        np.add.at(g_emit, num, prob[seq, pos] * weight[seq, None])
-        g_move = np.zeros_like(move)
-        for t in range(1, width):
-            pair = np.exp(fwd[:, t - 1, :, None] + move[None] + (grid[:, t] + bwd[:, t])[:, None, :]
-                          - total[:, None, None])
-            g_move += (pair * (live[:, t] * weight)[:, None, None]).sum(axis=0)
-        for k, (par, grad) in enumerate(((emit, g_emit - observed), (move, g_move - moved))):
+        _, g_emit, g_move = likelihood(emit, move)
+        for k, (par, grad) in enumerate(((emit, g_emit), (move, g_move))):
             grad = grad + decay * par
             m[k] = 0.9 * m[k] + 0.1 * grad
             v[k] = 0.99 * v[k] + 0.01 * grad * grad
