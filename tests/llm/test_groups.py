@@ -226,14 +226,45 @@ def test_banded_distance_is_levenshtein():
             assert L.edit_distance_within(a, b, most) == (levenshtein(a, b) <= most), (a, b, most)
 
 
+BANDS = ((0, 0), (6, 1), (12, 2), (24, 3))
+
+
 def test_segments_find_every_close_pair():
     rng = random.Random(6)
-    for _ in range(4000):
-        a = "".join(rng.choice("ab") for _ in range(rng.randrange(12, 40)))
-        b = edited(rng, a, rng.randrange(3))
-        if levenshtein(a, b) <= 2:
-            short, long = sorted((a, b), key=len)
-            assert L.wanted_keys(long) & set(L.stored_keys(short))
+    lines = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 40))) for _ in range(1500)]
+    pairs = [(a, edited(rng, a, rng.randrange(4))) for a in lines]
+    flat = [x for p in pairs for x in p]
+    key, row, own = L.segment_keys(flat, BANDS)
+    odd = L.odd_counts(flat).tolist()
+    assert all(((odd[2 * k] ^ odd[2 * k + 1]) & (1 << 64) - 1).bit_count() <= 2 * levenshtein(a, b) for k, (a, b) in enumerate(pairs))
+    for n in (3, 5, 7):  # as many groups as two an edit, and one more: some group's counts stay
+        sums = L.group_sums(flat, n).tolist()
+        for k, (a, b) in enumerate(pairs):
+            if levenshtein(a, b) <= n // 2:
+                assert any(x == y for x, y in zip(sums[2 * k], sums[2 * k + 1]))
+    wanted, stored = defaultdict(set), defaultdict(set)
+    for k, r, o in zip(key.tolist(), row.tolist(), own.tolist()):
+        wanted[r].add(k)
+        if o:
+            stored[r].add(k)
+    close = 0
+    for n, (a, b) in enumerate(pairs):
+        most = int(L.edits_of(min(len(a), len(b)), BANDS))
+        if a != b and most and b and levenshtein(a, b) <= most:
+            short, long = (2 * n, 2 * n + 1) if len(a) <= len(b) else (2 * n + 1, 2 * n)
+            assert wanted[long] & stored[short], (a, b)
+            close += 1
+    assert close > 300
+    assert all(len(stored[r]) <= int(L.edits_of(len(flat[r]), BANDS)) + 1 for r in stored)
+    assert L.segment_keys([], BANDS)[0].size == 0 and L.segment_keys(["", "a"], BANDS)[0].size == 0
+
+
+def test_keys_are_of_the_substring_wherever_it_lies():
+    lines = ["xxabcé中", "abcé中", "yabcé中zz"]
+    text = L.SubstringKeys(lines)
+    five = lambda row, at, n=5, segment=1: text.of(L.np.array([row]), L.np.array([at]), L.np.array([5]), L.np.array([n]), segment)[0]
+    assert five(0, 2) == five(1, 0) == five(2, 1)
+    assert len({five(0, 2), five(0, 1), five(0, 2, 6), five(0, 2, 5, 2)}) == 4
 
 
 def test_near_lines_have_near_counts(spark):
@@ -242,44 +273,45 @@ def test_near_lines_have_near_counts(spark):
     for _ in range(400):
         a = "".join(rng.choice("abcdefgh é中") for _ in range(rng.randrange(1, 60)))
         b = edited(rng, a, rng.randrange(3))
-        pairs.append((L.line_id(a), L.line_id(b), levenshtein(a, b) <= 2))
-    df = spark.createDataFrame(pairs, "a long, b long, near boolean")
+        pairs.append((a, b, levenshtein(a, b) <= 2))
+    a, b = (L.line_ids([p[k] for p in pairs]).tolist() for k in (0, 1))
+    df = spark.createDataFrame([(x, y, p[2]) for x, y, p in zip(a, b, pairs)], "a long, b long, near boolean")
     assert df.where("near").where(~L.may_be_near(F.col("a"), F.col("b"), 2)).count() == 0
 
 
-def brute_lines(texts):
+def brute_lines(texts, bands=L.BANDS):
     """Kept and removed lines of (doc_id, text) rows by comparing all lines."""
     where = defaultdict(list)
     for i, t in dict.fromkeys(texts):
         for pos, raw in enumerate((t or "").split("\n")):
-            if len(raw.split()) >= L.MIN_WORDS:
+            if raw.strip():
                 where[raw.strip()].append((i, t, pos))
-    lines, sets, links = list(where), Sets(), Counter()
+    lines, sets, linked = list(where), Sets(), set()
     for a in range(len(lines)):
         sets.find(a)
         for b in range(a):
             x, y = lines[a], lines[b]
-            if min(len(x), len(y)) >= L.MIN_NEAR_CHARS and abs(len(x) - len(y)) <= 2 and levenshtein(x, y) <= 2:
+            most = max(k for n, k in bands if min(len(x), len(y)) >= n)
+            if most and abs(len(x) - len(y)) <= most and levenshtein(x, y) <= most:
                 sets.join(a, b)
-                links[x] += 1
-                links[y] += 1
+                linked |= {x, y}
     classes = defaultdict(list)
     for n, line in enumerate(lines):
         classes[sets.find(n)] += [(occurrence, line) for occurrence in where[line]]
-    gone, low, n_links = defaultdict(list), {}, Counter()
+    gone, low, has_link = defaultdict(list), {}, Counter()
     for members in classes.values():
         first = min(members, key=lambda m: (m[0][0] is None, m[0][0] or 0, m[0][2]))[0]
         for (i, t, pos), line in members:
-            n_links[i, t] += links[line]
+            has_link[i, t] += line in linked
             low[i, t] = min(low.get((i, t), first[0]), first[0])
             if (i, t, pos) != first:
                 gone[i, t].append(pos)
-    return gone, low, n_links
+    return gone, low, has_link
 
 
 LINES = ["the quick brown fox jumps over the lazy dog again", "the quick brown fax jumps over the lazy dog again",
          "the quick brown fax jumps over the lazy dogs again", "five words make a line", "five words make a lime",
-         "short one", "an entirely different line of text, and long enough for edits"]
+         "short one", "All rights reserved", "Yes", "Yet", "an entirely different line of text, and long enough for edits"]
 
 
 def line_docs():
@@ -288,6 +320,46 @@ def line_docs():
                           for k in range(5))) for i in range(40)]
 
 
+def near_docs():
+    """Long and short lines with up to four edits, and one crowded key: lines that share their
+    beginning and differ in more than the limit, some of them in pairs that do not."""
+    rng = random.Random(9)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(n)).strip() for n in (19, 20, 22, 39, 41, 60, 61, 130, 400)]
+    out = [(i, "\n".join(edited(rng, b, rng.randrange(5)) for b in base)) for i in range(12)]
+    for i in range(60):
+        number = "".join(rng.choice("0123456789") for _ in range(12))
+        twin = number[:5] + "x" + number[6:]
+        out += [(100 + 2 * i, f"this template line begins with the same words {number}"),
+                (101 + 2 * i, f"this template line begins with the same words {twin}")]
+    return out
+
+
+def test_crowded_keys_are_split_without_losing_a_link(docs_of, monkeypatch):
+    monkeypatch.setattr(L, "CROWD", 3)
+    texts = near_docs()
+    rng = random.Random(10)
+    passage = "a passage that very many lines have in the middle"
+    for i in range(50):
+        ends = ["".join(rng.choice("abcdefgh ") for _ in range(45)).strip() for _ in range(2)]
+        line = f"{ends[0]}{passage}{ends[1]}"
+        texts += [(500 + 2 * i, line), (501 + 2 * i, edited(rng, line, 2) if i % 4 == 0 else line[::-1])]
+    gone, low, _ = brute_lines(texts)
+    got = {r["doc_id"]: r for r in L.line_report(docs_of(texts)).collect()}
+    for i, t in texts:
+        assert got[i]["removed"] == sorted(gone.get((i, t), [])) and got[i]["class_id"] == low[i, t], i
+
+
+def test_near_lines_of_all_bands_match_all_pairs(docs_of):
+    texts = near_docs()
+    for bands in (L.BANDS, ((0, 0), (15, 1), (38, 2), (100, 3))):
+        gone, low, _ = brute_lines(texts, bands)
+        got = {r["doc_id"]: r for r in L.line_report(docs_of(texts), bands).collect()}
+        assert len(got) == len(texts) and sum(map(len, gone.values())) > 60
+        for i, t in texts:
+            assert got[i]["removed"] == sorted(gone.get((i, t), [])), (i, bands)
+            assert got[i]["class_id"] == low[i, t]
+
+
 def test_line_report_matches_all_pairs(docs_of):
     texts = line_docs() + [(900, None), (901, ""), (902, " \n\n")]
     gone, low, n_links = brute_lines(texts)
@@ -297,7 +369,7 @@ def test_line_report_matches_all_pairs(docs_of):
     for r in got:
         key = (r["doc_id"], text[r["doc_id"]])
         assert r["removed"] == sorted(gone.get(key, [])) and r["n_removed"] == len(r["removed"])
-        assert r["class_id"] == low.get(key, r["doc_id"]) and r["n_links"] == n_links.get(key, 0)
+        assert r["class_id"] == low.get(key, r["doc_id"]) and (r["n_links"] > 0) == (n_links.get(key, 0) > 0)
 
 
 def test_lines_are_taken_out(docs_of):
@@ -313,11 +385,11 @@ def test_lines_are_taken_out(docs_of):
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "doc", "removed"]
 
 
-def test_lines_without_spaces_take_part(docs_of):
+def test_short_lines_and_lines_without_spaces_take_part(docs_of):
     url = "https://news.example.org/archive/2024/05/index.html?page="
-    texts = [(i, f"版权所有不得转载\nสงวนลิขสิทธิ์ทั้งหมด\n{url}{i}\n这一行只在第{'零一二三'[i]}篇里") for i in range(4)]
+    texts = [(i, f"版权所有不得转载\nAll rights reserved\nShare\n{url}{i}\n这一行只在第{'零一二三'[i]}篇里") for i in range(4)]
     got = {r["doc_id"]: r["removed"] for r in L.line_report(docs_of(texts)).collect()}
-    assert got == {0: [], 1: [0, 1, 2], 2: [0, 1, 2], 3: [0, 1, 2]}
+    assert got == {0: [], 1: [0, 1, 2, 3], 2: [0, 1, 2, 3], 3: [0, 1, 2, 3]}
 
 
 def test_lines_of_odd_rows(docs_of):
