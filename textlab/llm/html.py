@@ -3,7 +3,12 @@
 A page is read by a tokenizer of tags and text into blocks, each in a zone:
 the article (inside ``article`` or ``main``), furniture (menus, headers, footers,
 asides, forms, adverts, notices, comments, by element or by the words of its
-class, id or role), or loose text (outside both).
+class, id or role), or loose text (outside both).  Words that themes also give to
+the wrapper of a whole page (``sidebar``, ``header``, ``nav`` and the like) do not
+hold back an ``article`` inside it, and ``has-``, ``with-``, ``no-`` and ``is-`` words
+say nothing about the element itself; comment, advert and sharing words do hold
+back what is inside, ``article`` elements too.  A header inside an article is
+furniture but for its headings: the headline is part of the main text.
 
 Zones alone cannot tell text from furniture without telling marks.  So the
 neighbouring blocks of a page, those of the article and those outside it, form
@@ -23,6 +28,9 @@ a host with a third of all pages is spread over all tasks; what is found is
 bounded by the text of two pages a host.  Windows across an edge take whole
 blocks only: a sentence that begins like all others keeps its beginning.
 
+A page is parsed once: its blocks are written to the shared folder, and the three
+passes over them read that.
+
 On a page with an article, loose text outside it is not the article's and goes
 too; on other pages the loose text that is left is the main text.
 """
@@ -41,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, durable, small_batches
+from .common import Memo, durable, small_batches, written
 
 #: Tokens of the shortest repeated substring that counts across the edges of blocks.
 WINDOW = 10
@@ -54,17 +62,25 @@ _BROADCAST = 1_000_000
 ARTICLE, FURNITURE, LOOSE = 0, 1, 2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>])*)(?:>|\Z)|([^<]+|<)", re.S)
-_HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 #: HTML element names by what they do to the text.
 _RAW = frozenset("script style textarea title xmp noembed noframes".split())
 _SILENT = frozenset("head template noscript svg math object iframe canvas audio video select button datalist".split())
 _ASIDE = frozenset("nav header footer aside form dialog menu".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _BODY = frozenset("article main".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-#: Words of a class, id or role that mark furniture.
+#: Words of a class, id or role that mark furniture, and those of them that
+#: the wrapper of a whole page may carry too.
 _MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related replies share sharing sidebar sidenav signup social sponsor sponsored subscribe subscription toolbar widget".split())
+_WRAPPER_MARKS = frozenset("banner consent cookie cookies footer gdpr header login masthead menu modal nav navbar navigation notice notices popup sidebar sidenav signup toolbar widget".split())
+_MODIFIERS = ("has", "with", "without", "no", "is")
+#: What an element's attributes say of it.
+PLAIN, WRAPPER, MARKED = 0, 1, 2
+#: Zones while a page is read: furniture that an article inside it ends, the header of an article.
+_SOFT, _HEAD = 3, 4
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _BLANKS = re.compile(r"\s+")
 
@@ -74,11 +90,36 @@ class Block(NamedTuple):
     text: str
 
 
-def _marked(attributes: str) -> bool:
-    for value in _HINT.findall(attributes):
-        if not _MARKS.isdisjoint(w.lower() for w in _WORD.findall(value)):
-            return True
-    return False
+def _judge(attributes: str) -> tuple[int, bool]:
+    """Whether the attributes of a start tag mark furniture, and whether they hide the element."""
+    mark, hidden = PLAIN, False
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name in ("class", "id", "role"):
+            for token in value.strip("\"'").split():
+                words = [w.lower() for w in _WORD.findall(token)]
+                if words and words[0] not in _MODIFIERS:
+                    found = _MARKS.intersection(words)
+                    mark = max(mark, MARKED if found - _WRAPPER_MARKS else WRAPPER if found else PLAIN)
+        elif name == "hidden" or name == "style" and _NOT_SHOWN.search(value):
+            hidden = True
+    return mark, hidden
+
+
+_ATTRIBUTES = Memo(_judge, 20_000)
+
+
+def _inner_zone(name: str, mark: int, zone: int) -> int:
+    """Zone inside an element of ``name`` that lies in ``zone``."""
+    if name in _BODY:
+        return FURNITURE if zone == FURNITURE or mark == MARKED else ARTICLE
+    if name == "header" and zone == ARTICLE:
+        return _HEAD
+    if name in _HEADINGS and zone == _HEAD and mark == PLAIN:
+        return ARTICLE
+    if name == "form" or mark == WRAPPER and name not in _ASIDE:  # these may also hold a whole page
+        return _SOFT if zone in (LOOSE, _SOFT) else FURNITURE
+    return FURNITURE if name in _ASIDE or mark else zone
 
 
 def page_blocks(page: str) -> list[Block]:
@@ -96,7 +137,7 @@ def page_blocks(page: str) -> list[Block]:
         if parts:
             text = _BLANKS.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(zone, text))
+                out.append(Block(FURNITURE if zone in (_SOFT, _HEAD) else zone, text))
             parts.clear()
 
     def enter(new_zone: int, new_silent: bool) -> None:
@@ -144,12 +185,10 @@ def page_blocks(page: str) -> list[Block]:
         if name == "body":  # also where the head was left open
             silent = False
         open_tags.append((name, zone, silent))
-        inner = zone
-        if name in _BODY:
-            inner = zone if zone == FURNITURE else ARTICLE
-        elif name in _ASIDE or attributes and name not in ("html", "body") and _marked(attributes):
-            inner = FURNITURE
-        enter(inner, silent or name in _SILENT or bool(attributes and _HIDDEN.search(attributes)))
+        mark, hidden = _ATTRIBUTES[attributes] if attributes.strip() else (PLAIN, False)
+        if name in ("html", "body"):
+            mark = PLAIN
+        enter(_inner_zone(name, mark, zone), silent or hidden or name in _SILENT)
     close()
     return out
 
@@ -220,14 +259,29 @@ def _short_blocks(block: np.ndarray, tokens: np.ndarray) -> Iterator[tuple[int,
             yield lo, hi, xxhash.xxh64_intdigest(tokens[lo:hi].tobytes())
 
 
+def _parsed(batches) -> Iterator[pa.RecordBatch]:
+    """The blocks of every page: their zones, a byte each, and their texts, a line each (no text has a line break)."""
+    for batch in small_batches(batches):
+        pages = [page_blocks(text) for text in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:-1], pa.array([bytes(b.zone for b in blocks) for blocks in pages], pa.binary()),
+             pa.array(["\n".join(b.text for b in blocks) for blocks in pages], pa.string())],
+            names=[*batch.schema.names[:-1], "zones", "blocks"])
+
+
+def _blocks(batch) -> Iterator[list[Block]]:
+    for zones, texts in zip(batch.column("zones").to_pylist(), batch.column("blocks").to_pylist()):
+        yield [Block(z, t) for z, t in zip(zones, texts.split("\n"))] if zones else []
+
+
 def _host_tokens(batches) -> Iterator[pa.RecordBatch]:
     """Per batch: pages by (host, hashed token), and the digest and id of every page."""
     for batch in batches:
         seen: dict[int, list[np.ndarray]] = {}
         known: set[tuple[int, int, int]] = set()
         for part in small_batches([batch]):
-            for page, host, text in zip(*(part.column(c).to_pylist() for c in ("page", "host", "html"))):
-                if blocks := page_blocks(text):
+            for page, host, blocks in zip(*(part.column(c).to_pylist() for c in ("page", "host")), _blocks(part)):
+                if blocks:
                     known.add((host, page_digest(blocks), page))
                     words = {w for b in blocks for w in b.text.split(" ")}
                     seen.setdefault(host, []).append(np.unique(_hash(list(words)) % np.uint64(BUCKETS)).astype(np.int32))
@@ -252,11 +306,10 @@ def _host_windows(batches) -> Iterator[pa.RecordBatch]:
         short: set[tuple] = set()
         for part in small_batches([batch]):
             possible: dict[int, np.ndarray] = {}
-            for n, (page, host, text) in enumerate(zip(*(part.column(c).to_pylist() for c in ("page", "host", "html")))):
+            for n, (page, host, blocks) in enumerate(zip(*(part.column(c).to_pylist() for c in ("page", "host")), _blocks(part))):
                 if host not in possible:
                     possible[host] = np.zeros(BUCKETS, bool)
                     possible[host][part.column("found")[n].values.to_numpy()] = True
-                blocks = page_blocks(text)
                 copy = page_digest(blocks)
                 for article, block, tokens in _streams(blocks):
                     may = possible[host][tokens % np.uint64(BUCKETS)]
@@ -290,13 +343,12 @@ def _host_windows(batches) -> Iterator[pa.RecordBatch]:
                  pa.array(article[at])], names=names)
 
 
-def main_text(page: str, repeated: np.ndarray | None = None, in_articles: np.ndarray | None = None) -> str:
-    """Article blocks, or, on a page without an article, loose blocks, without what is repeated.
+def main_text(blocks: list[Block], repeated: np.ndarray | None = None, in_articles: np.ndarray | None = None) -> str:
+    """Article blocks of a page, or, without an article, its loose blocks, without what is repeated.
 
     ``repeated``: digests of the host's repeated windows and short blocks;
     ``in_articles``: those of them that go from articles too.
     """
-    blocks = page_blocks(page)
     main = ARTICLE if any(b.zone == ARTICLE for b in blocks) else LOOSE
     away = in_articles if main == ARTICLE else repeated
     gone: dict[int, np.ndarray] = {}
@@ -331,11 +383,11 @@ def main_text(page: str, repeated: np.ndarray | None = None, in_articles: np.nda
 def _extract(batches) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches):
         found, texts = {}, []
-        for n, (host, page) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist())):
+        for n, (host, blocks) in enumerate(zip(batch.column("host").to_pylist(), _blocks(batch))):
             if host not in found:
                 lists = (batch.column(c)[n].values for c in ("found", "in_articles"))
                 found[host] = [None if x is None else x.to_numpy().view(np.uint64) for x in lists]
-            texts.append(main_text(page, *found[host]))
+            texts.append(main_text(blocks, *found[host]))
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
              pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
@@ -348,7 +400,7 @@ def _by_host(pages: DataFrame, hosts: DataFrame, how: str) -> DataFrame:
 
 
 def repeated_text(rows: DataFrame) -> DataFrame:
-    """``host, found, in_articles``: digests of the repeated windows and short blocks of each host of ``page, host, html``."""
+    """``host, found, in_articles``: digests of the repeated windows and short blocks of each host of ``page, host, zones, blocks``."""
     counts = durable(rows.mapInArrow(_host_tokens, "host long, bucket int, copy long, page long, n long")
                      .groupBy("host", "bucket", "copy").agg(F.min("page").alias("page"), F.sum("n").alias("n"))
                      .where((F.col("n") >= MIN_PAGES) | F.col("bucket").isNull()))
@@ -358,7 +410,7 @@ def repeated_text(rows: DataFrame) -> DataFrame:
     least = F.greatest(F.lit(MIN_PAGES), F.col("pages") * SHARE)
     possible = durable(counts.where("bucket is not null").join(total, "host").where(F.col("n") >= least)
                        .groupBy("host").agg(F.collect_list("bucket").alias("found")))
-    windows = (_by_host(rows, possible, "inner").select("page", "host", "html", "found")
+    windows = (_by_host(rows, possible, "inner").select("page", "host", "zones", "blocks", "found")
                .mapInArrow(_host_windows, "host long, digest long, copy long, page long, article boolean")
                .groupBy("host", "digest", "copy").agg(F.min("page").alias("page"), F.max("article").alias("article"))
                .groupBy("host", "digest", "page").agg(F.max(F.col("article").cast("int")).alias("article"))
@@ -376,8 +428,10 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     page_id are one page for the count of distinct pages, and each gets its
     text; an empty table gives no rows.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"),
-                        F.coalesce(F.col("page_id").cast("long"), F.lit(-1)).alias("page"), host_of("url").alias("host"))
-    found = repeated_text(rows.select("page", "host", "html"))
-    return (_by_host(rows.drop("page"), found, "left").select("page_id", "url", "html", "host", "found", "in_articles")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url",
+                        F.coalesce(F.col("page_id").cast("long"), F.lit(-1)).alias("page"), host_of("url").alias("host"),
+                        F.coalesce("html", F.lit("")).alias("html"))
+    rows = written(rows.mapInArrow(_parsed, "page_id long, url string, page long, host long, zones binary, blocks string"), "blocks")
+    found = repeated_text(rows.select("page", "host", "zones", "blocks"))
+    return (_by_host(rows.drop("page"), found, "left").select("page_id", "url", "zones", "blocks", "host", "found", "in_articles")
             .mapInArrow(_extract, "page_id long, url string, text string, n_chars long"))
