@@ -26,3 +26,14 @@ def test_clean_pages_stream_equals_batch(spark, tmp_dir):
     batch = SP.clean_pages(spark.read.parquet(f"{SF001}/pages.parquet"))
     assert got == sorted(map(tuple, batch.collect()))
     assert all(r[2] >= 0 for r in got)
+
+
+def test_table_stream_reads_a_folder_of_files(spark, tmp_dir):
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>page {i}</p>") for i in range(20)], SP.PAGES_SCHEMA)
+    pages.repartition(3).write.parquet(f"{tmp_dir}/pages.parquet")
+    from textlab.plans import QUERIES, load_all
+    load_all()
+    got = sorted(map(tuple, QUERIES["stream_clean_pages"](spark, tmp_dir).collect()))
+    assert got == sorted((i, f"page {i}", 2) for i in range(20))
+    pages.limit(0).write.mode("overwrite").parquet(f"{tmp_dir}/pages.parquet")
+    assert QUERIES["stream_clean_pages"](spark, tmp_dir).count() == 0

@@ -202,6 +202,6 @@ def q_stream_clean_pages(spark, sf):
     stateless transform -> parquet sink with checkpoint), result read back."""
     from ..streaming import pipeline as SP
     out = scratch_path(spark, "stream-out")
-    SP.run_to_parquet(SP.clean_pages(SP.read_table_stream(spark, sf, "pages", SP.PAGES_SCHEMA)),
-                      out, scratch_path(spark, "stream-ckpt"))
-    return spark.read.parquet(out)
+    cleaned = SP.clean_pages(SP.read_table_stream(spark, sf, "pages", SP.PAGES_SCHEMA))
+    SP.run_to_parquet(cleaned, out, scratch_path(spark, "stream-ckpt"))
+    return spark.read.schema(cleaned.schema).parquet(out)

@@ -21,12 +21,13 @@ PAGES_SCHEMA = T.StructType([T.StructField("page_id", T.LongType()), T.StructFie
 
 def read_table_stream(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType,
                       files_per_trigger: int | None = None) -> DataFrame:
-    """A file stream over one driver table inside ``sf_dir``; a backlog is read
-    at once unless ``files_per_trigger`` asks for steps."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """A file stream over one driver table inside ``sf_dir``, one file or a folder
+    of files; a backlog is read at once unless ``files_per_trigger`` asks for steps."""
+    reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(sf_dir)
+    # a pattern (of this one name): a plain path would have to be a folder, as Spark takes it as base path
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parque[t]")
 
 
 def clean_pages(stream: DataFrame) -> DataFrame:
