@@ -372,6 +372,19 @@ def test_line_report_matches_all_pairs(docs_of):
         assert r["class_id"] == low.get(key, r["doc_id"]) and (r["n_links"] > 0) == (n_links.get(key, 0) > 0)
 
 
+def test_every_link_inside_a_class_counts(docs_of, monkeypatch):
+    line = "the quick brown fox jumps over the lazy dog again and again"
+    # one edit each from one line, so two from each other; a chain whose ends are too far apart
+    near = [line] + [f"{line[:k]}#{line[k + 1:]}" for k in (2, 9, 17, 26, 33, 41, 50, 57)]
+    chain = [f"{'x' * k}another line of text that is long enough for two edits" for k in range(5)]
+    texts = [(i, t) for i, t in enumerate(near + chain)]
+    for crowd in (L.CROWD, 2):
+        monkeypatch.setattr(L, "CROWD", crowd)
+        got = {r["doc_id"]: r["n_links"] for r in L.line_report(docs_of(texts)).collect()}
+        assert got == {i: sum(a != t and levenshtein(a, t) <= 2 for _, a in texts) for i, t in texts}
+        assert [got[i] for i in range(len(near))] == [8] * 9 and [got[9 + k] for k in range(5)] == [2, 3, 4, 3, 2]
+
+
 def test_lines_are_taken_out(docs_of):
     texts = line_docs() + [(900, None), (901, ""), (903, LINES[0]), (904, LINES[3] + "\nshort one")]
     gone = brute_lines(texts)[0]

@@ -12,18 +12,17 @@ under (length, segment number, segment) and looks up, for every length up to
 its own, the few start positions where a match can still be within the limit.
 All these keys come from one array of prefix sums over a batch of lines.
 
-No set of all pairs of a key is made.  First every line is compared with one
-line of each key that it shares: counts of characters are compared in the
-join, a banded bit-parallel edit distance verifies the text.  What that links
-is contracted to components, and only keys with lines of several components
-are looked at again, across components.  Where such a key is shared by more
-than ``CROWD`` lines (a passage that many lines have), it is split: characters
-are dealt into ``2 k + 1`` groups, and as an edit touches two characters at most,
-``k`` edits leave the counts of at least one group as they were, so the key is
-joined with the counts of each group in turn; there counts and edits are compared
-inside the join.  So all links between classes are found, and links inside a
-class that add nothing are not looked for.  (Lines of one template that share a
-key and a group's counts, but are not near, are still compared with each other.)
+Every two lines that share a key are compared.  First each line meets one line
+of each key that it shares: counts of characters are compared in the join, a
+banded bit-parallel edit distance verifies the text.  Lines that are alone under
+their keys go no further; the others are compared with each other.  Where a key
+is shared by more than ``CROWD`` lines (a passage that many lines have), it is
+split: characters are dealt into ``2 k + 1`` groups, and as an edit touches two
+characters at most, ``k`` edits leave the counts of at least one group as they
+were, so the key is joined with the counts of each group in turn; there counts
+and edits are compared inside the join.  So all links between different lines are
+found, inside a class too.  (Lines of one template that share a key and a group's
+counts, but are not near, are still compared with each other.)
 
 Lines that are equal or linked form a class; its first line (smallest doc_id,
 then position) stays, every other occurrence is removed.
@@ -49,7 +48,7 @@ from .common import components, durable, small_batches, text_or_empty, written
 
 #: Edits by the length of the shorter line: from so many characters on, so many edits.
 BANDS = ((0, 0), (20, 1), (40, 2))
-#: Keys with lines of several components and more lines than this are split by character counts.
+#: Keys shared by more lines than this are split by character counts.
 CROWD = 32
 #: Candidate ids up to this many are broadcast to the written lines (eight bytes each).
 _BROADCAST = 1_000_000
@@ -350,12 +349,12 @@ def _of_ids(lines: DataFrame, ids: DataFrame, most: int) -> DataFrame:
 
 
 def _pairs(rows: DataFrame, edits: int) -> DataFrame:
-    """Pairs ``(a, b)`` of ids of different components that share a key, one of them indexed under it,
-    and whose character counts are near enough; where the rows have their lines (crowded keys), whose
+    """Pairs ``(a, b)`` of different ids that share a key, one of them indexed under it, and whose
+    character counts are near enough; where the rows have their lines (crowded keys), whose
     lines are within the most edits of all bands."""
     split = "line" in rows.columns
-    side = lambda k: [F.col("segment"), *[F.col(c).alias(f"{c}_{k}") for c in ("id", "root", *(("odd", "line") if split else ()))]]
-    near = (F.col("root_a") != F.col("root_b")) & may_be_near(F.col("id_a"), F.col("id_b"), edits)
+    side = lambda k: [F.col("segment"), *[F.col(c).alias(f"{c}_{k}") for c in ("id", *(("odd", "line") if split else ()))]]
+    near = (F.col("id_a") != F.col("id_b")) & may_be_near(F.col("id_a"), F.col("id_b"), edits)
     if split:
         near = (near & (F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b"))) <= 2 * edits)
                 & (F.levenshtein("line_a", "line_b", edits) >= 0))
@@ -363,30 +362,28 @@ def _pairs(rows: DataFrame, edits: int) -> DataFrame:
             .select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct())
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """``rows`` of keys that hold several components, with ``crowded``: whether their key has more than ``CROWD`` rows."""
-    keys = (rows.groupBy("segment").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("own").alias("some"),
+def _shared(rows: DataFrame) -> DataFrame:
+    """``rows`` of keys that several lines share, with ``crowded``: whether their key has more than ``CROWD`` rows."""
+    keys = (rows.groupBy("segment").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("own").alias("some"),
                                         F.count(F.lit(1)).alias("n")).where("lo <> hi and some"))
     return durable(rows.join(keys.select("segment", (F.col("n") > CROWD).alias("crowded")), "segment"))
 
 
-def _across(members: DataFrame, group: DataFrame, lines: DataFrame, bands) -> DataFrame:
-    """Pairs of lines of different components that share a key, crowded keys split by character counts."""
-    edits = max(k for _, k in bands)
-    mixed = _mixed(members.join(group, "id", "left").select("segment", "own", "id", F.coalesce("root", "id").alias("root")))
-    crowded = mixed.where("crowded").drop("crowded")
+def _among(members: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """Pairs of different lines that share a key, crowded keys split by character counts."""
+    shared = _shared(members)
+    crowded = shared.where("crowded").drop("crowded")
     size = crowded.count()
     if not size:
-        return _pairs(mixed, edits)
+        return _pairs(shared, edits)
     sums = (_of_ids(lines, crowded.select("id").distinct(), size).select("id", "line")
             .mapInArrow(_sum_rows(2 * edits + 1), "id long, part int, sum long, odd long, line string"))
-    finer = crowded.join(sums, "id").select(F.xxhash64("segment", "part", "sum").alias("segment"), "own", "id", "root", "odd", "line")
-    return _pairs(mixed.where("not crowded"), edits).unionByName(_pairs(_mixed(finer), edits)).distinct()
+    finer = crowded.join(sums, "id").select(F.xxhash64("segment", "part", "sum").alias("segment"), "own", "id", "odd", "line")
+    return _pairs(shared.where("not crowded"), edits).unionByName(_pairs(_shared(finer), edits))
 
 
 def near_lines(lines: DataFrame, bands=BANDS) -> DataFrame:
-    """Verified links ``(a, b)`` between the keys of different lines, whose components are
-    those of all links within the limit.
+    """Every link ``(a, b)`` within the limit between the keys of different lines, verified.
 
     ``lines``: distinct ``id, line`` in the shared folder.
     """
@@ -398,20 +395,16 @@ def near_lines(lines: DataFrame, bands=BANDS) -> DataFrame:
     pivots = stored.groupBy("segment").agg(F.min("id").alias("pivot")).hint("shuffle_hash")
     # lines that share a key with another one; most share none
     members = durable(wanted.join(pivots, "segment").where(F.col("id") != F.col("pivot")))
-    pairs = members.where(may_be_near(F.col("id"), F.col("pivot"), edits)).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    stars = durable(_verified(pairs, lines, bands))
-    group = durable(components(stars, "id_a", "id_b").select(F.col("node").alias("id"), "root"))
-    across = durable(_across(members.drop("pivot"), group, lines, bands))
-    if across.isEmpty():
-        return stars.select("a", "b").distinct()
-    return stars.unionByName(_verified(across, lines, bands)).select("a", "b").distinct()
+    stars = members.where(may_be_near(F.col("id"), F.col("pivot"), edits)).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+    found = stars.unionByName(_among(members.drop("pivot"), lines, edits)).distinct()
+    return _verified(found, lines, bands).select("a", "b").distinct()
 
 
 def repeated_lines(docs: DataFrame, bands=BANDS) -> DataFrame:
     """Occurrences in classes of two or more: ``doc_id, doc, pos, first_doc_id, kept, links``.
 
     ``kept`` marks the first occurrence of the class, ``links`` counts the
-    verified links of the line to different lines that made the class.
+    links of the line to different lines.
     """
     links = durable(near_lines(distinct_lines(docs, bands), bands))
     degree = (links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key")))
@@ -435,9 +428,8 @@ def repeated_lines(docs: DataFrame, bands=BANDS) -> DataFrame:
 def line_report(docs: DataFrame, bands=BANDS) -> DataFrame:
     """Per document: ``doc_id, class_id, n_links, n_removed, removed``.
 
-    ``removed``: the line numbers (from 0) that go, in order; ``n_links``: verified
-    links of its lines to different lines (to the lines that stand for a key, and
-    those that join two components; not all pairs of a class); ``class_id``: the smallest doc_id that
+    ``removed``: the line numbers (from 0) that go, in order; ``n_links``: all
+    links of its lines to different lines; ``class_id``: the smallest doc_id that
     holds a line equal or near to one of its own, itself included.  Null and
     empty texts lose nothing; rows that repeat an id with its text are one
     document and each gets its result; an empty table gives no rows.
