@@ -228,3 +228,41 @@ def test_external_batch_scorer_agrees_with_spark(spark):
     assert len(rows) > 0
     agree = sum(r.pred_external == r.pred_spark for r in rows)
     assert agree == len(rows)
+
+
+def _scans_of_text(df):
+    """How often the plan tokenises."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
+
+
+def test_cross_document_bigrams_and_bayes_tokenise_once(spark):
+    from textlab.operators import bayes as NB
+    docs = spark.createDataFrame([(3, "red cat sat", 0), (1, "big dog", 0), (2, "dog red", 2), (4, "of", 0), (5, "cat", 0),
+                                  (6, None, 0)], "par_id long, text string, label int")
+    counts = L.stream_bigram_counts(docs)
+    assert _scans_of_text(counts) == 0  # read from the stored counts
+    assert {(r.binary_label, r.ngram): r.freq for r in counts.collect()} == {
+        (0, "big dog"): 1, (0, "dog red"): 1, (0, "red cat"): 1, (0, "cat sat"): 1, (0, "sat cat"): 1, (1, "dog red"): 1}
+    scores = NB.bayes_scores(docs.withColumn("label", (F.col("label") >= 2).cast("int")), docs)
+    assert _scans_of_text(scores) == 1 and scores.count() == 6
+
+
+def test_weights_of_a_large_vocabulary_are_not_broadcast(spark, monkeypatch):
+    from textlab.operators import bayes as NB
+    docs = spark.createDataFrame([(i, f"word{'abc'[i % 3]} other word", i % 2) for i in range(9)], "par_id long, text string, label int")
+    want = sorted(map(tuple, NB.bayes_scores(docs, docs).collect()))
+    monkeypatch.setattr(NB, "BROADCAST_TERMS", 0)
+    assert sorted(map(tuple, NB.bayes_scores(docs, docs).collect())) == want
+
+
+def test_span_files_stay_near_the_given_size(spark, tmp_path):
+    from textlab.sources import driver as D
+    text = "a sentence of a long text. " * 200
+    spark.createDataFrame([(i, text, "en", "s") for i in range(64)], "doc_id long, text string, lang string, source string") \
+        .coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, 1) for i in range(64)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    one = 200 * len(text)
+    parts = D.spans(spark, str(tmp_path), part_bytes=one).select("span_text", F.length("text").alias("n")) \
+        .groupBy(F.spark_partition_id()).agg(F.sum("n").alias("n"), F.count("n").alias("rows")).collect()
+    assert sum(r["rows"] for r in parts) == 64 * D.spans(spark, str(tmp_path)).where("par_id = 1").count() >= 64 * 200
+    assert max(r["n"] for r in parts) <= 8 * one

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 # Every floating output is rounded to this many decimals so two engines that
 # add in a different order still produce the same value.
 DECIMALS = 6
@@ -53,3 +55,10 @@ def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
     row = one_row.select(F.struct(*[F.col(c) for c in one_row.columns]).alias("_one")).scalar()
     return df.withColumn("_one", row).select(
         *df.columns, *[F.col(f"_one.{c}").alias(c) for c in one_row.columns])
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read from there: what is used more than once is computed once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

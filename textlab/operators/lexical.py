@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import binarise
 from ..functions.text import ENGLISH_STOP_WORDS, content_tokens, ngrams, tokenize
-from .common import attach, r6, top_k_per_group, union_all
+from .common import attach, r6, stored, top_k_per_group, union_all
 
 
 def class_tokens(df: DataFrame, text: str = "text", label: str = "label",
@@ -95,24 +95,23 @@ def stream_bigram_counts(df: DataFrame, key: str = "par_id", text: str = "text",
     ``key`` order, so that bigrams cross document edges.
 
     The text is tokenised once: every document yields its inner bigrams and one
-    edge row (key, first and last token), and both kinds go through the same
-    count.  Edges are cut into blocks at quantiles of the keys that occur, so
+    edge (first and last token, key), all as plain strings that go through the same
+    count.  The counts are written to the shared folder, as bigrams and edges are both
+    read from them.  Edges are cut into blocks at quantiles of the keys that occur, so
     sparse ids make no more blocks than dense ones; ``lag`` runs inside a block
     and a block's last token is carried over a table of one row a block.
     """
     toks = df.where(F.col(text).isNotNull()).select(
         F.col(key).alias("k"), binarise(label).alias("binary_label"), content_tokens(tokenize(text), words).alias("t"))
-    none = F.lit(None)
-    edge = F.struct(none.cast("string").alias("ngram"), F.col("k").alias("k"), F.element_at("t", 1).alias("first"),
-                    F.element_at("t", -1).alias("last"))
-    inner = F.transform(ngrams(F.col("t"), 2), lambda g: F.struct(
-        g.alias("ngram"), none.cast("long").alias("k"), none.cast("string").alias("first"),
-        none.cast("string").alias("last")))
-    rows = toks.select("binary_label", F.inline(F.when(F.size("t") > 0, F.concat(inner, F.array(edge)))))
-    # the flag is an aggregate's output, so no filter on it is pushed below the count
-    counted = rows.groupBy("binary_label", "ngram", "k", "first", "last").agg(
-        F.count(F.lit(1)).alias("freq"), F.max(F.col("ngram").isNull()).alias("is_edge"))
-    ends = counted.where("is_edge").select("binary_label", "k", "first", "last")
+    # tokens are letters only, so a line feed marks an edge
+    edge = F.concat_ws("\n", F.element_at("t", 1), F.element_at("t", -1), F.col("k").cast("string"))
+    rows = toks.select("binary_label", F.explode_outer(F.when(F.size("t") > 0, F.concat(ngrams(F.col("t"), 2), F.array(edge)))).alias("ngram")) \
+        .where(F.col("ngram").isNotNull())
+    counted = stored(ngram_counts(rows), "stream-bigrams")
+    is_edge = F.contains("ngram", F.lit("\n"))
+    part = F.split("ngram", "\n", 3)
+    ends = counted.where(is_edge).select("binary_label", F.get(part, F.lit(2)).cast(df.schema[key].dataType).alias("k"),
+                                         part[0].alias("first"), part[1].alias("last"))
     bounds = df.agg(F.percentile_approx(key, [i / blocks for i in range(1, blocks)], 10_000).alias("_bounds"))
     ends = attach(ends, bounds).select(
         "binary_label", "k", "first", "last", F.size(F.filter("_bounds", lambda x: x < F.col("k"))).alias("blk"))
@@ -124,7 +123,7 @@ def stream_bigram_counts(df: DataFrame, key: str = "par_id", text: str = "text",
     prev = F.coalesce("prev", "carry")
     crossing = (inside.join(carry, ["binary_label", "blk"]).where(prev.isNotNull())
                 .select("binary_label", F.concat_ws(" ", prev, "first").alias("ngram"), F.lit(1).cast("long").alias("freq")))
-    return (counted.where("not is_edge").select("binary_label", "ngram", "freq").unionByName(crossing)
+    return (counted.where(~is_edge).unionByName(crossing)
             .groupBy("binary_label", "ngram").agg(F.sum("freq").alias("freq")))
 
 
