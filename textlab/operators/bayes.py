@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 
 from ..constants import CLASS_WEIGHTS
 from ..functions.text import content_tokens, tokenize
-from .common import attach, r6
+from .common import attach, r6, stored
 
 PLACES = 9
+#: Vocabularies up to this many terms are broadcast to the documents (under 100 MB).
+BROADCAST_TERMS = 1_000_000
 _TERM = f"decimal(12,{PLACES})"
 
 
@@ -44,7 +46,9 @@ def terms_of(text: str = "text") -> Column:
 def document_terms(rows: DataFrame, *keep: str, tokens: Column | None = None) -> DataFrame:
     """``keep, term``: one row a token; documents without one have none.  ``tokens``: an array
     column, the content tokens of ``text`` where it is not given."""
-    return rows.select(*keep, (terms_of() if tokens is None else tokens).alias("_t")).select(*keep, F.explode("_t").alias("term"))
+    # outer: an inner explode would infer a filter on the array, and tokenise for it once more
+    return (rows.select(*keep, (terms_of() if tokens is None else tokens).alias("_t"))
+            .select(*keep, F.explode_outer("_t").alias("term")).where(F.col("term").isNotNull()))
 
 
 def class_counts(train: DataFrame, label: str = "label", tokens: Column | None = None) -> DataFrame:
@@ -93,19 +97,24 @@ def margins(docs: DataFrame, weights: DataFrame, total: DataFrame, settings: Seq
     ``keep`` must tell the rows apart.  Tokens that training has not seen add
     nothing, so a document without a known term has the priors' margin.
     """
-    tf = document_terms(docs, *keep, tokens=tokens).groupBy(*keep, "term").agg(F.count(F.lit(1)).alias("tf"))
-    sums = [F.sum(F.col("tf").cast("decimal(10,0)") * F.col("llr")[i]).alias(f"s{i}") for i in range(len(settings))]
-    known = tf.join(weights.select("term", "llr"), "term").groupBy(*keep).agg(*sums)
+    # tokens meet the weights where they are (one row a term, broadcast while few), and are summed there
+    sums = [F.sum(F.col("llr")[i]).alias(f"s{i}") for i in range(len(settings))]
+    known = document_terms(docs, *keep, tokens=tokens).join(_small(weights.select("term", "llr")), "term").groupBy(*keep).agg(*sums)
     none = F.lit(0).cast(_TERM)
     entry = [(F.col(f"p{i}") + F.coalesce(F.col(f"s{i}"), none)).cast("double") for i in range(len(settings))]
     prior = total.select(*[_prior(s).alias(f"p{i}") for i, s in enumerate(settings)])
     return attach(docs.select(*keep).join(known, list(keep), "left"), prior).select(*keep, F.array(*entry).alias("margin"))
 
 
+def _small(weights: DataFrame) -> DataFrame:
+    """``weights``, to be broadcast where the vocabulary is small."""
+    return F.broadcast(weights) if weights.count() <= BROADCAST_TERMS else weights
+
+
 def bayes_scores(train: DataFrame, docs: DataFrame, setting: Setting = Setting(), keep: Sequence[str] = ("par_id",)) -> DataFrame:
     """``keep, margin, p, pred`` of every row of ``docs`` by the model of ``train``."""
-    counts = class_counts(train)
-    total = totals(counts, train)
+    counts = stored(class_counts(train), "class-counts")
+    total = stored(totals(counts, train), "class-totals")
     m = margins(docs, term_weights(counts, total, (setting,)), total, (setting,), keep)
     z = F.col("margin")[0]
     return m.select(*keep, r6(z).alias("margin"), r6(F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).alias("p"),

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..constants import CLASS_WEIGHTS, SPLIT_SEED
 from ..session import scratch_path
 from .bayes import Setting, class_counts, margins, term_weights, terms_of, totals
-from .common import r6
+from .common import r6, stored
 
 #: Hash range of an id and the part of it that is training; the rest is for validation.
 RANGE = 16 ** 4
@@ -103,8 +103,8 @@ def bayes_member(train: DataFrame, valid: DataFrame, trials: Sequence[Trial]) ->
     """All trials weighed and scored in one pass over the terms of the validation rows."""
     settings = [Setting(CLASS_WEIGHTS[0], t.params["class_weight"], t.params["alpha"]) for t in trials]
     tokens = F.col("tokens")
-    counts = class_counts(train, tokens=tokens)
-    total = totals(counts, train)
+    counts = stored(class_counts(train, tokens=tokens), "class-counts")
+    total = stored(totals(counts, train), "class-totals")
     rows = margins(valid, term_weights(counts, total, settings), total, settings, ("par_id", "label"), tokens)
     y, z = F.col("label") == 1, F.col("margin")
     cells = [F.sum(c.cast("long")) for i in range(len(trials))
