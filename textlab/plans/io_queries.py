@@ -36,7 +36,7 @@ SELECT par_id, art_id, text, keyword, country_code, span_start, span_finish, spa
        num_annotators FROM spans""")
 def q_scan_spans(spark, sf):
     path = scratch_path(spark, "spans-tsv")
-    IO.write_delimited(D.spans(spark, sf), path)
+    IO.write_delimited(D.spans(spark, sf, IO.FILE_BYTES), path)
     return IO.read_span_tsv(spark, path, multi_line=True)
 
 
@@ -51,7 +51,7 @@ def q_scan_paragraphs_split(spark, sf):
 @query("scan_spans_split", ORACLE["scan_spans"])
 def q_scan_spans_split(spark, sf):
     path = scratch_path(spark, "spans-lines")
-    IO.write_delimited(D.spans(spark, sf), path, one_line=True)
+    IO.write_delimited(D.spans(spark, sf, IO.FILE_BYTES), path, one_line=True)
     return IO.read_span_tsv(spark, path, one_line=True)
 
 

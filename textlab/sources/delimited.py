@@ -23,6 +23,9 @@ SPAN_COLUMNS = ("par_id", "art_id", "text", "keyword", "country_code", "span_sta
                 "span_finish", "span_text", "pcl_category", "num_annotators")
 UNLABELLED_COLUMNS = ("id", "art_id", "keyword", "country_code", "text")
 
+#: Size of a written file that one task may have to read whole (quoted line breaks).
+FILE_BYTES = 64 << 20
+
 
 def _string_schema(cols, spare: bool) -> T.StructType:
     fields = [T.StructField(c, T.StringType(), True) for c in cols]

@@ -130,10 +130,18 @@ def span_rows(p: DataFrame) -> DataFrame:
         (F.lit(1) + F.col("pos") % 2).cast("int").alias("num_annotators"))
 
 
-def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spans(spark: SparkSession, sf_dir: str, part_bytes: int | None = None) -> DataFrame:
     """Span table: every sentence of a positive paragraph is one span, with the
-    paragraph's own columns beside it."""
+    paragraph's own columns beside it.
+
+    A span row repeats its paragraph's text, so the table is many times its paragraphs.
+    ``part_bytes``: the paragraphs are first dealt out by id, into as many parts as keep
+    a part's span rows near that size (for files that one task writes and one reads)."""
     p = paragraphs(spark, sf_dir).where(F.col("label") >= 2)
+    if part_bytes:
+        size = F.octet_length("text").cast("long") * F.size(F.regexp_extract_all("text", F.lit(SENTENCE_PATTERN), 0))
+        parts = -(-(p.agg(F.sum(size)).first()[0] or 0) // part_bytes)
+        p = p.repartition(max(parts, spark.sparkContext.defaultParallelism), "par_id")
     return (p.select("par_id", "art_id", "text", "keyword", "country_code")
             .join(span_rows(p), "par_id").drop("pos")
             .select("par_id", "art_id", "text", "keyword", "country_code", "span_start", "span_finish",
