@@ -14,6 +14,7 @@ from textlab.operators import bayes as NB
 from textlab.operators import epochs as EP
 from textlab.operators import levels as LV
 from textlab.operators import lengths as LN
+from textlab.operators import ml as ML
 from textlab.operators import profile as P
 from textlab.operators import scoring as S
 from textlab.operators import search as SE
@@ -267,3 +268,19 @@ def test_external_scores_of_an_empty_table(spark, tmp_dir):
     spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(tmp_dir + "/embeddings.parquet")
     assert MQ.q_external_batch_scores(spark, tmp_dir).count() == 0
     assert MQ.q_external_batch_agreement(spark, tmp_dir).first().n == 0
+
+
+def test_members_share_one_pass_over_the_texts_and_few_partitions(spark):
+    rows = [(i, f"{'good nice day' if i % 3 else 'poor sad folk'} number {i}", float(i % 3 == 0), 1.0) for i in range(60)]
+    train = spark.createDataFrame(rows, "par_id long, text string, label double, weight double").repartition(40)
+    fronts, counts = ML.featurize(train, 1, 2)
+    try:
+        assert set(fronts) == {1, 2} and counts.columns == ["par_id", "label", "weight", "tf1", "tf2"]
+        for stages, feats in fronts.values():
+            assert feats.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and feats.count() == 60
+    finally:
+        counts.unpersist()
+    models = ML.train_members(train)
+    assert list(models) == list(ML.MEMBER_WEIGHTS)
+    scored = ML.score_wide(models, train.select("par_id", "text")).collect()
+    assert len(scored) == 60 and all(r[f"pred_{m}"] == int(r.par_id % 3 == 0) for r in scored for m in ("tfidf_logreg", "naive_bayes"))

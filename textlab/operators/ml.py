@@ -10,6 +10,9 @@ shape as any other model output: ``(par_id, model, p)``.
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -73,26 +76,51 @@ def member_pipelines() -> dict[str, Pipeline]:
     return {name: Pipeline(stages=_front(n) + [clf]) for name, (n, clf) in _classifiers().items()}
 
 
-def featurize(train: DataFrame, ngram: int = 1):
-    """Fit the text front (tokens, hashing, IDF) once and return it with the
-    persisted feature rows, so classifier fits never re-run the tokenizer."""
-    front = Pipeline(stages=_front(ngram)).fit(train)
-    feats = front.transform(train).select("par_id", "label", "weight", f"tf{ngram}", f"features{ngram}").persist()
-    return front, feats
+def _few_parts(spark: SparkSession) -> SQLTransformer:
+    """A stage that leaves no more partitions than the cluster has cores (no shuffle, no row less).
+
+    Every step of a fit sends a vector of ``NUM_FEATURES`` doubles from each partition;
+    with partitions that grow with the table, a fit would be slowed by those vectors.
+    """
+    return SQLTransformer(statement=f"SELECT /*+ COALESCE({spark.sparkContext.defaultParallelism}) */ * FROM __THIS__")
+
+
+def featurize(train: DataFrame, *sizes: int) -> tuple[dict, DataFrame]:
+    """Text stages and feature rows for every n-gram size, and the counts behind them.
+
+    All sizes share one pass over the texts: the hashed counts of each are persisted
+    side by side, and IDF is fitted on and applied to them, so nothing re-runs the tokenizer.
+    """
+    fronts, done, counts = {n: _front(n) for n in sizes}, set(), train
+    for front in fronts.values():
+        for stage in front[:-1]:
+            if stage.getOutputCol() not in done:
+                done.add(stage.getOutputCol())
+                counts = stage.transform(counts)
+    counts = counts.select("par_id", "label", "weight", *[f"tf{n}" for n in sizes]).persist()
+    few = _few_parts(train.sparkSession).transform(counts)
+    fitted = {n: [*front[:-1], front[-1].fit(few)] for n, front in fronts.items()}
+    return {n: (stages, stages[-1].transform(few)) for n, stages in fitted.items()}, counts
 
 
 def train_members(train: DataFrame) -> dict[str, PipelineModel]:
-    """Each member = fitted front + fitted classifier, as one PipelineModel."""
-    fronts = {n: featurize(train, n) for n in {n for n, _ in _classifiers().values()}}
-    models = {}
+    """Each member = fitted front + fitted classifier, as one PipelineModel.  The
+    classifiers are independent Spark jobs and are fitted side by side."""
+    members = _classifiers()
+    fronts, counts = featurize(train, *sorted({n for n, _ in members.values()}))
+
+    @inheritable_thread_target(train.sparkSession)
+    def fitted(name: str) -> PipelineModel:
+        n, clf = members[name]
+        stages, feats = fronts[n]
+        return PipelineModel(stages=[*stages, clf.fit(feats)])
+
+    pool = ThreadPool(len(members))
     try:
-        for name, (n, clf) in _classifiers().items():
-            front, feats = fronts[n]
-            models[name] = PipelineModel(stages=list(front.stages) + [clf.fit(feats)])
+        return dict(zip(members, pool.map(fitted, members)))
     finally:
-        for _, feats in fronts.values():
-            feats.unpersist()
-    return models
+        pool.close()
+        counts.unpersist()
 
 
 def score_wide(models: dict[str, PipelineModel], df: DataFrame, key: str = "par_id") -> DataFrame:
@@ -132,7 +160,7 @@ def _tuned(train: DataFrame) -> tuple[Pipeline, LogisticRegression, DataFrame]:
     *counts, idf = _front()
     feats = Pipeline(stages=counts).fit(train).transform(train).select("label", "weight", "tf1").persist()
     lr = LogisticRegression(featuresCol="features1", labelCol="label", weightCol="weight", maxIter=30)
-    return Pipeline(stages=[idf, lr]), lr, feats
+    return Pipeline(stages=[_few_parts(train.sparkSession), idf, lr]), lr, feats
 
 
 def best_by_f1(train: DataFrame, reg_params=(0.0, 0.01, 0.1)) -> tuple[object, DataFrame]:
